@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, mixing, packing, sharding
 
 QUERIES = {
+    "op2_variable_best_fit": packing.op2_variable_best_fit,
+    "op4_golden_ratio_mix": mixing.op4_golden_ratio_mix,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_stratified_shards": sharding.op10_stratified_shards,
 }
-ORACLES = exact_dedup.ORACLE | sharding.ORACLE
+ORACLES = mixing.ORACLE | exact_dedup.ORACLE | sharding.ORACLE
