@@ -67,7 +67,7 @@ def packed(docs: DataFrame, lengths=LENGTHS, rows: int = ROWS, seed: int = SEED,
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.greatest(count.cast("bigint"), F.lit(1)).alias("n_tokens"))
     dealt = base.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "n_tokens"), F.lit(groups)))
 
-    def one(key, part: pa.Table) -> pa.Table:
+    def one(key, part):  # hints would choose another protocol
         part = part.sort_by([("doc_id", "ascending"), ("n_tokens", "ascending")])
         tokens = part.column("n_tokens").to_numpy()
         pieces = (tokens + most - 1) // most
