@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, keep, lowered, shared_dir
+from .shared import LOWER, UPPER, keep, lowered, shared_dir, sieve
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -71,7 +71,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     # Hits alone bring their texts. Salted by doc_id; the text the state points to goes to each salt of a digest that has more copies than salts could leave in one task.
     many = state.where("arrivals > 1").select("digest", "locator", F.expr(f"arrivals div {SLICE} + 1").cast("int").alias("salts"))
     full = texts.select("doc_id", "norm", digest(F.col("norm")).alias("digest"))
-    hits = full.join(many, "digest").withColumn("salt", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.col("salts")))
+    hits = sieve(full, "digest", many).join(many, "digest").withColumn("salt", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.col("salts")))
     located = hits.where(F.col("doc_id").eqNullSafe(F.col("locator"))).groupBy("digest", "salts").agg(F.min("norm").alias("kept_norm"))
     located = located.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts").cast("bigint") - 1))).drop("salts")
     # Without an identifier in the whole group there is no locator; any of its texts will do.

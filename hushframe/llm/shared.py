@@ -73,3 +73,22 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[Column
     sums = sums.select(*group, bucket, F.coalesce(F.sum("__s").over(over.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__s").over(over).alias(f"{out}_total"))
     inner = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("__in", F.coalesce(F.sum("__w").over(inner), F.lit(0))).join(sums, [*group, bucket]).withColumn(out, F.col("__before") + F.col("__in")).drop("__w", "__in", "__before")
+
+
+#: Bits of a sieve: 4 MB in 1,024 rows, whatever the number of keys.
+SIEVE_BITS = 25
+
+
+def sieve(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key may be among those of `wanted`, and few others, before anything is shuffled.
+
+    The keys wanted are hashed into a bitmap of fixed size, built by an aggregation and broadcast (4 MB at most, so its size has a proven bound), and each row looks up its bit. With very many keys the bitmap fills up and lets all rows pass: an exact join must follow, and it stays right then, only slower.
+    """
+    def at(c):
+        return F.shiftrightunsigned(F.xxhash64(c), 64 - SIEVE_BITS)
+
+    bits = wanted.select(at(F.col(key)).alias("__at")).groupBy(F.shiftright("__at", 15).alias("__chunk")).agg(F.bitmap_construct_agg(F.col("__at").bitwiseAND(F.lit(32767))).alias("__bits"))
+    names = rows.columns
+    rows = rows.withColumn("__at", at(F.col(key))).withColumn("__chunk", F.shiftright("__at", 15))
+    byte = "cast(conv(hex(substring(__bits, cast((__at & 32767) div 8 as int) + 1, 1)), 16, 10) as int)"
+    return rows.join(F.broadcast(bits), "__chunk").where(f"shiftright({byte}, cast(__at & 7 as int)) & 1 = 1").select(*names)
