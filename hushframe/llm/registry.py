@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, sharding, toxicity
+from . import exact_dedup, mixing, near_dedup, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op2_variable_best_fit": packing.op2_variable_best_fit,
     "op3_compression_toxicity": toxicity.op3_compression_toxicity,
     "op4_golden_ratio_mix": mixing.op4_golden_ratio_mix,
+    "op5_multi_index_near_dedup": near_dedup.op5_multi_index_near_dedup,
     "op8_fourier_quality": quality.op8_fourier_quality,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_stratified_shards": sharding.op10_stratified_shards,

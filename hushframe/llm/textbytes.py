@@ -90,7 +90,7 @@ def shingles(words: np.ndarray, row: np.ndarray, rows: int, n: int) -> tuple[np.
     number = np.where(long, count - n + 1, 0)
     owner = np.repeat(np.arange(rows), number)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number) + first[owner]
-    value = np.full(len(at), np.uint64(n) * np.uint64(0xA0761D6478BD642F), np.uint64)
+    value = np.full(len(at), n * 0xA0761D6478BD642F % 2**64, np.uint64)
     for i in range(n):
         value = mix(value ^ words[at + i]) if len(at) else value
     short = np.flatnonzero((count > 0) & ~long)
