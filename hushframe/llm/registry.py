@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, sharding, toxicity
+from . import exact_dedup, media, mixing, near_dedup, packing, quality, sharding, toxicity
 
 QUERIES = {
+    "op1_jpeg_media": media.op1_jpeg_media,
     "op2_variable_best_fit": packing.op2_variable_best_fit,
     "op3_compression_toxicity": toxicity.op3_compression_toxicity,
     "op4_golden_ratio_mix": mixing.op4_golden_ratio_mix,
