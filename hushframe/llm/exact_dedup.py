@@ -22,6 +22,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition sets several MB of disk aside
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 #: Copies of one digest are compared in slices of about so many.
