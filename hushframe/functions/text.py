@@ -22,7 +22,11 @@ def by_length(pairs: Column) -> Column:
 
 def replace_entities(text: Column, pairs: Column) -> Column:
     """One pass from left to right: at each place the longest key that stands there is replaced by its value, and what was put in is not looked at again. pairs: an array of pair()."""
-    ordered = by_length(pairs)
+    return replace_ordered(text, by_length(pairs))
+
+
+def replace_ordered(text: Column, ordered: Column) -> Column:
+    """replace_entities with pairs that are ordered already. Where several columns of a row are searched, order the pairs in a column of their own first."""
     pattern = F.array_join(F.transform(ordered, lambda r: F.concat(F.lit("\\Q"), F.replace(r["k"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))), "|")
     between, met = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     put = F.zip_with(between, met, lambda b, m: F.concat(b, F.coalesce(F.get(F.filter(ordered, lambda r: r["k"] == m), F.lit(0))["v"], F.lit(""))))

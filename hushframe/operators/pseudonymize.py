@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import account_class, basename, ip_class, known
-from ..functions.text import TOKEN, pair, replace_entities, restore
+from ..functions.text import TOKEN, by_length, pair, replace_ordered, restore
 from ..functions.tokens import TEST_KEY, Key, token
 
 #: Field to type of token, in the order in which text is searched.
@@ -38,9 +38,9 @@ def pseudonymized(alerts: DataFrame, mode: str = "full", key: Key = TEST_KEY, te
     there = [f for f in FIELDS if f in alerts.columns]
     pairs = F.array(*[pair(F.col(f), rendered(f, F.col(f), mode, key)) for f in there])
     new = {f: rendered(f, F.col(f), mode, key) for f in there}
-    new |= {c: replace_entities(F.col(c), pairs) for c in texts if c in alerts.columns}
-    new |= {c: F.transform(c, lambda x: replace_entities(x, pairs)) for c in lists if c in alerts.columns}
-    return alerts.select(*[new[c].alias(c) if c in new else F.col(c) for c in alerts.columns])
+    new |= {c: replace_ordered(F.col(c), F.col("__pairs")) for c in texts if c in alerts.columns}
+    new |= {c: F.transform(c, lambda x: replace_ordered(x, F.col("__pairs"))) for c in lists if c in alerts.columns}
+    return alerts.withColumn("__pairs", by_length(pairs)).select(*[new[c].alias(c) if c in new else F.col(c) for c in alerts.columns])
 
 
 def reverse_map(alerts: DataFrame, mode: str = "full", key: Key = TEST_KEY) -> DataFrame:

@@ -66,7 +66,7 @@ def throughput(rows: Column, seconds: Column) -> Column:
 
 def traffic(k: Column, alerts: Column, each: int = 1920) -> Column:
     """GB a day: bytes of a comparison, comparisons an alert, alerts."""
-    return each * k * alerts / 1e9
+    return F.lit(float(each)) * k * alerts / 1e9
 
 
 def yearly_cost(ms: Column, alerts_a_day: int = 10_000, parties: int = 2, price: float = 0.04) -> tuple[Column, Column]:
