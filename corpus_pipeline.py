@@ -41,8 +41,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: a document stands in it once for each pass in which its first word is taken, whole, so up to twice or not at all."""
     numbered = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
-    _, pieces = mixing.mix(numbered, id_col="__row")
-    times = pieces.where("start = 0").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("__times"))
+    documents, pieces = mixing.mix(numbered, id_col="__row")
+    times = pieces.where("start = 0").join(documents.select("row_id", "doc_id"), "row_id").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("__times"))
     rows = numbered.join(times.withColumnRenamed("doc_id", "__row"), "__row")
     return rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
