@@ -1,6 +1,6 @@
 """Quality classifier on document statistics: random Fourier features, ridge regression, isotonic calibration.
 
-Each whole text becomes a few statistics (shares of byte classes, lengths of words and lines, repeated words and lines). Standardised by the training rows' means and deviations, they go through random Fourier features, cosines at random frequencies whose inner products approximate a Gaussian kernel. Every partition sums its part of the normal equations; the sums, of a size that does not depend on the rows, are added up by an aggregation and solved on the driver. Scores of the training rows, counted in fixed bins, give the isotonic fit (pool adjacent violators) that turns a ridge score into the share of label 1 at it.
+Each whole text becomes a few statistics (shares of byte classes, lengths of words and lines, repeated words and lines). Standardised by the training rows' means and deviations, they go through random Fourier features, cosines at random frequencies whose inner products approximate a Gaussian kernel. Every partition sums its part of the normal equations; the sums, of a size that does not depend on the rows, are added up by an aggregation and solved on the driver. Scores of the training rows, each by weights from the half of the rows that it is not in, counted in fixed bins, give the isotonic fit (pool adjacent violators) that turns a ridge score into the share of label 1 at it.
 
 Learning reads the table of labels and the statistics only; identifier, language and source never enter. All labelled rows that are not held out are used.
 
@@ -21,7 +21,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from .shared import keep, table
 from .textbytes import SPACE, distinct, hashes, slices, spans
 
-FEATURES, SEED, RIDGE, BINS, CUT = 256, 8, 1e-3, 2000, 0.7
+FEATURES, SEED, RIDGE, BINS, CUT = 256, 8, 0.001, 2000, 0.7
 _CLASSES = ("lower", "upper", "digit", "blank", "line", "stop", "bang", "bar", "mark", "other", "high")
 
 
@@ -132,7 +132,7 @@ def matrix(batch: pa.RecordBatch, column: str = "x") -> np.ndarray:
 def fit(stats: DataFrame, labels: DataFrame, label: str, learn: Column) -> Model | None:
     """learn: which rows of stats (by doc_id) may be learnt from. None without training rows."""
     truth = labels.groupBy("doc_id").agg(F.max(label).cast("double").alias("y")).where("y is not null")
-    train = keep(stats.where(learn).join(truth, "doc_id").select("x", "y"), "quality-train")
+    train = keep(stats.where(learn).join(truth, "doc_id").select("x", "y", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("fold")), "quality-train")
     n = len(NAMES)
     row = train.agg(F.count("y"), *[f(F.col("x")[i]) for f in (F.avg, F.stddev_pop) for i in range(n)]).first()
     if not row[0]:
@@ -142,29 +142,38 @@ def fit(stats: DataFrame, labels: DataFrame, label: str, learn: Column) -> Model
     upper = np.triu_indices(size)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, right = np.zeros((size, size)), np.zeros(size)
+        total, right = np.zeros((2, size, size)), np.zeros((2, size))
         for batch in batches:
             for first in range(0, batch.num_rows, 4096):
                 part = batch.slice(first, 4096)
-                phi = fourier(matrix(part), mean, sd)
-                total += phi.T @ phi
-                right += phi.T @ np.array(part.column("y"))
-        values = np.concatenate([total[upper], right])
+                phi, y, fold = fourier(matrix(part), mean, sd), np.array(part.column("y")), np.array(part.column("fold"))
+                for k in range(2):
+                    total[k] += phi[fold == k].T @ phi[fold == k]
+                    right[k] += phi[fold == k].T @ y[fold == k]
+        values = np.concatenate([np.concatenate([total[k][upper], right[k]]) for k in range(2)])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["at", "v"])
 
-    found = train.mapInArrow(sums, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toPandas()["v"].to_numpy()
-    gram = np.zeros((size, size))
-    gram[upper] = found[: len(upper[0])]
-    gram = gram + np.triu(gram, 1).T
-    weights = np.linalg.solve(gram + RIDGE * row[0] * np.eye(size) / size, found[len(upper[0]) :])
-    model = Model(mean, sd, weights, -0.5, 1.5, np.zeros(BINS))
+    found = train.mapInArrow(sums, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toPandas()["v"].to_numpy().reshape(2, -1)
+
+    def solved(sums: np.ndarray) -> np.ndarray:
+        gram = np.zeros((size, size))
+        gram[upper] = sums[: len(upper[0])]
+        gram = gram + np.triu(gram, 1).T
+        return np.linalg.solve(gram + RIDGE * max(1, gram[-1, -1]) * np.eye(size) / size, sums[len(upper[0]) :])
+
+    def of(weights: np.ndarray) -> Model:
+        return Model(mean, sd, weights, -0.5, 1.5, np.zeros(BINS))
+
+    model, halves = of(solved(found.sum(axis=0))), [of(solved(found[1])), of(solved(found[0]))]
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, hits = np.zeros(BINS), np.zeros(BINS)
         for batch in batches:
-            at = model.bin(model.raw(matrix(batch)))
-            n += np.bincount(at, minlength=BINS)
-            hits += np.bincount(at, np.array(batch.column("y")), BINS)
+            x, y, fold = matrix(batch), np.array(batch.column("y")), np.array(batch.column("fold"))
+            for k in range(2):  # each half by the weights that the other half gave
+                at = halves[k].bin(halves[k].raw(x[fold == k]))
+                n += np.bincount(at, minlength=BINS)
+                hits += np.bincount(at, y[fold == k], BINS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(n), pa.array(hits)], ["at", "n", "hits"])
 
     bins = train.mapInArrow(counts, "at bigint, n double, hits double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).orderBy("at").toPandas()
