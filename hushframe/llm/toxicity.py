@@ -1,6 +1,6 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A window, here a word between two marks, is compressed with both; it is the shorter with the dictionary that knows it. A window's margin is the ordinary length less the toxic one, and a document's statistic the sum of its two largest margins, counted over distinct windows. Thresholds come from calibration: on labelled documents that trained neither dictionary, an isotonic fit gives the share of toxic documents at each value of the statistic.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A window, here a word between two marks, is compressed with both; it is the shorter with the dictionary that knows it. A window's margin is the ordinary length less the toxic one, and a document's statistic the sum of the two largest margins of its windows. Thresholds come from calibration: on labelled documents that trained neither dictionary, an isotonic fit gives the share of toxic documents at each value of the statistic.
 
 What the toxic dictionary is trained on decides its worth, for toxic documents consist mostly of ordinary words. From the toxic documents (near copies of one another count once) a cover is chosen greedily: the words and beginnings of words, far more frequent there than in ordinary documents, that explain the most documents not yet explained a few times over. The toxic text is what is left of these documents when only words of the cover stay.
 
@@ -106,7 +106,8 @@ class Scorer:
         self.margin: dict[bytes, int] = {}
 
     def statistic(self, texts: list[bytes]) -> np.ndarray:
-        sets = [set(words(t)) for t in texts]
+        lists = [words(t) for t in texts]
+        sets = [set(ws) for ws in lists]
         new = list(set().union(*sets).difference(self.margin)) if sets else []
         if len(self.margin) + len(new) > REMEMBERED:
             self.margin.clear()
@@ -117,7 +118,13 @@ class Scorer:
             ordinary, toxic = ([len(x.compress(w)) for w in marked] for x in self.by)
             self.margin.update(zip(part, (max(0, a - b) for a, b in zip(ordinary, toxic, strict=True)), strict=True))
         get = self.margin.__getitem__
-        return np.array([min(MOST, sum(sorted(map(get, s))[-2:])) for s in sets], np.int64)
+        return np.array([min(MOST, self.two(ws, [(m, w) for w in s if (m := get(w))])) for ws, s in zip(lists, sets, strict=True)], np.int64)
+
+    @staticmethod
+    def two(ws: list[bytes], some: list[tuple[int, bytes]]) -> int:
+        """The two largest margins of a text's words, a word that occurs twice counting twice."""
+        some.sort(reverse=True)
+        return 0 if not some else some[0][0] * 2 if ws.count(some[0][1]) > 1 else sum(m for m, _ in some[:2])
 
 
 def fit(rows: list[tuple[bytes, int]]) -> Model | None:
