@@ -67,12 +67,14 @@ def threshold_pairs(spark: SparkSession, count: int, nodes: int, first: int = 0)
 def read_cache(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """Records of a JSON cache, and the lines that could not be read, which the caller can count. A folder that is not there is an empty cache."""
     try:
-        lines = spark.read.schema(StructType([*schema, StructField("_corrupt", StringType())])).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+        text = spark.read.text(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], schema), spark.createDataFrame([], "_corrupt string")
-    return lines.where("_corrupt is null").drop("_corrupt"), lines.where("_corrupt is not null").select("_corrupt")
+        return spark.createDataFrame([], schema), spark.createDataFrame([], "line string")
+    parsed = F.from_json("value", StructType([*schema, StructField("_corrupt", StringType())]), {"columnNameOfCorruptRecord": "_corrupt"})
+    lines = text.select("value", parsed.alias("r"))
+    return lines.where("r._corrupt is null").select("r.*").drop("_corrupt"), lines.where("r._corrupt is not null").select(F.col("value").alias("line"))
 
 
 def append_cache(records: DataFrame, path: str) -> None:
