@@ -2,7 +2,7 @@
 
 A document's set holds its distinct runs of n words. Its signature has POSITIONS minhash values, each cut to 16 bits; two sets with similarity j differ in about (1 - j) POSITIONS of them. `distance` is the least number of differing positions that a pair at the similarity wanted exceeds with a probability below MISS. The join finds every pair of signatures within that distance: positions are split into m chunks, and by the pigeonhole principle, for a distance of m + a, one of the first a + 1 chunks differs in at most one position or one of the others in none. The allowed error of a chunk is enumerated by leaving out each of its positions in turn; two signatures within the distance share at least one such key.
 
-Groups of any size are handled without listing their pairs. Documents with equal sets are one class, with one representative. Each representative is first compared with the least representative it shares a key with; links found are confirmed on the full sets, and components follow. Then only keys that still hold more than one component give pairs, of different components and within the distance, and these are confirmed as well. A pair within one component needs no test, since the result is the components.
+Groups of any size are handled without listing their pairs. Documents with equal sets are one class, with one representative. Signatures within the distance of the least representative they share a key with, and whatever else is within it across the groups so found, make candidate groups: every similar pair lies inside one of them. Links are then confirmed on the full sets. Each representative is first tested against one partner; components follow, and in a candidate group only those outside its largest component are left over. These are compared with the whole group in cells, a slice of the left-over against a slice of the group, and a cell returns no more links than it has documents, enough to join what belongs together.
 
 Cases: null, empty or blank texts have an empty set and are linked with nothing; a text with fewer than n words has its whole sequence as its only element; rows of one identifier count as one document, linked if any of them is; a row without identifier is linked with nothing and kept; an empty table gives no rows; other columns of the input are ignored and may have any name.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import keep, sieve, table
 from .textbytes import LOWER, SLICE, distinct, hashes, mix, shingles, slices, spans
 
-POSITIONS, MISS, SEED = 64, 1e-4, 5
+POSITIONS, MISS, SEED, TILE = 64, 1e-4, 5, 400
 _RNG = np.random.default_rng(SEED)
 FACTORS = _RNG.integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = _RNG.integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2)
@@ -163,6 +163,60 @@ def parts(batch: pa.RecordBatch, column: str, n: int) -> Iterator[tuple[int, tup
         at += part.num_rows
 
 
+def common(value: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    """How many elements each two sets have in common."""
+    kinds, column, count = np.unique(value, return_inverse=True, return_counts=True)
+    several = count[column] > 1  # an element of one set only is common to none
+    column, owner = column[several], owner[several]
+    order = np.argsort(column, kind="stable")
+    column, owner = np.cumsum(np.append(True, np.diff(column[order]) > 0)) - 1, owner[order]
+    total = np.diag(np.bincount(owner, minlength=rows)).astype(np.float32) * 0
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [first, first + 4096])
+        some = np.zeros((rows, 4096), np.float32)
+        some[owner[a:b], column[a:b] - first] = 1
+        total += some @ some.T
+    return total.astype(np.int64)
+
+
+def forest(ok: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairs that are ok, as many as it takes to join the labels that they join."""
+    above = {x: x for x in label.tolist()}
+
+    def root(x):
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    found = []
+    for i, j in np.argwhere(ok & (label[:, None] != label[None, :]) & np.triu(np.ones(ok.shape, bool))).tolist():
+        a, b = root(int(label[i])), root(int(label[j]))
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            found.append((i, j))
+    return found
+
+
+def joined(cells: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between the components met in each cell, from rows (cluster, cell, rep, component, text)."""
+
+    def one(key, rows):
+        rows = rows.combine_chunks()
+        label = rows.column("component").to_numpy()
+        found = []
+        if (label != label[0]).any():
+            batch = rows.to_batches()[0]
+            value, owner = (np.concatenate(x) for x in zip(*((v, o + at) for at, (v, o) in parts(batch, "text", n)), strict=True))
+            size = np.bincount(owner, minlength=len(label))
+            both = common(value, owner, len(label))
+            found = forest(100 * both >= percent * (size[:, None] + size[None, :] - both), label)
+        rep = rows.column("rep").to_numpy()
+        return pa.table({"a": pa.array([int(rep[i]) for i, _ in found], pa.int64()), "b": pa.array([int(rep[j]) for _, j in found], pa.int64())})
+
+    return cells.groupBy("cluster", "cell").applyInArrow(one, "a bigint, b bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component (the least id reachable) for the nodes of edges (a, b): large stars and small stars in turn until nothing changes. Each round is written to the shared folder; the driver sees two numbers a round."""
     edges = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "star")
@@ -186,6 +240,28 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def across(held: DataFrame, groups: DataFrame, sigs: DataFrame, most: int, percent: int) -> DataFrame:
+    """Pairs (a, b) with a common key and signatures within the distance, but in different groups."""
+    placed = held.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    placed = keep(placed.join(mixed, "key").join(sigs, "rep"), "near-mixed")
+    a, b = (placed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "c", "sig")]) for x in "ab")
+    both = a.join(b, "key").where((F.col("rep_a") < F.col("rep_b")) & (F.col("c_a") != F.col("c_b")) & alike("n_a", "n_b", percent) & (differing("sig_a", "sig_b") <= most))
+    return both.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
+def left_over(placed: DataFrame, tile: int = TILE) -> DataFrame:
+    """cluster, cell, rep, component: the cells of each cluster with several components. Those outside the largest one are dealt into slices, all members into others, and cell (i, j) holds slice i of the former and slice j of the latter. A cluster of two has been tested already."""
+    parts_ = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"))
+    clusters = parts_.groupBy("cluster").agg(F.max_by("component", F.struct("c", (-F.col("component")).alias("o"))).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1 and size > 2")
+    rows = placed.join(clusters.select("cluster", "main", F.expr(f"(size - most + {tile - 1}) div {tile}").alias("down"), F.expr(f"(size + {tile - 1}) div {tile}").alias("over")), "cluster")
+    i, j = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("down")), F.pmod(F.xxhash64("rep", F.lit(2)), F.col("over"))
+    as_member = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("down") - 1), lambda x: x * F.col("over") + j)
+    as_left = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("over") - 1), lambda x: i * F.col("over") + x)
+    cells = F.when(F.col("component") == F.col("main"), as_member).otherwise(F.array_union(as_member, as_left))
+    return rows.select("cluster", "rep", "component", F.explode(cells).alias("cell"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     most = distance(percent)
@@ -203,19 +279,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         pairs = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
         return pairs.where(differing("sa", "sb") <= most).select("a", "b").distinct()
 
-    stars = near(held.where("rep <> p").where(alike("n", "pn", percent)).select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct())
-    stars = keep(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-stars")
-    links = keep(confirmed(stars, texts, n, percent), "near-links")
-    first = keep(components(links), "near-first")
-
-    placed = held.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    placed = keep(placed.join(mixed, "key").join(sigs, "rep"), "near-mixed")
-    a, b = (placed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "c", "sig")]) for x in "ab")
-    rest = a.join(b, "key").where((F.col("rep_a") < F.col("rep_b")) & (F.col("c_a") != F.col("c_b")) & alike("n_a", "n_b", percent) & (differing("sig_a", "sig_b") <= most))
-    tested = rest.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = keep(confirmed(keep(tested, "near-tested"), texts, n, percent), "near-more")
-    found = keep(components(links.unionByName(more)), "near-found") if not more.isEmpty() else first
+    stars = keep(near(held.where("rep <> p").where(alike("n", "pn", percent)).select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct()), "near-stars")
+    groups = keep(components(stars), "near-groups")
+    rest = keep(across(held, groups, sigs, most, percent), "near-rest")
+    if not rest.isEmpty():
+        groups = keep(components(stars.unionByName(rest)), "near-groups")
+
+    tested = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = keep(confirmed(tested, texts, n, percent), "near-links")
+    placed = groups.withColumnRenamed("component", "cluster").join(components(links), "id", "left").select("cluster", F.col("id").alias("rep"), F.coalesce("component", "id").alias("component"))
+    cells = keep(left_over(keep(placed, "near-placed")), "near-cells")
+    wanted = keep(cells.select(F.col("rep").alias("doc_id")).distinct(), "near-wanted")
+    cells = cells.join(sieve(texts, "doc_id", wanted).join(wanted, "doc_id").withColumnRenamed("doc_id", "rep"), "rep")
+    found = keep(components(links.unionByName(keep(joined(cells, n, percent), "near-joined"))), "near-found")
 
     by_class = classes.select(F.col("n").alias("n_shingles"), "k1", "k2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     by_class = by_class.select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
