@@ -66,15 +66,21 @@ def cover(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
         if len(runs & seen) <= 0.3 * len(runs):
             kept.append(set(ws))
             seen |= runs
+
+    def of(ws):
+        return {u for w in ws for u in units(w)}
+
     least = max(SUPPORT, len(kept) // SPREAD)
-    usual = Counter(u for ws in ordinary for u in {u for w in set(ws) for u in units(w)})
-    where = defaultdict(list)
+    support = Counter(u for ws in kept for u in of(ws))
+    support = {u: n for u, n in support.items() if n >= least and len(u) >= 3}
+    usual = Counter(u for ws in ordinary for u in of(set(ws)) if u in support)
+    often = {u for u, n in support.items() if n / len(kept) >= LIFT * (usual[u] + 0.5) / (len(ordinary) + 1)}
+    open_ = defaultdict(list)
     for i, ws in enumerate(kept):
         for w in ws:
             for u in units(w):
-                where[u].append((i, w))
-    support = {u: len({i for i, _ in at}) for u, at in where.items() if len(u) >= 3}
-    open_ = {u: where[u] for u, n in support.items() if n >= least and n / len(kept) >= LIFT * (usual[u] + 0.5) / (len(ordinary) + 1)}
+                if u in often:
+                    open_[u].append((i, w))
     need, found, done = [TIMES] * len(kept), set(), set()
     while open_:
         gain, _, _, unit = max((len({i for i, w in at if need[i] > 0 and (i, w) not in done}), u[-1:] != b"*", len(u), u) for u, at in open_.items())
