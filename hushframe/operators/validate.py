@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import first_failure, text_ok
-from ..functions.tokens import be64, commitment, record_bytes
+from ..functions.tokens import commitment, record_bytes
 
 MESSAGES = {0: "valid", 1: "malformed alert", 2: "schema commitment mismatch", 3: "alert serialization failed", 4: "invalid sensor public key", 5: "invalid sensor signature", 6: "sensor signature verification failed", 7: "recipient key is not 2048-bit RSA", 8: "invalid recipient key", 9: "RSA-OAEP encryption failed", 10: "ciphertext does not encrypt the alert"}
 #: Bounds of a typed alert: fixed values.
@@ -41,6 +41,3 @@ def checked(witnesses: DataFrame, descriptor: str = DESCRIPTOR) -> DataFrame:
     code = first_failure((well_formed(at), 1), (F.col("schema_commitment") == commitment(F.lit(descriptor)), 2), ((F.octet_length(modulus) == 256) & top, 7), (F.octet_length(alert_bytes(at)) <= MAX_PLAIN, 9))
     message = F.element_at(F.create_map(*[x for k, v in MESSAGES.items() for x in (F.lit(k), F.lit(v))]), code)
     return witnesses.withColumn("code", code).withColumn("message", message)
-
-
-__all__ = ["MESSAGES", "DESCRIPTOR", "well_formed", "alert_bytes", "checked", "be64"]
