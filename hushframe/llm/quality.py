@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .shared import keep, table
-from .textbytes import SPACE, distinct, hashes, slices, spans
+from .textbytes import distinct, hashes, slices, spans
 
 FEATURES, SEED, RIDGE, BINS, CUT = 256, 8, 0.001, 2000, 0.7
 _CLASSES = ("lower", "upper", "digit", "blank", "line", "stop", "bang", "bar", "mark", "other", "high")

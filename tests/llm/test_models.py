@@ -25,30 +25,6 @@ def test_jpeg_round_trip(parts):
     assert [media.payload(p, s) for p, s in zip(pictures, media.decode(pictures), strict=True)] == payloads
 
 
-def by_hand(raw, dc_lengths, ac_lengths):
-    """Decodes a grey picture without restart markers bit by bit."""
-    data = raw[raw.index(b"\xff\xda") + 10 : -2].replace(b"\xff\x00", b"\xff")
-    bits = "".join(f"{b:08b}" for b in data)
-    at, out, last = 0, [], 0
-    tables = [{f"{c:0{n}b}": s for s, (c, n) in t.items()} for t in (dc_lengths, ac_lengths)]
-
-    def symbol(t):
-        nonlocal at
-        code = ""
-        while code not in t:
-            code += bits[at]
-            at += 1
-        return t[code]
-
-    def extra(n):
-        nonlocal at
-        v = int(bits[at : at + n] or "0", 2)
-        at += n
-        return v - (1 << n) + 1 if n and v < 1 << (n - 1) else v
-
-    return tables, symbol, extra, out, last
-
-
 def grey(blocks, wide, high):
     """A grey picture with one scan, no restart markers, runs, ends of blocks and runs of 16."""
     lengths = {s: 8 for s in [*range(12)]}, {(r << 4 | n): 8 for r in range(16) for n in range(1, 9)} | {0x00: 8, 0xF0: 8}
