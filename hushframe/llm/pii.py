@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shuffled_by, table
+from .shared import first_by_hash, shuffled_by, table
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STEP, HIDDEN, SAMPLE, EPOCHS, SURE, SEED = 64, 32, 12, 300, 6, 0.9, 7
@@ -338,7 +338,7 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 def sample(docs: DataFrame, most: int = SAMPLE) -> list[str]:
     """At most `most` texts with a digit or an @ and at most 20,000 characters, by a seeded hash of the identifier."""
     some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
-    return [r.text for r in some.select("text", shuffled_by(F.lit(SEED), F.col("doc_id")).alias("h")).orderBy("h", "text").limit(most).collect()]
+    return [r.text for r in first_by_hash(some, [shuffled_by(F.lit(SEED), F.col("doc_id")), F.col("text")], most).select("text").collect()]
 
 
 def found(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
