@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .quality import isotonic, remainder
-from .shared import shuffled_by, table
+from .shared import first_by_hash, shuffled_by, table
 from .textbytes import slices
 
 SAMPLE, LONGEST, SEED, CUT = 2500, 60_000, 3, 0.7
@@ -158,7 +158,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most:
     """At most `most` texts of each label, by a seeded hash of the identifier; the driver gets no more than these."""
     truth = labels.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     h = shuffled_by(F.lit(SEED), F.col("doc_id"))
-    chosen = [truth.where((F.col("y") == k) & learn).orderBy(h, "doc_id").limit(most) for k in (0, 1)]
+    chosen = [first_by_hash(truth.where((F.col("y") == k) & learn), [h, F.col("doc_id")], most) for k in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * most rows of two numbers
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= LONGEST)
     rows = texts.join(chosen, "doc_id").select("doc_id", "text", "y").collect()
