@@ -131,3 +131,21 @@ def test_hashes_follow_the_words(spark):
     assert rows.tolist() == [0, 0, 0, 2, 2, 4, 5, 6, 6]
     h = N.hashes(data, start, end)
     assert h[0] == h[2] == h[4] == h[5] == h[7] and h[1] == h[3] and len(set(h.tolist())) == 4
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(500 - i, 499 - i) for i in range(40)] + [(rng.randrange(600, 700), rng.randrange(600, 700)) for _ in range(60)]
+    above = {x: x for e in edges for x in e}
+
+    def root(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        above[max(x, y)] = min(x, y)
+    found = N.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert {r.id: r.component for r in found} == {x: root(x) for x, y in above.items() if any(a != b and x in (a, b) for a, b in edges)} and len(found) == len({r.id for r in found})
+    assert N.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
