@@ -153,7 +153,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str, learn: Column) -> Model
         values = np.concatenate([np.concatenate([total[k][upper], right[k]]) for k in range(2)])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["at", "v"])
 
-    found = train.mapInArrow(sums, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toPandas()["v"].to_numpy().reshape(2, -1)
+    found = train.mapInArrow(sums, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toArrow().column("v").to_numpy().reshape(2, -1)
 
     def solved(sums: np.ndarray) -> np.ndarray:
         gram = np.zeros((size, size))
@@ -176,8 +176,8 @@ def fit(stats: DataFrame, labels: DataFrame, label: str, learn: Column) -> Model
                 hits += np.bincount(at, y[fold == k], BINS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(n), pa.array(hits)], ["at", "n", "hits"])
 
-    bins = train.mapInArrow(counts, "at bigint, n double, hits double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).orderBy("at").toPandas()
-    model.curve = np.clip(isotonic(bins["n"].to_numpy(), bins["hits"].to_numpy()), 0, 1)
+    bins = train.mapInArrow(counts, "at bigint, n double, hits double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).orderBy("at").toArrow()
+    model.curve = np.clip(isotonic(bins.column("n").to_numpy(), bins.column("hits").to_numpy()), 0, 1)
     return model
 
 
