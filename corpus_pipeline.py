@@ -7,12 +7,15 @@ Cases: each stage takes what its operator takes (null and empty texts, repeated
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.llm import exact_dedup, mixing, near_dedup, packing, quality
 from hushframe.llm.shared import keep, table
 
+#: A document with a lower quality score goes.
+REJECT = 0.5
+
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. Labels are learnt from the rows that op8 learns from; a document goes if its calibrated score is below REJECT, that is if it is more likely bad than good."""
@@ -21,15 +24,14 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).where(F.col("score") >= REJECT).select(*docs.columns)
 
 
-REJECT = 0.5
-
-
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the largest identifier; of rows that also share it, one."""
-    kept = exact_dedup.groups(docs).where("kept").select("doc_id", "text_sha256").distinct()
-    digest = exact_dedup.sha256_of(exact_dedup.lowered(F.col("text")))
-    rows = docs.withColumn("__digest", digest).join(kept.withColumnRenamed("doc_id", "__id"), (F.col("__digest") == F.col("text_sha256")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__digest"]).select(*docs.columns)
+    def key(digest):
+        return F.concat_ws(":", digest, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+
+    kept = exact_dedup.groups(docs).where("kept").select(key(F.col("text_sha256")).alias("__key")).distinct()
+    rows = docs.withColumn("__key", key(exact_dedup.sha256_of(exact_dedup.lowered(F.col("text"))))).join(kept, "__key", "left_semi")
+    return rows.dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
