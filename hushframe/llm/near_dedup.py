@@ -2,7 +2,7 @@
 
 A document's set holds its distinct runs of n words. Its signature has POSITIONS minhash values, each cut to 16 bits; two sets with similarity j differ in about (1 - j) POSITIONS of them. `distance` is the least number of differing positions that a pair at the similarity wanted exceeds with a probability below MISS. The join finds every pair of signatures within that distance: positions are split into m chunks, and by the pigeonhole principle, for a distance of m + a, one of the first a + 1 chunks differs in at most one position or one of the others in none. The allowed error of a chunk is enumerated by leaving out each of its positions in turn; two signatures within the distance share at least one such key.
 
-Groups of any size are handled without listing their pairs. Documents with equal sets are one class, with one representative. Signatures within the distance of the least representative they share a key with, and whatever else is within it across the groups so found, make candidate groups: every similar pair lies inside one of them. Links are then confirmed on the full sets. Each representative is first tested against one partner; components follow, and in a candidate group only those outside its largest component are left over. These are compared with the whole group in cells, a slice of the left-over against a slice of the group, and a cell returns no more links than it has documents, enough to join what belongs together.
+Groups of any size are handled without listing their pairs. Documents with equal sets are one class, with one representative. Signatures within the distance of the least representative they share a key with, and whatever else is within it across the groups so found, make candidate groups: every similar pair lies inside one of them. Links are then confirmed on the full sets. Each representative is first tested against one partner, and against one from another group if it has any, so a group of two is always tested; components follow, and in a candidate group only those outside its largest component are left over. These are compared with the whole group in cells, a slice of the left-over against a slice of the group, and a cell returns no more links than it has documents, enough to join what belongs together.
 
 Cases: null, empty or blank texts have an empty set and are linked with nothing; a text with fewer than n words has its whole sequence as its only element; rows of one identifier count as one document, linked if any of them is; a row without identifier is linked with nothing and kept; an empty table gives no rows; other columns of the input are ignored and may have any name.
 """
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     if not rest.isEmpty():
         groups = keep(components(stars.unionByName(rest)), "near-groups")
 
-    tested = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    tested = stars.groupBy("b").agg(F.min("a").alias("a")).unionByName(rest.groupBy("b").agg(F.min("a").alias("a"))).select("a", "b")
     links = keep(confirmed(tested, texts, n, percent), "near-links")
     placed = groups.withColumnRenamed("component", "cluster").join(components(links), "id", "left").select("cluster", F.col("id").alias("rep"), F.coalesce("component", "id").alias("component"))
     cells = keep(left_over(keep(placed, "near-placed")), "near-cells")

@@ -81,6 +81,37 @@ def test_against_all_pairs(copies, n, percent, monkeypatch):
     assert found == want
 
 
+def test_pair_whose_keys_all_have_a_smaller_dissimilar_holder(spark, words):
+    """a and b are similar; each key that they share is also held by a document of a smaller identifier that is similar to neither, so only across() meets the pair, and it is a cluster of two."""
+    rng = random.Random(12)
+    a = [rng.choice(words) for _ in range(150)]
+    b = [*a[:-4], *(rng.choice(words) for _ in range(4))]
+    runs = [" ".join(a[i : i + 3]) for i in range(148)]
+    sigs = N.signed(spark.createDataFrame([row(i, t) for i, t in enumerate([*runs, " ".join(a)])], SCHEMA).select("doc_id", "text"), 3).orderBy("doc_id").collect()
+    sigs = np.array([r.sig for r in sigs]).view(np.uint16).reshape(149, N.POSITIONS)
+    least = (sigs[:-1] == sigs[-1]).argmax(axis=0)  # the run that gives a its value in each position
+    chunks, rows = N.layout(N.distance(85)), []
+    for start, length, errors in chunks:
+        for left_out in range(length) if errors else (-1,):
+            for _ in range(8):  # a word between the runs makes other runs, which may undercut
+                kept = [runs[least[start + i]] for i in range(length) if i != left_out]
+                rows.append(row(len(rows), " ".join(x for t in kept for x in (t, rng.choice(words)))))
+    assert len(rows) < 1000
+    rows += [row(1000, " ".join(a)), row(1001, " ".join(b))]
+    df = spark.createDataFrame(rows, SCHEMA)
+
+    signed = N.signed(df.select("doc_id", "text"), 3)
+    held = {}
+    for r in N.keyed(signed.withColumnRenamed("doc_id", "rep").withColumnRenamed("n_shingles", "n"), chunks).collect():
+        held.setdefault(r.key, set()).add(r.rep)
+    shared = [reps for reps in held.values() if {1000, 1001} <= reps]
+    assert shared and all(min(reps) < 1000 for reps in shared)
+    want = truth([(r[0], r[1]) for r in rows if r[0] >= 1000], 3, 85)
+    assert want[1001][1] == 1000
+    found = {r.doc_id: r.component_id for r in N.near_duplicates(df, 3, 85).where("doc_id >= 1000").collect()}
+    assert found == {1000: 1000, 1001: 1000}
+
+
 def test_odd(odd, empty):
     found = N.near_duplicates(odd, 3, 85).collect()
     assert len(found) == odd.count()
