@@ -294,6 +294,15 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judged(df.where("page_id in (4, 6, 7)")).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("n", [1, 2, 4])
+def test_urls_with_few_of_a_label(n):
+    judge = urls.fit([(f"http://good{i}.org/fr/page/{i}".encode(), "allow") for i in range(n)] + [(f"http://bad{i}.spam.net/win/{i}".encode(), "block") for i in range(60)])
+    text = [b"bad1.spam.com/win/1", b"good1.example/fr/page/5"]
+    score = judge.score(np.frombuffer(b"".join(text), np.uint8), np.cumsum([0, *map(len, text)]))
+    assert score[0] > judge.threshold >= score[1] and (n > 1 or judge.threshold == 0)
+    assert urls.fit([(b"http://a.org/fr/", "allow")] * n) is None
+
+
 # Personal data
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
