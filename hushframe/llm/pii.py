@@ -304,15 +304,12 @@ def added(texts: list[str], known: list[list[tuple[int, int, int]]], net: Net) -
         best: dict[int, tuple[int, int, float]] = {}
         for j, s in enumerate(starts, first):
             end = s + WINDOW >= len(text)
-            for i in np.flatnonzero(tags[j]).tolist():
+            for i, (tag, p) in enumerate(zip(tags[j, : len(text) - s].tolist(), sure[j].tolist(), strict=False)):
                 rank = WINDOW if (s == 0 and i < STEP) or (end and i >= STEP) else int(middle[i])
-                if s + i < len(text) and best.get(s + i, (-1,))[0] < rank:
-                    best[s + i] = (rank, int(tags[j, i]), float(sure[j, i]))
-            for i in np.flatnonzero(tags[j] == 0).tolist() if best else ():
-                if best.get(s + i, (WINDOW,))[0] < middle[i]:
-                    del best[s + i]
+                if best.get(s + i, (-1,))[0] < rank:
+                    best[s + i] = (rank, tag, p)
         first += len(starts)
-        places = sorted(best)
+        places = sorted(p for p, (_, tag, _) in best.items() if tag)
         a = 0
         while a < len(places):
             b = a

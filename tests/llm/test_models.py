@@ -396,6 +396,17 @@ def test_pii_rows(spark, odd, empty, net):
         assert all(b <= x or y <= a for _, x, y in plain_base(text))
 
 
+def test_none_of_the_better_placed_window_stays():
+    class Fixed:
+        def decode(self, x):
+            tags = np.zeros(x.shape, np.int64)
+            tags[pii.windows(text).index(32), 1:15] = 4  # the edge of the second window; the first says none nearer its middle
+            return tags, np.ones(x.shape)
+
+    text = ("a " * 16 + " (555) 123-4567 ").ljust(300, "a")
+    assert text[33:47] == "(555) 123-4567" and pii.windows(text)[0] == 0 and pii.added([text], [[]], Fixed()) == [[]]
+
+
 # The pipeline
 
 
