@@ -1,6 +1,6 @@
 """Personal data: patterns with checks, and a character-level bidirectional LSTM with CRF transitions.
 
-Base spans come from four patterns with checks (mail address, IPv4 address, card number by Luhn, international phone number). The model then adds what has the look of such data but not the exact form, like phone numbers without a plus sign. It is written in numpy: characters become classes, two LSTMs read a window forwards and backwards, a linear layer gives a score for each tag, and a CRF with learnt transitions gives the best sequence and each character's probability. It is trained on labelled spans: of a bounded sample of the texts (SAMPLE texts with a digit or an @, first in a seeded hash order), labelled by the patterns, and of generated sentences with data in more forms than the patterns know.
+Base spans come from four patterns with checks (mail address, IPv4 address, card number by Luhn, international phone number). The model then adds what has the look of such data but not the exact form, like phone numbers without a plus sign. It is written in numpy: characters become classes, two LSTMs read a window forwards and backwards, a linear layer gives a score for each tag, and a CRF with learnt transitions gives the best sequence and each character's probability. It is trained on labelled spans: of a bounded sample of the texts (SAMPLE texts with a digit or an @, of at most LONGEST characters, first in a seeded hash order; PER_TEXT windows of each, drawn by seed), labelled by the patterns, and of generated sentences with data in more forms than the patterns know.
 
 All kinds of data have a digit or an @, so windows are laid around these signs, over the whole text; elsewhere the tag is "none" by definition. Windows overlap by half; each character takes its tag from the window in whose middle it stands most, over the whole text, and spans are read from the tags so reconciled. An added span must keep clear of base spans, must be sure (SURE for each of its characters) and must pass its kind's check.
 
@@ -24,6 +24,8 @@ from .shared import first_by_hash, shuffled_by, table
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STEP, HIDDEN, SAMPLE, EPOCHS, SURE, SEED = 64, 32, 12, 300, 6, 0.9, 7
+#: Of each text that trains, so many windows, drawn by seed from the whole text; longer texts do not train, to bound what reaches the driver.
+PER_TEXT, LONGEST = 10, 20_000
 TRIGGER = re.compile(r"[0-9@]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -265,8 +267,9 @@ def train(texts: list[str]) -> Net:
     xs, ys = [], []
     for text, spans in rows:
         x, y, _ = cut(text, tagged(text, spans))
-        xs.append(x[:10])
-        ys.append(y[:10])
+        some = sorted(rng.sample(range(len(x)), min(PER_TEXT, len(x))))
+        xs.append(x[some])
+        ys.append(y[some])
     x, y = np.concatenate(xs), np.concatenate(ys)
     order = np.random.default_rng(SEED)
     net = Net.fresh(order)
@@ -333,8 +336,8 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def sample(docs: DataFrame, most: int = SAMPLE) -> list[str]:
-    """At most `most` texts with a digit or an @ and at most 20,000 characters, by a seeded hash of the identifier."""
-    some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
+    """At most `most` texts with a digit or an @ and at most LONGEST characters, by a seeded hash of the identifier."""
+    some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= LONGEST))
     return [r.text for r in first_by_hash(some, [shuffled_by(F.lit(SEED), F.col("doc_id")), F.col("text")], most).select("text").collect()]
 
 

@@ -407,6 +407,19 @@ def test_none_of_the_better_placed_window_stays():
     assert text[33:47] == "(555) 123-4567" and pii.windows(text)[0] == 0 and pii.added([text], [[]], Fixed()) == [[]]
 
 
+def test_training_draws_windows_from_the_whole_text(monkeypatch):
+    seen = []
+
+    def step(self, x, y):
+        seen.append(y)
+        return {k: np.zeros_like(v) for k, v in self.p.items()}
+
+    monkeypatch.setattr(pii, "generated", lambda n, rng: [])
+    monkeypatch.setattr(pii.Net, "step", step)
+    pii.train(["7 word word " * 100 + "bob@mail.example " * 100])
+    assert len(seen[0]) == pii.PER_TEXT and seen[0].any() and not seen[0].all(axis=1).any()
+
+
 # The pipeline
 
 
