@@ -1,6 +1,6 @@
 """Personal data: patterns with checks, and a character-level bidirectional LSTM with CRF transitions.
 
-Base spans come from four patterns with checks (mail address, IPv4 address, card number by Luhn, international phone number). The model then adds what has the look of such data but not the exact form, like phone numbers without a plus sign. It is written in numpy: characters become classes, two LSTMs read a window forwards and backwards, a linear layer gives a score for each tag, and a CRF with learnt transitions gives the best sequence and each character's probability. It is trained on labelled spans: of a bounded sample of the texts (SAMPLE texts with a digit or an @, of at most LONGEST characters, first in a seeded hash order; PER_TEXT windows of each, drawn by seed), labelled by the patterns, and of generated sentences with data in more forms than the patterns know.
+Base spans come from four patterns with checks (mail address, IPv4 address, card number by Luhn, international phone number). The model then adds what has the look of such data but not the exact form, like phone numbers without a plus sign; its checks let in effect only phones and cards pass, since a mail or IP address in the exact form is a base span already and other forms of these are not added. It is written in numpy: characters become classes, two LSTMs read a window forwards and backwards, a linear layer gives a score for each tag, and a CRF with learnt transitions gives the best sequence and each character's probability. It is trained on labelled spans: of a bounded sample of the texts (SAMPLE texts with a digit or an @, of at most LONGEST characters, first in a seeded hash order; PER_TEXT windows of each, drawn by seed), labelled by the patterns, and of generated sentences with data in more forms than the patterns know.
 
 All kinds of data have a digit or an @, so windows are laid around these signs, over the whole text; elsewhere the tag is "none" by definition. Windows overlap by half; each character takes its tag from the window in whose middle it stands most, over the whole text, and spans are read from the tags so reconciled. An added span must keep clear of base spans, must be sure (SURE for each of its characters) and must pass its kind's check.
 
