@@ -64,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Minhash links and trained scores are beyond SQL; tests hold each stage against a brute-force version.
+#: Minhash links and trained scores are beyond SQL; tests hold the stages exact_dedup, near_dedup and mixing against plain versions, quality against planted labels and op2 against a plain search; of run() they only check that its documents passed the first stage.
 ORACLE_SQL = None

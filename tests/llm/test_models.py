@@ -459,3 +459,48 @@ def test_pipeline_stages(spark, words, tmp_path):
     packed = cp.run(spark, sf).collect()
     assert packed and {r.doc_id for r in packed} <= ids
     assert all(s[1](spark, docs.where("false"), sf).count() == 0 for s in cp.STAGES)
+
+
+def plain_mix(docs):
+    """How often each identifier stands in the mixture, for (doc_id, text, source) numbered as they come."""
+    from fractions import Fraction
+
+    from hushframe.llm import mixing
+
+    sized = [(i, d, "z" if s is None else f"s{s}", len(re.findall(r"[^\x20\x09-\x0d]+", t or ""))) for i, (d, t, s) in enumerate(docs)]
+    names = sorted({k for _, _, k, _ in sized})
+    size = {k: sum(n for _, _, x, n in sized if x == k) for k in names}
+    weight = {k: mixing.WEIGHTS[i % len(mixing.WEIGHTS)] for i, k in enumerate(names)}
+    full: set = set()
+    while True:  # what a full source cannot take goes to the others by weight
+        rest = [k for k in names if k not in full]
+        level = (Fraction(mixing.SHARE) * sum(size.values()) - sum(mixing.MOST * size[k] for k in full)) / sum(weight[k] for k in rest)
+        more = {k for k in rest if level * weight[k] > mixing.MOST * size[k]}
+        if not more:
+            break
+        full |= more
+    times = {}
+    for k in names:
+        take, at = int((mixing.MOST * size[k] if k in full else level * weight[k]) + Fraction(1, 2)), 0
+        for number in range(mixing.MOST):
+            for _, d, n in sorted((hashlib.md5(f"{mixing.SEED}:{number}:{i}".encode()).hexdigest()[:15], d, n) for i, d, x, n in sized if x == k and n):
+                if at < take:
+                    times[d] = times.get(d, 0) + 1
+                at += n
+    return times
+
+
+def test_near_and_mixing_stages_against_plain_versions(spark, words):
+    import corpus_pipeline as cp
+    from test_near import truth
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(5, 90))), "en", rng.choice(["a", "a", "b", "c", None]), 0) for i in range(150)]
+    rows += [(1000 + i, rows[i][1] + " more", "en", "b", 0) for i in range(20)] + [(2000, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1)
+    want = truth([(r[0], r[1]) for r in rows], 5, 80)
+    assert sorted(r.doc_id for r in cp.drop_near_copies(spark, docs, "").collect()) == sorted(d for d in want if want[d][1] == d)
+    times = {}
+    for r in cp.mix_sources(spark, docs, "").collect():
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    assert times == plain_mix([(r[0], r[1], r[3]) for r in rows]) and set(times.values()) == {1, 2}
