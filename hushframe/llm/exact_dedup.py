@@ -2,20 +2,19 @@
 
 Documents arrive as a stream of (digest, identifier). A Structured Streaming aggregation keyed by the digest keeps, in RocksDB on the executors' disks, one small row for each digest: the largest identifier, which also locates the content, and the number of arrivals. There is no watermark, so the state never expires, and a restart with the same state folder goes on from it. Texts never enter the state.
 
-A digest that occurs twice is a hit, not yet a copy: the text of each hit is compared byte for byte with the text the state points to. What differs in spite of an equal digest (a collision) is grouped by its whole text instead, so the result is exact for any digest.
+A digest that occurs twice is a hit, not yet a copy: the texts of hits are compared byte for byte, by grouping them by digest and whole text, where each task first puts equal texts of its own rows together, so a text with a third of all rows leaves a task once. A digest with several texts (a collision) is split by whole text, so the result is exact for any digest. Where rows look up their digest in the state, hot digests are broadcast (shared.joined_to_few), so none is one task's work.
 
-Cases: null counts as empty text, and all empty texts are equal; rows that agree in identifier and text are copies of each other and share one fate; a null identifier never stays if a copy has one; an empty table gives no rows; other columns of the input are ignored and may have any name.
+Cases: null counts as empty text, and all empty texts are equal; a very long text is hashed and compared whole; rows that agree in identifier and text are copies of each other and share one fate; a null identifier never stays if a copy has one; an empty table gives no rows; other columns of the input are ignored, but for those to carry, and may have any name.
 """
 
 from __future__ import annotations
 
-import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, keep, lowered, shared_dir, sieve
+from .shared import LOWER, UPPER, forget, joined_to_few, keep, lowered, shared_dir, sieve
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -25,20 +24,14 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition sets several MB of disk aside
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
-#: Copies of one digest are compared in slices of about so many.
-SLICE = 64
 
 
-@contextlib.contextmanager
-def settings(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
+def with_settings(spark: SparkSession, values: dict[str, str]) -> SparkSession:
+    """A session with spark's settings and these, so that no other query of spark sees them."""
+    session = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
     for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        session.conf.set(k, v)
+    return session
 
 
 def sha256_of(text: Column) -> Column:
@@ -47,11 +40,10 @@ def sha256_of(text: Column) -> Column:
 
 def absorb(spark: SparkSession, arrivals: str, state: str, out: str) -> None:
     """Runs all new files of the folder `arrivals` (doc_id, digest) through the state in `state`; what changed in a run goes to `out`/batch=n. A batch that is run again replaces its own folder."""
-    stream = spark.readStream.schema("doc_id bigint, digest string").parquet(arrivals)
+    stream = with_settings(spark, STATE).readStream.schema("doc_id bigint, digest string").parquet(arrivals)
     seen = stream.groupBy("digest").agg(F.max("doc_id").alias("locator"), F.count(F.lit(1)).alias("arrivals"))
-    with settings(spark, STATE):
-        query = seen.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", state).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
-        query.awaitTermination()
+    query = seen.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", state).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
+    query.awaitTermination()
 
 
 def known(spark: SparkSession, out: str) -> DataFrame:
@@ -60,39 +52,36 @@ def known(spark: SparkSession, out: str) -> DataFrame:
     return changes.groupBy("digest").agg(F.max_by(F.struct("locator", "arrivals"), "batch").alias("s")).select("digest", "s.*")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_of) -> DataFrame:
-    """doc_id, text_sha256, keep_id, group_size, kept, repeats: one row for each row of docs. repeats numbers rows that agree in identifier and text, from 1, for callers that want one of them."""
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_of, carry: str | None = None) -> DataFrame:
+    """doc_id, text_sha256, keep_id, group_size, kept: one row for each row of docs. carry: a numeric column of docs that goes with them."""
     spark, home = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/dedup-{uuid.uuid4().hex}"
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), lowered(F.col(text_col)).alias("norm"))
-    texts.select("doc_id", digest(F.col("norm")).alias("digest")).write.parquet(f"{home}/arrivals")
+    more = [carry] if carry else []
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), lowered(F.col(text_col)).alias("norm"), *more)
+    own = [] if digest is sha256_of else [sha256_of(F.col("norm")).alias("text_sha256")]
+    full = texts.withColumn("digest", digest(F.col("norm")))
+    full.select("doc_id", "digest", *own, *more).write.parquet(f"{home}/arrivals")
+    arrived = spark.read.parquet(f"{home}/arrivals")
+    if digest is sha256_of:
+        arrived = arrived.withColumn("text_sha256", F.col("digest"))
     absorb(spark, f"{home}/arrivals", f"{home}/state", f"{home}/changes")
-    state = known(spark, f"{home}/changes")
-    arrived = spark.read.schema("doc_id bigint, digest string").parquet(f"{home}/arrivals")
-
-    # Hits alone bring their texts. Salted by doc_id; the text the state points to goes to each salt of a digest that has more copies than salts could leave in one task.
-    many = state.where("arrivals > 1").select("digest", "locator", F.expr(f"arrivals div {SLICE} + 1").cast("int").alias("salts"))
-    full = texts.select("doc_id", "norm", digest(F.col("norm")).alias("digest"))
-    hits = sieve(full, "digest", many).join(many, "digest").withColumn("salt", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.col("salts")))
-    located = hits.where(F.col("doc_id").eqNullSafe(F.col("locator"))).groupBy("digest", "salts").agg(F.min("norm").alias("kept_norm"))
-    located = located.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts").cast("bigint") - 1))).drop("salts")
-    # Without an identifier in the whole group there is no locator; any of its texts will do.
-    checked = hits.join(located, ["digest", "salt"]).withColumn("same", F.col("norm") == F.col("kept_norm"))
-    collided = keep(checked.where(~F.col("same")).select("doc_id", "digest", "norm"), "collided")
-    whole = arrived.join(state.select("digest", "locator", "arrivals"), "digest")
-    if not collided.isEmpty():
-        gone = collided.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        apart = collided.join(gone, ["digest", "norm"]).select("doc_id", sha256_of(F.col("norm")).alias("text_sha256"), "keep_id", "group_size")
-        fewer = collided.groupBy("digest").agg(F.count(F.lit(1)).alias("less"))
-        stay = checked.where("same").select("doc_id", "digest", "norm").join(many.select("digest", "locator"), "digest").join(state.select("digest", "arrivals"), "digest").join(fewer, "digest", "left")
-        stay = stay.select("doc_id", sha256_of(F.col("norm")).alias("text_sha256"), F.col("locator").alias("keep_id"), (F.col("arrivals") - F.coalesce("less", F.lit(0))).alias("group_size"))
-        single = full.join(state.where("arrivals = 1").select("digest"), "digest").select("doc_id", sha256_of(F.col("norm")).alias("text_sha256"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
-        found = single.unionByName(stay).unionByName(apart)
-    else:
-        exact = F.col("digest") if digest is sha256_of else None
-        if exact is None:
-            whole = full.join(state.select("digest", "locator", "arrivals"), "digest")
-            exact = sha256_of(F.col("norm"))
-        found = whole.select("doc_id", exact.alias("text_sha256"), F.col("locator").alias("keep_id"), F.col("arrivals").alias("group_size"))
+    state = keep(known(spark, f"{home}/changes"), "dedup-known")
+    total = arrived.count()
+
+    # Hits alone bring their texts, one for each distinct text and task.
+    met = sieve(full.select("doc_id", "norm", "digest"), "digest", state.where("arrivals > 1").select("digest"))
+    met = met.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    kinds = keep(met.groupBy("digest").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "dedup-collided")
+    whole = arrived.select("doc_id", "digest", "text_sha256", *more)
+    if kinds.isEmpty():
+        forget(kinds)
+        found = joined_to_few(whole, ["digest"], state, "arrivals", total)
+        found = found.select("doc_id", "text_sha256", F.col("locator").alias("keep_id"), F.col("arrivals").alias("group_size"), *more)
+    else:  # texts themselves decide within such digests
+        apart = full.join(kinds.select("digest"), "digest").select("doc_id", "digest", "norm", *more)
+        each = keep(apart.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "dedup-texts")
+        apart = apart.join(each, ["digest", "norm"]).select("doc_id", sha256_of(F.col("norm")).alias("text_sha256"), "keep_id", "group_size", *more)
+        single = joined_to_few(whole.join(kinds.select("digest"), "digest", "left_anti"), ["digest"], state, "arrivals", total)
+        found = single.select("doc_id", "text_sha256", F.col("locator").alias("keep_id"), F.col("arrivals").alias("group_size"), *more).unionByName(apart)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; where it is unset (tests on one machine) a temporary folder, which is then set."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where it is unset, a temporary folder is set on a local master (tests on one machine); a cluster without it is an error, since its executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="hushframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,7 +30,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: it is computed once, and a lost executor costs no more than the tasks that read it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.kept_at = path
+    return found
+
+
+def forget(*kept: DataFrame) -> None:
+    """Deletes what keep() wrote. Only for tables that no frame still to be read depends on."""
+    for df in kept:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,26 +87,104 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[Column
     return df.withColumn("__in", F.coalesce(F.sum("__w").over(inner), F.lit(0))).join(sums, [*group, bucket]).withColumn(out, F.col("__before") + F.col("__in")).drop("__w", "__in", "__before")
 
 
-#: Bits of a sieve: 4 MB in 1,024 rows, whatever the number of keys.
-SIEVE_BITS = 25
+#: Rows of a bitmap hold so many bits (2^15, 4 KB); a broadcast bitmap has at most so many (2^28, 32 MB).
+CHUNK_BITS, MOST_BITS = 15, 28
+
+
+def bitmap(at: DataFrame) -> DataFrame:
+    """From rows (__at), numbers of bits: __chunk, __bits, one row for each 2^15 bits that has any set."""
+    return at.groupBy(F.shiftright("__at", CHUNK_BITS).alias("__chunk")).agg(F.bitmap_construct_agg(F.col("__at").bitwiseAND(F.lit((1 << CHUNK_BITS) - 1))).alias("__bits"))
+
+
+def set_in(bits: str = "__bits", at: str = "__at") -> Column:
+    """Whether the bit is set in its row of the bitmap."""
+    byte = f"cast(conv(hex(substring({bits}, cast(({at} & {(1 << CHUNK_BITS) - 1}) div 8 as int) + 1, 1)), 16, 10) as int)"
+    return F.expr(f"shiftright({byte}, cast({at} & 7 as int)) & 1 = 1")
 
 
 def sieve(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose key may be among those of `wanted`, and few others, before anything is shuffled.
+    """The rows whose key is among those of `wanted`, and about one in sixteen others, before anything is shuffled; an exact join must follow.
 
-    The keys wanted are hashed into a bitmap of fixed size, built by an aggregation and broadcast (4 MB at most, so its size has a proven bound), and each row looks up its bit. With very many keys the bitmap fills up and lets all rows pass: an exact join must follow, and it stays right then, only slower.
+    The keys wanted are counted and hashed into a bitmap of 16 to 32 bits a key, which is built by an aggregation and broadcast. It has at most 2^MOST_BITS bits (32 MB, a proven bound); of more keys, each range of hashes gets a bitmap and a pass over the rows of its own, so that as few others pass at any number of keys.
     """
-    def at(c):
-        return F.shiftrightunsigned(F.xxhash64(c), 64 - SIEVE_BITS)
-
-    bits = wanted.select(at(F.col(key)).alias("__at")).groupBy(F.shiftright("__at", 15).alias("__chunk")).agg(F.bitmap_construct_agg(F.col("__at").bitwiseAND(F.lit(32767))).alias("__bits"))
-    names = rows.columns
-    rows = rows.withColumn("__at", at(F.col(key))).withColumn("__chunk", F.shiftright("__at", 15))
-    byte = "cast(conv(hex(substring(__bits, cast((__at & 32767) div 8 as int) + 1, 1)), 16, 10) as int)"
-    return rows.join(F.broadcast(bits), "__chunk").where(f"shiftright({byte}, cast(__at & 7 as int)) & 1 = 1").select(*names)
+    bits = max(20, math.ceil(math.log2(16 * max(1, wanted.count()))))
+    ranges = 1 << max(0, bits - MOST_BITS)
+    bits = min(bits, MOST_BITS)
+    names, found = rows.columns, None
+
+    def placed(df):  # the lowest bits of the hash choose the range, the highest the bit
+        h = F.xxhash64(F.col(key))
+        return df.withColumns({"__range": h.bitwiseAND(F.lit(ranges - 1)), "__at": F.shiftrightunsigned(h, 64 - bits)})
+
+    for i in range(ranges):
+        mine, some = (placed(df) for df in (rows, wanted.select(key)))
+        if ranges > 1:
+            mine, some = mine.where(F.col("__range") == i), some.where(F.col("__range") == i)
+        mine = mine.withColumn("__chunk", F.shiftright("__at", CHUNK_BITS))
+        passed = mine.join(F.broadcast(bitmap(some.select("__at"))), "__chunk").where(set_in()).select(*names)
+        found = passed if found is None else found.unionByName(passed)
+    return found
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Names of Spark's part files: the task's number, and the file's number within the task.
+_PART = r"^part-(\d{1,6})(?:-[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})?(?:-c(\d{1,3}))?(?:\.[a-z0-9]+)?\.parquet$"
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number for each row that every read of the result finds again, whatever the executors: from the number of the file that Spark wrote and the row's place in it. Rows that do not come straight from such files, each with a number of its own, are written first."""
+    plan = df._jdf.queryExecution().analyzed()
+    files = [f.rsplit("/", 1)[-1] for f in df.inputFiles()] if plan.getClass().getSimpleName() == "LogicalRelation" else []
+    found = [re.match(_PART, f) for f in files]
+    if not found or not all(found) or len({(int(m[1]), int(m[2] or 0)) for m in found}) < len(found):
+        df = keep(df, "numbered")
+    meta = df.metadataColumn("_metadata")
+    part, more = (F.coalesce(F.regexp_extract(meta["file_name"], _PART, i).try_cast("bigint"), F.lit(0)) for i in (1, 2))
+    return df.withColumn(name, part * F.lit(1 << 42) + more * F.lit(1 << 32) + meta["row_index"])
+
+
+def picked(rows: DataFrame, number: str, wanted: DataFrame) -> DataFrame:
+    """The rows of a numbered() table whose number is among those of `wanted` (one column, `number`). Numbers are dense in each file, so an exact bitmap has about a bit a row; up to 2^MOST_BITS of them (32 MB) are broadcast and the rows stay where they are, more are joined by a shuffle."""
+    at = wanted.select(F.col(number).alias("__at"))
+    bits = keep(bitmap(at), "picked")
+    if bits.count() <= 1 << (MOST_BITS - CHUNK_BITS):
+        bits = F.broadcast(bits)
+        placed = rows.withColumns({"__at": F.col(number), "__chunk": F.shiftright(F.col(number), CHUNK_BITS)})
+        return placed.join(bits, "__chunk").where(set_in()).select(*rows.columns)
+    return rows.join(wanted.select(number).distinct(), number, "left_semi").select(*rows.columns)
+
+
+#: By the pigeonhole principle fewer than so many keys hold more than one row in so many: what is broadcast for them is bounded.
+HOT_KEYS, HOT_ROWS = 20_000, 64
+
+
+def joined_to_few(rows: DataFrame, keys: list[str], side: DataFrame, size: str, total: int) -> DataFrame:
+    """rows joined to `side`, which has one row for each key and in column `size` the number of rows with the key, of `total` in all. Keys with more than total / HOT_KEYS rows are broadcast (fewer than HOT_KEYS), so no task gets all rows of a hot key; the others are joined by a shuffle. side should be kept, as it is read twice; its key columns are not null."""
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    more = [c for c in side.columns if c not in keys]
+    few = side.where(F.col(size) > bound).withColumnRenamed(size, "__hot").select(*keys, F.lit(True).alias("__is"), *[F.col("__hot" if c == size else c).alias(f"__{c}") for c in more])
+    looked = rows.join(F.broadcast(few), keys, "left")
+    hot = looked.where(F.col("__is")).select(*rows.columns, *[F.col(f"__{c}").alias(c) for c in more])
+    cold = looked.where(F.col("__is").isNull()).select(*rows.columns).join(side.where(F.col(size) <= bound), keys)
+    return hot.unionByName(cold.select(*rows.columns, *more))
 
 
 def first_by_hash(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
-    """The first `most` rows in the order of a 60-bit hash (the first of `order`; the others break ties). Rows are counted first and only hashes below a bound go on, about twice as many as wanted in all, so what reaches the driver does not grow with the partitions."""
-    bound = min(1 << 60, (1 << 60) * (2 * most + 1000) // max(1, rows.count()))
-    return rows.where(order[0] < bound).orderBy(*order).limit(most)
+    """The first `most` rows in the order of a 60-bit hash (the first of `order`; the others break ties). Rows are counted, and only hashes below a bound, which lets about twice as many pass as wanted, are sorted; where equal hashes leave too few, the bound is widened. The result is written, so the driver gets no more than `most` rows, however many partitions there are."""
+    total, spark = rows.count(), rows.sparkSession
+    if not total:
+        return spark.createDataFrame([], rows.schema)
+    bound = min(1 << 60, (1 << 60) * (2 * most + 1000) // total)
+    while True:
+        found = keep(rows.where(order[0] < bound).orderBy(*order).limit(most), "first")
+        if bound >= 1 << 60 or found.count() >= min(most, total):
+            return found
+        forget(found)
+        bound = min(1 << 60, bound * 16)
