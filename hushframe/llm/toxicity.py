@@ -1,20 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A window, here a word between two marks, is compressed with both; it is the shorter with the dictionary that knows it. A window's margin is the ordinary length less the toxic one, and a document's statistic the sum of the two largest margins of its windows. Thresholds come from calibration: on labelled documents that trained neither dictionary, an isotonic fit gives the share of toxic documents at each value of the statistic.
+Three zstandard dictionaries are trained: one on ordinary text, and one on each of two halves of the toxic texts. A window is a run of a few words; windows overlap, one begins at each word. It is compressed with all three, and its margin is the length with the ordinary dictionary less the larger of the two toxic lengths: what only one half knows, like a passage of one document, gains nothing. Long windows vary more than short ones, so a margin is measured in deviations of the margins that windows of the same number of bytes have in ordinary documents, and a document's statistic is the sum of its TOP largest, over its distinct windows with a margin above 0. The threshold comes from calibration: on labelled documents that trained no dictionary, an isotonic fit, weighted to the labels' shares in the table, gives the share of toxic documents at each value of the statistic.
 
-What the toxic dictionary is trained on decides its worth, for toxic documents consist mostly of ordinary words. From the toxic documents (near copies of one another count once) a cover is chosen greedily: the words and beginnings of words, far more frequent there than in ordinary documents, that explain the most documents not yet explained a few times over. The toxic text is what is left of these documents when only words of the cover stay.
+Toxic documents consist mostly of ordinary words, so their dictionaries are trained again in ROUNDS: of a half's windows those stay that the other half's dictionary compresses better than the ordinary one does, by more than all but a small share (the round's) of the windows of ordinary documents. Nothing but compressed lengths chooses them. Documents that repeat others (over 30 % of their runs of three words) train once, and a window that stands in several toxic documents is a shared passage and trains nothing. Each setting of SETTINGS (words in a window, bytes of a toxic dictionary) is learnt, and the one stays that finds most toxic calibration documents at 1 % false alarms, and of equals the one that ranks best.
 
-Learning takes at most SAMPLE labelled documents of each label, those first in a seeded hash order, and of them texts of at most LONGEST characters; it never reads identifier, language or source. Scoring reads every whole text. Distinct words are compressed once for each batch of texts and remembered, up to a bound, from batch to batch.
+Learning takes at most SAMPLE labelled rows of each label, whole, those first in a seeded hash order; it never reads identifier, language or source. Scoring reads every whole text. Distinct windows are compressed once for each batch of texts and remembered, up to a bound, from batch to batch.
 
-Cases: a null or empty text has statistic 0; an identifier that is labelled twice counts with its larger label, a null label not at all; without toxic training documents every score is 0; other columns of the input stay as they are, but those that the result adds replace columns of the same names.
+Cases: a null or empty text has no window and statistic 0; a text with fewer words than a window is one window; an identifier that is labelled twice counts with its larger label, a null label not at all; repeated rows are scored alike and train once; without labelled texts of both labels every score is 0; an empty table gives no rows; other columns of the input stay as they are, but those that the result adds replace columns of the same names.
 """
 
 from __future__ import annotations
 
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +24,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .quality import isotonic, remainder
-from .shared import first_by_hash, shuffled_by, table
+from .shared import first_by_hash, keep, shuffled_by, table
 from .textbytes import slices
 
-SAMPLE, LONGEST, SEED, CUT = 2500, 60_000, 3, 0.7
-#: The toxic cover: each document is to be explained so many times, by units that occur in so many documents, in one of so many at least, so many times as frequent as in ordinary text.
-TIMES, SUPPORT, SPREAD, LIFT = 4, 3, 200, 20
-ORDINARY_BYTES, TOXIC_BYTES, REMEMBERED, MOST = 16_384, 8_192, 200_000, 30
-#: A word stands between these marks, so that a match with a whole word is longer than one with a part; the last parts words in training text.
-OPEN, CLOSE, APART = b"\x01\x01\x01", b"\x02\x02\x02", b"\x03"
+SAMPLE, SEED, CUT, TOP = 2000, 3, 0.7, 3
+#: Words in a window and bytes of each toxic dictionary.
+SETTINGS = ((2, 8_192), (3, 16_384))
+#: The share of ordinary windows that a round lets through, and the dictionary's bytes before the first.
+ROUNDS, FIRST_BYTES, ORDINARY_BYTES = (0.01, 0.01, 0.01, 0.005, 0.005, 0.003), 65_536, 1_000_000
+#: Windows that train the ordinary dictionary; ordinary documents whose windows set the deviations; windows that a scorer remembers.
+ORDINARY_WINDOWS, MEASURED, REMEMBERED = 400_000, 400, 200_000
+#: A word stands between the first two marks; the third ends a window, since zstandard begins no match in the last eight bytes.
+OPEN, CLOSE, END = b"\x01", b"\x02", b"\x03" * 8
+LONGEST = 96  # bytes of a window, from which on all count as one length
 _BLANK = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 32 or chr(c) in "\"#$%&()*+,./:;<=>?@[\\]^_`{|}~!" else c for c in range(256))
 
 
@@ -40,129 +44,199 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_BLANK).split()
 
 
-def settings() -> zstandard.ZstdCompressionParameters:
-    return zstandard.ZstdCompressionParameters(window_log=16, hash_log=16, chain_log=16, search_log=5, min_match=6, target_length=64, strategy=zstandard.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+def windows(ws: list[bytes], k: int) -> list[bytes]:
+    """The distinct runs of k words, in order; of fewer words the one run of all."""
+    if not ws:
+        return []
+    marked = [OPEN + w + CLOSE for w in ws]
+    return list(dict.fromkeys(b"".join(marked[i : i + k]) + END for i in range(max(1, len(ws) - k + 1))))
 
 
-def dictionary(size: int, samples: list[bytes], segment: int) -> bytes:
+def compressor(content: bytes, log: int):
+    settings = zstandard.ZstdCompressionParameters(window_log=log, hash_log=log, chain_log=log, search_log=5, min_match=6, target_length=64, strategy=zstandard.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content), compression_params=settings)
+
+
+def dictionary(size: int, samples: list[bytes]) -> bytes:
     """A dictionary trained on the samples, or, where these are too few to train on, the samples themselves."""
     try:
-        return zstandard.train_dictionary(size, samples, d=8, k=segment).as_bytes()
+        return zstandard.train_dictionary(size, samples, d=8, k=24).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[:size].rjust(8, APART)
+        return b"".join(dict.fromkeys(samples))[:size].rjust(8, END)
 
 
-def units(word: bytes) -> list[bytes]:
-    """The word, and its beginnings of 4 to 8 bytes, marked by a star."""
-    return [word, *(word[:k] + b"*" for k in range(4, min(9, len(word))))]
+def lengths(by, ws: list[bytes]) -> np.ndarray:
+    return np.fromiter((len(by.compress(w)) for w in ws), np.int64, len(ws))
 
 
-def cover(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
-    """Words, and beginnings of words, that explain the toxic documents."""
-    seen: set[int] = set()
-    kept = []
-    for ws in toxic:
-        runs = {hash(tuple(ws[i : i + 3])) for i in range(max(1, len(ws) - 2))}
-        if len(runs & seen) <= 0.3 * len(runs):
-            kept.append(set(ws))
-            seen |= runs
-
-    def of(ws):
-        return {u for w in ws for u in units(w)}
-
-    least = max(SUPPORT, len(kept) // SPREAD)
-    support = Counter(u for ws in kept for u in of(ws))
-    support = {u: n for u, n in support.items() if n >= least and len(u) >= 3}
-    usual = Counter(u for ws in ordinary for u in of(set(ws)) if u in support)
-    often = {u for u, n in support.items() if n / len(kept) >= LIFT * (usual[u] + 0.5) / (len(ordinary) + 1)}
-    open_ = defaultdict(list)
-    for i, ws in enumerate(kept):
-        for w in ws:
-            for u in units(w):
-                if u in often:
-                    open_[u].append((i, w))
-    need, found, done = [TIMES] * len(kept), set(), set()
-    while open_:
-        gain, _, _, unit = max((len({i for i, w in at if need[i] > 0 and (i, w) not in done}), u[-1:] != b"*", len(u), u) for u, at in open_.items())
-        if gain < least:
-            break
-        found.add(unit)
-        at = open_.pop(unit)
-        for i in {i for i, w in at if (i, w) not in done}:
-            need[i] -= 1
-        done.update(at)
-    return found
+def deviations(margin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of the margins of ordinary windows for each number of bytes, drawn towards those of all where few are met."""
+    some, at = 50, np.minimum(size, LONGEST)
+    margin = margin.astype(float)
+    n = np.bincount(at, minlength=LONGEST + 1) + some
+    whole, square = (margin.mean(), (margin * margin).mean()) if len(margin) else (0.0, 1.0)
+    mean = (np.bincount(at, margin, LONGEST + 1) + some * whole) / n
+    second = (np.bincount(at, margin * margin, LONGEST + 1) + some * square) / n
+    return mean, np.sqrt(np.maximum(0, second - mean * mean)) + 0.5
 
 
 @dataclass
 class Model:
+    k: int
     ordinary: bytes
-    toxic: bytes
-    curve: np.ndarray | None = None
+    toxic: tuple[bytes, bytes]
+    mean: np.ndarray = field(default_factory=lambda: np.zeros(LONGEST + 1))
+    sd: np.ndarray = field(default_factory=lambda: np.ones(LONGEST + 1))
+    at: np.ndarray = field(default_factory=lambda: np.zeros(1))  # rising values of the statistic
+    curve: np.ndarray = field(default_factory=lambda: np.zeros(1))  # and the score from each on
 
-    def compressors(self):
-        return [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), compression_params=settings()) for d in (self.ordinary, self.toxic)]
+    def score(self, statistic: np.ndarray) -> np.ndarray:
+        return self.curve[np.maximum(0, np.searchsorted(self.at, statistic, "right") - 1)]
 
 
 class Scorer:
-    """Margins of words, remembered up to REMEMBERED of them."""
+    """Statistics of texts. Margins of windows are remembered, up to REMEMBERED of them."""
 
     def __init__(self, model: Model):
-        self.by = model.compressors()
-        self.margin: dict[bytes, int] = {}
+        self.model = model
+        self.ordinary, (self.one, self.other) = compressor(model.ordinary, 20), (compressor(t, 17) for t in model.toxic)
+        self.known: dict[bytes, float] = {}
+
+    def margin(self, window: bytes) -> int:
+        """The other half is asked only where the first one gains."""
+        plain, one = len(self.ordinary.compress(window)), len(self.one.compress(window))
+        return plain - max(one, len(self.other.compress(window))) if one < plain else plain - one
+
+    def margins(self, ws: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.margin, ws), np.int64, len(ws))
+
+    def look(self, window: bytes) -> float:
+        """In deviations; 0 where the ordinary dictionary is as good."""
+        m = self.margin(window)
+        n = min(len(window), LONGEST)
+        return max(0.0, (m - self.model.mean[n]) / self.model.sd[n]) if m > 0 else 0.0
 
     def statistic(self, texts: list[bytes]) -> np.ndarray:
-        lists = [words(t) for t in texts]
-        sets = [set(ws) for ws in lists]
-        new = list(set().union(*sets).difference(self.margin)) if sets else []
-        if len(self.margin) + len(new) > REMEMBERED:
-            self.margin.clear()
-            new = list(set().union(*sets))
-        for first in range(0, len(new), 20_000):
-            part = new[first : first + 20_000]
-            marked = [OPEN + w + CLOSE for w in part]
-            ordinary, toxic = ([len(x.compress(w)) for w in marked] for x in self.by)
-            self.margin.update(zip(part, (max(0, a - b) for a, b in zip(ordinary, toxic, strict=True)), strict=True))
-        get = self.margin.__getitem__
-        return np.array([min(MOST, self.two(ws, [(m, w) for w in s if (m := get(w))])) for ws, s in zip(lists, sets, strict=True)], np.int64)
-
-    @staticmethod
-    def two(ws: list[bytes], some: list[tuple[int, bytes]]) -> int:
-        """The two largest margins of a text's words, a word that occurs twice counting twice."""
-        some.sort(reverse=True)
-        return 0 if not some else some[0][0] * 2 if ws.count(some[0][1]) > 1 else sum(m for m, _ in some[:2])
-
-
-def fit(rows: list[tuple[bytes, int]]) -> Model | None:
-    """rows: (text, label). Three of four train the dictionaries, the fourth calibrates."""
+        found = np.zeros(len(texts))
+        for i, text in enumerate(texts):
+            ws = windows(words(text), self.model.k)
+            if len(self.known) + len(ws) > REMEMBERED:
+                self.known.clear()
+            for w in ws:
+                if w not in self.known:
+                    self.known[w] = self.look(w)
+            found[i] = sum(sorted((self.known[w] for w in ws), reverse=True)[:TOP])
+        return found
+
+
+def uncopied(texts: list[list[bytes]]) -> list[list[bytes]]:
+    """Texts (as words) without those that mostly repeat earlier ones, and without empty ones."""
+    seen: set[int] = set()
+    kept = []
+    for ws in texts:
+        runs = {hash(tuple(ws[i : i + 3])) for i in range(max(1, len(ws) - 2))}
+        if ws and len(runs & seen) <= 0.3 * len(runs):
+            kept.append(ws)
+            seen |= runs
+    return kept
+
+
+def learnt(toxic: list[list[bytes]], ordinary: list[list[bytes]], k: int, size: int) -> Model:
+    """The dictionaries, and the deviations of ordinary margins, for windows of k words."""
     rng = random.Random(SEED)
-    rows = [(words(t), t, y) for t, y in rows]
+    measured = [w for ws in ordinary[::4][:MEASURED] for w in windows(ws, k)] or [END]
+    usual = [w for i, ws in enumerate(ordinary) if i % 4 or len(ordinary) < 4 for w in windows(ws, k)[::k]]
+    plain = dictionary(ORDINARY_BYTES, rng.sample(usual, min(len(usual), ORDINARY_WINDOWS)))
+    by = compressor(plain, 20)
+    parts = [[windows(ws, k) for ws in toxic[h::2]] for h in (0, 1)]
+    met = Counter(w for half in parts for ws in half for w in ws)
+    parts = [[[w for w in ws if met[w] == 1] for ws in half] for half in parts]
+    before, usually = [[lengths(by, ws) for ws in half] for half in parts], lengths(by, measured)
+    size_of = np.fromiter(map(len, measured), np.int64, len(measured))
+    chosen = [[w for ws in half for w in ws[::k]] for half in parts]
+    for number, share in enumerate(ROUNDS):
+        found = [[], []]
+        for h in (0, 1):
+            other = compressor(dictionary(size if number else FIRST_BYTES, chosen[1 - h]), 17)
+            ordinary_margin = usually - lengths(other, measured)
+            mean, sd = deviations(ordinary_margin, size_of)
+
+            def far(margin, sizes, mean=mean, sd=sd):
+                at = np.minimum(sizes, LONGEST)
+                return (margin - mean[at]) / sd[at]
+
+            bound = np.quantile(far(ordinary_margin, size_of), 1 - share)
+            for ws, length in zip(parts[h], before[h], strict=True):
+                if ws:
+                    ok = far(length - lengths(other, ws), np.fromiter(map(len, ws), np.int64, len(ws))) > bound
+                    found[h] += [w for w, x in zip(ws, ok.tolist(), strict=True) if x]
+        if min(map(len, found)) < 15:  # too few to train on
+            break
+        chosen = found
+    model = Model(k, plain, tuple(dictionary(size, c or [END]) for c in chosen))
+    model.mean, model.sd = deviations(Scorer(model).margins(measured), size_of)
+    return model
+
+
+def ranked(statistic: np.ndarray, y: np.ndarray) -> float:
+    """The share of pairs of a toxic and an ordinary document that the statistic puts in order, a tie as half."""
+    kinds, place = np.unique(statistic, return_inverse=True)
+    bad, good = np.bincount(place, y, len(kinds)), np.bincount(place, 1 - y, len(kinds))
+    return float((bad * (np.cumsum(good) - good / 2)).sum() / max(1, bad.sum() * good.sum()))
+
+
+def found_at(statistic: np.ndarray, y: np.ndarray, alarms: float = 0.01) -> float:
+    """The share of toxic documents above the bound that this share of the ordinary ones is above."""
+    if not (y == 0).any() or not (y == 1).any():
+        return 0.0
+    return float((statistic[y == 1] > np.quantile(statistic[y == 0], 1 - alarms)).mean())
+
+
+def fit(rows: list[tuple[bytes, int]], total: tuple[float, float] | None = None, settings=SETTINGS) -> Model | None:
+    """rows: (text, label). total: how many rows of label 0 and 1 there are in all; by default as many as in rows. Three of four train the dictionaries, the fourth calibrates."""
+    rng = random.Random(SEED)
+    rows = [(words(t), t, y) for t, y in dict.fromkeys(rows)]
     rng.shuffle(rows)
-    train, rest = rows[: len(rows) * 3 // 4], rows[len(rows) * 3 // 4 :]
-    toxic, ordinary = ([ws for ws, _, y in train if y == k] for k in (1, 0))
+    train, rest = rows[: len(rows) * 3 // 4], rows[len(rows) * 3 // 4 :] or rows
+    toxic, ordinary = (uncopied([ws for ws, _, y in train if y == k]) for k in (1, 0))
     if not toxic or not ordinary:
         return None
-    chosen = cover(toxic, ordinary)
-    apart = [b"".join(OPEN + w + CLOSE + APART for w in ws if not chosen.isdisjoint(units(w))) for ws in toxic]
-    usual = [OPEN + w + CLOSE for ws in ordinary for w in ws]
-    usual = rng.sample(usual, min(len(usual), 100_000))
-    model = Model(dictionary(ORDINARY_BYTES, usual, 16), dictionary(TOXIC_BYTES, [x for x in apart if len(x) > 8], 24))
-    rest = rest or rows
-    at = Scorer(model).statistic([t for _, t, _ in rest])
     y = np.array([y for _, _, y in rest], float)
-    model.curve = isotonic(np.bincount(at, minlength=MOST + 1).astype(float), np.bincount(at, y, MOST + 1))
+    best = None
+    for k, size in settings:
+        model = learnt(toxic, ordinary, k, size)
+        at = Scorer(model).statistic([t for _, t, _ in rest])
+        found = (found_at(at, y), ranked(at, y))
+        if best is None or found > best[0]:
+            best = (found, model, at)
+    _, model, at = best
+    counts = [max(1, sum(r[2] == k for r in rows)) for k in (0, 1)]
+    weight = [s / n for s, n in zip(total or counts, counts, strict=True)]
+    weights = np.where(y == 1, weight[1], weight[0])
+    model.at, place = np.unique(np.append(at, 0), return_inverse=True)
+    place = place[: len(at)]
+    model.curve = np.clip(isotonic(np.bincount(place, weights, len(model.at)), np.bincount(place, weights * y, len(model.at))), 0, 1)
     return model
 
 
+def truth(labels: DataFrame, label: str, learn: Column) -> DataFrame:
+    return labels.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).where(learn)
+
+
+def shares(labels: DataFrame, label: str, learn: Column) -> tuple[float, float]:
+    """How many identifiers that may be learnt from have label 0 and 1."""
+    counts = {r.y: r.n for r in truth(labels, label, learn).where("y in (0, 1)").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return float(counts.get(0, 0)), float(counts.get(1, 0))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int = SAMPLE) -> list[tuple[bytes, int]]:
-    """At most `most` texts of each label, by a seeded hash of the identifier; the driver gets no more than these."""
-    truth = labels.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    """At most `most` rows of each label, by a seeded hash of identifier and text; the driver gets no more than these."""
     h = shuffled_by(F.lit(SEED), F.col("doc_id"))
-    chosen = [first_by_hash(truth.where((F.col("y") == k) & learn), [h, F.col("doc_id")], most) for k in (0, 1)]
+    chosen = [first_by_hash(truth(labels, label, learn).where(F.col("y") == k), [h, F.col("doc_id")], most) for k in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * most rows of two numbers
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= LONGEST)
-    rows = texts.join(chosen, "doc_id").select("doc_id", "text", "y").collect()
-    return [(r.text.encode(), r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+    texts = keep(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id"), "toxicity-sample")
+    order = [shuffled_by(F.lit(SEED), F.col("doc_id"), F.md5(F.col("text").cast("binary"))), F.col("doc_id"), F.col("text")]
+    return [(r.text.encode(), r.y) for k in (0, 1) for r in first_by_hash(texts.where(F.col("y") == k), order, most).collect()]
 
 
 def scored(docs: DataFrame, model: Model | None, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -175,16 +249,17 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text", carry:
         for batch in batches:
             for part, data, offsets in slices(batch, text_col):
                 raw = data.tobytes()
-                at = scorer.statistic([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]) if model else np.zeros(part.num_rows, np.int64)
-                score = model.curve[at] if model else np.zeros(part.num_rows)
+                at = scorer.statistic([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]) if model else np.zeros(part.num_rows)
+                score = model.score(at) if model else np.zeros(part.num_rows)
                 part = part.select(names)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= CUT).astype(np.int32)), pa.array(at.astype(np.int32))], [*names, "score", "predicted", "statistic"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= CUT).astype(np.int32)), pa.array(at)], [*names, "score", "predicted", "statistic"])
 
-    schema = StructType([*(docs.schema[c] for c in names), StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("statistic", IntegerType())])
+    schema = StructType([*(docs.schema[c] for c in names), StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("statistic", DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
 def op3_compression_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(sample(docs, table(spark, sf_dir, "labels"), "toxic", remainder(3) != 1))
+    labels, learn = table(spark, sf_dir, "labels"), remainder(3) != 1
+    model = fit(sample(docs, labels, "toxic", learn), shares(labels, "toxic", learn))
     return scored(docs, model, carry=["doc_id"]).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted", "statistic")

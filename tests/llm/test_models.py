@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 
 from hushframe.llm import media, packing, pii, quality, toxicity, urls
 from llm_rows import SCHEMA, row
+from pyspark.sql import functions as F
 
 # JPEG
 
@@ -234,15 +235,62 @@ def test_toxicity_learns(spark, words, odd, empty):
     assert toxicity.fit([]) is None and toxicity.fit([(b"a b c", 0)]) is None
 
 
+def small_model(k=2):
+    return toxicity.Model(k, b"\x01plain\x02\x01words\x02\x01here\x02" * 8, (b"\x01grumblefud\x02\x01there\x02\x03\x03" * 8, b"\x01a\x02\x01grumblefud\x02" * 8))
+
+
 def test_margins_do_not_depend_on_what_is_remembered(monkeypatch):
-    model = toxicity.Model(b"\x01\x01\x01plain\x02\x02\x02" * 8, b"\x01\x01\x01grumblefud\x02\x02\x02\x03" * 8)
-    texts = [b"plain words here", b"a grumblefud there", b"Grumblefud, GRUMBLEFUD!", b""]
-    whole = toxicity.Scorer(model).statistic(texts).tolist()
+    texts = [b"plain words here", b"a grumblefud there grumblefud now", b"Grumblefud, GRUMBLEFUD!", b""]
+    whole = toxicity.Scorer(small_model()).statistic(texts).tolist()
     monkeypatch.setattr(toxicity, "REMEMBERED", 1)
-    scorer = toxicity.Scorer(model)
+    scorer = toxicity.Scorer(small_model())
     assert [scorer.statistic([t])[0] for t in texts] == whole and whole[1] > 2 and whole[0] == 0 == whole[3]
 
 
+@pytest.mark.parametrize("k", [2, 3])
+def test_statistic_against_plain_compression(k, words):
+    """Each window is compressed plainly, by a new compressor, with all three dictionaries."""
+    import zstandard
+
+    model = small_model(k)
+    rng = random.Random(13)
+    model.mean, model.sd = np.linspace(-2, 1, toxicity.LONGEST + 1), np.linspace(0.5, 2, toxicity.LONGEST + 1)
+
+    def length(content, log, window):
+        return len(toxicity.compressor(content, log).compress(window)) if content else 0
+
+    for _ in range(4):
+        ws = [rng.choice([*words[:20], "grumblefud", "there", "plain", "a"]) for _ in range(rng.randint(1, 14))]
+        runs = {tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))}
+        found = []
+        for run in runs:
+            window = b"".join(b"\x01" + w.encode() + b"\x02" for w in run) + b"\x03" * 8
+            plain, one, other = (length(c, log, window) for c, log in ((model.ordinary, 20), (model.toxic[0], 17), (model.toxic[1], 17)))
+            margin, n = plain - max(one, other), min(len(window), toxicity.LONGEST)
+            found.append(max(0, (margin - model.mean[n]) / model.sd[n]) if margin > 0 else 0)
+        want = sum(sorted(found, reverse=True)[:3])
+        assert toxicity.Scorer(model).statistic([" ".join(ws).encode()])[0] == pytest.approx(want)
+    assert isinstance(toxicity.compressor(model.ordinary, 20), zstandard.ZstdCompressor)
+
+
+def test_toxicity_odd_rows(spark, words):
+    rows = [row(1, None), row(2, ""), row(3, "x " * 40_000), row(4, "grumblefud"), row(4, "grumblefud"), row(None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(1, 0), (2, None), (4, 1), (4, 0), (None, 1)], "doc_id bigint, toxic int")
+    found, total = toxicity.sample(docs, labels, "toxic", F.lit(True)), toxicity.shares(labels, "toxic", F.lit(True))
+    assert sorted(found) == [(b"", 0), (b"grumblefud", 1), (b"grumblefud", 1)] and total == (1.0, 2.0)
+    got = [(r.doc_id, r.score) for r in toxicity.scored(docs, toxicity.fit(found, total)).collect()]
+    assert len(got) == 6 and len({s for d, s in got if d == 4}) == 1 and all(0 <= s <= 1 for _, s in got)
+    assert toxicity.sample(docs.where("false"), labels, "toxic", F.lit(True)) == [] and toxicity.shares(labels.where("false"), "toxic", F.lit(True)) == (0.0, 0.0)
+
+
+def test_ranked_counts_pairs():
+    rng = np.random.default_rng(5)
+    s, y = rng.integers(0, 6, 60).astype(float), (rng.random(60) < 0.3).astype(float)
+    pairs = [(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]]
+    assert toxicity.ranked(s, y) == pytest.approx(np.mean(pairs))
+
+
 # URLs
 
 
