@@ -2,9 +2,11 @@
 
 A document's set holds its distinct runs of n words. Its signature has POSITIONS minhash values, each cut to 16 bits; two sets with similarity j differ in about (1 - j) POSITIONS of them. `distance` is the least number of differing positions that a pair at the similarity wanted exceeds with a probability below MISS. The join finds every pair of signatures within that distance: positions are split into m chunks, and by the pigeonhole principle, for a distance of m + a, one of the first a + 1 chunks differs in at most one position or one of the others in none. The allowed error of a chunk is enumerated by leaving out each of its positions in turn; two signatures within the distance share at least one such key.
 
-Groups of any size are handled without listing their pairs. Documents with equal sets are one class, with one representative. Signatures within the distance of the least representative they share a key with, and whatever else is within it across the groups so found, make candidate groups: every similar pair lies inside one of them. Links are then confirmed on the full sets. Each representative is first tested against one partner, and against one from another group if it has any, so a group of two is always tested; components follow, and in a candidate group only those outside its largest component are left over. These are compared with the whole group in cells, a slice of the left-over against a slice of the group, and a cell returns no more links than it has documents, enough to join what belongs together.
+Groups of any size are handled without listing their pairs. Rows with equal sets are one class, with one representative row. Signatures within the distance of the least representative they share a key with, and whatever else is within it across the groups so found, make candidate groups: every similar pair lies inside one of them. For what lies across, keys with up to TILE representatives are joined with themselves; those of larger keys are dealt into slices, and each two slices meet in a cell that returns no more pairs than join the groups it holds. Links are then confirmed on the full sets. Each representative is first tested against one partner, and against one from another group if it has any, so a group of two is always tested; components follow, and in a candidate group only those outside its largest component are left over. These are compared with the whole group in cells, a slice of the left-over against a slice of the group, and a cell returns no more links than it has documents, enough to join what belongs together. A group without a large component so costs comparisons that grow with its square, and copies of its texts in as many cells as it has slices; that is what an exact answer takes where signatures alone cannot tell its members apart.
 
-Cases: null, empty or blank texts have an empty set and are linked with nothing; a text with fewer than n words has its whole sequence as its only element; rows of one identifier count as one document, linked if any of them is; a row without identifier is linked with nothing and kept; an empty table gives no rows; other columns of the input are ignored and may have any name.
+Where rows or pairs look something up by a key that many share (a class, a group, a partner), keys above a share of all rows are broadcast or salted (shared.joined_to_few), so that no group is one task's work.
+
+Cases: null, empty or blank texts have an empty set and are linked with nothing; a text with fewer than n words has its whole sequence as its only element; a very long text is one slice of its own; rows of one identifier count as one document, linked if any of them is, but for rows with an empty set, which keep their own identifier; repeated rows are in one class; a row without identifier is linked with nothing and kept; an empty table gives no rows; other columns of the input are ignored and may have any name.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep, sieve, table
+from .shared import forget, free, joined_to_few, keep, numbered, sieve, table
 from .textbytes import LOWER, SLICE, distinct, hashes, mix, shingles, slices, spans
 
-POSITIONS, MISS, SEED, TILE = 64, 1e-4, 5, 400
+POSITIONS, MISS, SEED, TILE, SALT = 64, 1e-4, 5, 400, 64
 _RNG = np.random.default_rng(SEED)
 FACTORS = _RNG.integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = _RNG.integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2)
@@ -65,7 +67,8 @@ def sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.
 
 
 def signed(rows: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (a 128-bit digest of the set) and sig (16 numbers of four positions each) for rows (doc_id, text)."""
+    """The columns of rows but for text, which are numbers, with n_shingles, k1, k2 (a 128-bit digest of the set) and sig (16 numbers of four positions each)."""
+    names = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,11 +88,11 @@ def signed(rows: DataFrame, n: int) -> DataFrame:
                 packed = lanes[..., 0] | lanes[..., 1] << np.uint64(16) | lanes[..., 2] << np.uint64(32) | lanes[..., 3] << np.uint64(48)
                 width = POSITIONS // 4
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(size.astype(np.int64)), *(pa.array(k.view(np.int64)) for k in keys),
+                    *(part.column(c) for c in names), pa.array(size.astype(np.int64)), *(pa.array(k.view(np.int64)) for k in keys),
                     pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * width, pa.int32()), pa.array(packed.ravel().view(np.int64))),
-                ], ["doc_id", "n_shingles", "k1", "k2", "sig"])
+                ], [*names, "n_shingles", "k1", "k2", "sig"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig array<bigint>")
+    return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in [*names, "n_shingles", "k1", "k2"]) + ", sig array<bigint>")
 
 
 def keyed(classes: DataFrame, chunks: list[tuple[int, int, int]]) -> DataFrame:
@@ -133,10 +136,14 @@ def alike(a: str, b: str, percent: int) -> Column:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those that are similar enough, tested on the full sets of their texts (doc_id, text)."""
-    wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-wanted")
-    texts = sieve(texts, "doc_id", wanted).join(wanted, "doc_id")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    """Of the pairs (a, b), distinct and written, those that are similar enough, tested on the full sets of their texts (rep, text). A partner a of many is salted: its text goes to one place for every SALT pairs."""
+    wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "near-wanted")
+    texts = sieve(texts, "rep", wanted).join(wanted, "rep")
+    often = keep(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")), "near-often")
+    salts = F.expr(f"c div {SALT}")
+    spread = joined_to_few(pairs, ["a"], often, "c", pairs.count()).withColumn("salt", F.pmod(F.xxhash64("b"), salts + 1)).drop("c")
+    ta = texts.withColumnsRenamed({"rep": "a", "text": "ta"}).join(often, "a").select("a", "ta", F.explode(F.sequence(F.lit(0).cast("bigint"), salts)).alias("salt"))
+    both = spread.join(ta, ["a", "salt"]).join(texts.withColumnsRenamed({"rep": "b", "text": "tb"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,21 +240,52 @@ def components(edges: DataFrame) -> DataFrame:
         edges = keep(small.where("u <> v").distinct(), "star")
 
 
-def across(held: DataFrame, groups: DataFrame, sigs: DataFrame, most: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with a common key and signatures within the distance, but in different groups."""
+def tiled(slices_: Column, own: Column) -> Column:
+    """The cells, numbered first * slices + second, in which a slice meets each slice."""
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), slices_ - 1), lambda x: F.least(x, own) * slices_ + F.greatest(x, own))
+
+
+def met(cells: DataFrame, most: int, percent: int) -> DataFrame:
+    """Pairs (a, b) between the groups c met in each cell (key, cell) of rows (rep, n, c, sig): signatures within the distance, sizes that allow the similarity, as many as join the groups that are joined."""
+
+    def one(key, rows):
+        rows = rows.combine_chunks()
+        n, c, rep = (rows.column(x).to_numpy() for x in ("n", "c", "rep"))
+        pairs = []
+        if (c != c[0]).any():
+            sig = np.array(rows.column("sig").combine_chunks().flatten()).view(np.uint16).reshape(len(n), POSITIONS)
+            near = np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * percent
+            for first in range(0, len(n), 64):
+                near[first : first + 64] &= (sig[first : first + 64, None, :] != sig[None, :, :]).sum(axis=2) <= most
+            pairs = forest(near, c)
+        return pa.table({"a": pa.array([int(min(rep[i], rep[j])) for i, j in pairs], pa.int64()), "b": pa.array([int(max(rep[i], rep[j])) for i, j in pairs], pa.int64())})
+
+    return cells.groupBy("key", "cell").applyInArrow(one, "a bigint, b bigint")
+
+
+def across(held: DataFrame, groups: DataFrame, sigs: DataFrame, most: int, percent: int, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b) with a common key and signatures within the distance, but in different groups: all of them for keys of up to `tile` representatives, of others as many as join the same groups."""
     placed = held.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    placed = keep(placed.join(mixed, "key").join(sigs, "rep"), "near-mixed")
-    a, b = (placed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "c", "sig")]) for x in "ab")
+    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("holders")).where("low <> high")
+    mixed = keep(mixed.select("key", "holders"), "near-mixed-keys")
+    placed = keep(joined_to_few(placed, ["key"], mixed, "holders", held.count()).join(sigs, "rep"), "near-mixed")
+    few, many = placed.where(F.col("holders") <= tile), placed.where(F.col("holders") > tile)
+    a, b = (few.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "c", "sig")]) for x in "ab")
     both = a.join(b, "key").where((F.col("rep_a") < F.col("rep_b")) & (F.col("c_a") != F.col("c_b")) & alike("n_a", "n_b", percent) & (differing("sig_a", "sig_b") <= most))
-    return both.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    both = both.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    if mixed.where(F.col("holders") > tile).isEmpty():
+        return both
+    slices_ = F.expr(f"(holders + {tile - 1}) div {tile}")
+    cells = many.select("key", "rep", "n", "c", "sig", F.explode(tiled(slices_, F.pmod(F.xxhash64("rep"), slices_))).alias("cell"))
+    return both.unionByName(met(cells, most, percent)).distinct()
 
 
 def left_over(placed: DataFrame, tile: int = TILE) -> DataFrame:
     """cluster, cell, rep, component: the cells of each cluster with several components. Those outside the largest one are dealt into slices, all members into others, and cell (i, j) holds slice i of the former and slice j of the latter. A cluster of two has been tested already."""
     parts_ = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"))
     clusters = parts_.groupBy("cluster").agg(F.max_by("component", F.struct("c", (-F.col("component")).alias("o"))).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1 and size > 2")
-    rows = placed.join(clusters.select("cluster", "main", F.expr(f"(size - most + {tile - 1}) div {tile}").alias("down"), F.expr(f"(size + {tile - 1}) div {tile}").alias("over")), "cluster")
+    clusters = keep(clusters.select("cluster", "main", "size", F.expr(f"(size - most + {tile - 1}) div {tile}").alias("down"), F.expr(f"(size + {tile - 1}) div {tile}").alias("over")), "near-clusters")
+    rows = joined_to_few(placed, ["cluster"], clusters, "size", placed.count())
     i, j = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("down")), F.pmod(F.xxhash64("rep", F.lit(2)), F.col("over"))
     as_member = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("down") - 1), lambda x: x * F.col("over") + j)
     as_left = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("over") - 1), lambda x: i * F.col("over") + x)
@@ -255,13 +293,33 @@ def left_over(placed: DataFrame, tile: int = TILE) -> DataFrame:
     return rows.select("cluster", "rep", "component", F.explode(cells).alias("cell"))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
+CLASS = ["n_shingles", "k1", "k2"]
+
+
+def same_document(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame | None:
+    """Pairs (a, b) of representatives whose classes hold rows of one identifier; None where no identifier is repeated."""
+    often = keep(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "near-repeated")
+    if often.isEmpty():
+        return None
+    mine = joined_to_few(rows.select("doc_id", *CLASS), ["doc_id"], often, "times", total).groupBy("doc_id", *CLASS).agg(F.count(F.lit(1)).alias("copies"))
+    mine = keep(mine.join(classes.select(*CLASS, "rep"), CLASS).select("doc_id", "rep"), "near-owned")
+    first = keep(mine.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("kinds")), "near-first")
+    return joined_to_few(mine, ["doc_id"], first, "kinds", total).where("a <> rep").select("a", F.col("rep").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, row_id: one row for each row of docs. row: a column with a number for each row that every read finds again, as shared.numbered() gives; without it rows are numbered here."""
     most = distance(percent)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if row is None:
+        row = free(docs, "__row")
+        docs = numbered(docs, row)
+    texts = docs.select(F.col(row).alias("rep"), F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = keep(signed(texts, n), "near-signed")
-    classes = rows.where("doc_id is not null and n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    classes = keep(classes.withColumnRenamed("n_shingles", "n"), "near-classes")
+    texts = texts.select("rep", "text")
+    in_class = rows.where("doc_id is not null and n_shingles > 0")
+    classes = in_class.groupBy(*CLASS).agg(F.min("rep").alias("rep"), F.first("sig").alias("sig"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members"))
+    classes = keep(classes.withColumn("n", F.col("n_shingles")), "near-classes")
+    total = rows.count()
     keys = keyed(classes, layout(most))
     shared = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("p.rep").alias("p"), F.col("p.n").alias("pn"))
     held = keep(keys.join(shared, "key"), "near-held")
@@ -274,24 +332,30 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     stars = keep(near(held.where("rep <> p").where(alike("n", "pn", percent)).select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct()), "near-stars")
     groups = keep(components(stars), "near-groups")
-    rest = keep(across(held, groups, sigs, most, percent), "near-rest")
+    rest = keep(across(held.select("key", "rep", "n"), groups, sigs, most, percent, TILE), "near-rest")
     if not rest.isEmpty():
         groups = keep(components(stars.unionByName(rest)), "near-groups")
+    forget(held)
 
-    tested = stars.groupBy("b").agg(F.min("a").alias("a")).unionByName(rest.groupBy("b").agg(F.min("a").alias("a"))).select("a", "b")
+    tested = keep(stars.groupBy("b").agg(F.min("a").alias("a")).unionByName(rest.groupBy("b").agg(F.min("a").alias("a"))).select("a", "b").distinct(), "near-tested")
     links = keep(confirmed(tested, texts, n, percent), "near-links")
     placed = groups.withColumnRenamed("component", "cluster").join(components(links), "id", "left").select("cluster", F.col("id").alias("rep"), F.coalesce("component", "id").alias("component"))
-    cells = keep(left_over(keep(placed, "near-placed")), "near-cells")
-    wanted = keep(cells.select(F.col("rep").alias("doc_id")).distinct(), "near-wanted")
-    cells = cells.join(sieve(texts, "doc_id", wanted).join(wanted, "doc_id").withColumnRenamed("doc_id", "rep"), "rep")
-    found = keep(components(links.unionByName(keep(joined(cells, n, percent), "near-joined"))), "near-found")
-
-    by_class = classes.select(F.col("n").alias("n_shingles"), "k1", "k2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    by_class = by_class.select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "k1", "k2").join(by_class, ["n_shingles", "k1", "k2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    cells = keep(left_over(keep(placed, "near-placed"), TILE), "near-cells")
+    wanted = keep(cells.select("rep").distinct(), "near-wanted")
+    cells = cells.join(sieve(texts, "rep", wanted).join(wanted, "rep"), "rep")
+    links = links.unionByName(keep(joined(cells, n, percent), "near-joined"))
+    same = same_document(in_class, classes, total)
+    found = keep(components(links.unionByName(same) if same is not None else links).withColumnRenamed("id", "rep").join(classes.select("rep", "least"), "rep"), "near-found")
+
+    # The least identifier of each component, then of each class, then of each row.
+    least = keep(found.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("kinds")), "near-least")
+    linked = joined_to_few(found.select("rep", "component"), ["component"], least, "kinds", total).select("rep", "component_id")
+    by_class = classes.select(*CLASS, "rep", "least", "members").join(linked, "rep", "left")
+    by_class = keep(by_class.select(*CLASS, "members", F.coalesce("component_id", "least").alias("component_id")), "near-by-class")
+    out = joined_to_few(in_class.select("doc_id", "rep", *CLASS), CLASS, by_class, "members", total).select("doc_id", "n_shingles", "component_id", F.col("rep").alias("row_id"))
+    alone = rows.where("not (doc_id is not null and n_shingles > 0)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("rep").alias("row_id"))
+    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_multi_index_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85).drop("row_id")

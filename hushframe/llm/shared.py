@@ -154,7 +154,7 @@ def picked(rows: DataFrame, number: str, wanted: DataFrame) -> DataFrame:
     """The rows of a numbered() table whose number is among those of `wanted` (one column, `number`). Numbers are dense in each file, so an exact bitmap has about a bit a row; up to 2^MOST_BITS of them (32 MB) are broadcast and the rows stay where they are, more are joined by a shuffle."""
     at = wanted.select(F.col(number).alias("__at"))
     bits = keep(bitmap(at), "picked")
-    if bits.count() <= 1 << (MOST_BITS - CHUNK_BITS):
+    if bits.count() << CHUNK_BITS <= 1 << MOST_BITS:
         bits = F.broadcast(bits)
         placed = rows.withColumns({"__at": F.col(number), "__chunk": F.shiftright(F.col(number), CHUNK_BITS)})
         return placed.join(bits, "__chunk").where(set_in()).select(*rows.columns)

@@ -112,6 +112,48 @@ def test_pair_whose_keys_all_have_a_smaller_dissimilar_holder(spark, words):
     assert found == {1000: 1000, 1001: 1000}
 
 
+def test_rows_of_one_identifier_are_one_document(spark, words):
+    rng = random.Random(14)
+    texts = {x: " ".join(rng.choice(words) for _ in range(60)) for x in "ABCD"}
+    rows = [row(7, texts["A"]), row(7, texts["B"]), row(3, texts["B"]), row(9, texts["A"]), row(11, texts["C"]), row(11, texts["D"]), row(12, texts["D"] + " end"), row(12, None), row(None, texts["A"]), row(7, texts["A"])]
+    found = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in N.near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).collect())
+    assert found == [(-1, 58, -1), (3, 58, 3), (7, 58, 3), (7, 58, 3), (7, 58, 3), (9, 58, 3), (11, 58, 11), (11, 58, 11), (12, 0, 12), (12, 59, 11)]
+
+
+def test_one_identifier_and_one_group_with_most_rows(spark, words):
+    """Groups larger than what is broadcast or salted away: 400 rows of one identifier, 400 near copies of one text."""
+    rng = random.Random(15)
+    start = [rng.choice(words) for _ in range(100)]
+    rows = [row(5, " ".join(rng.choice(words) for _ in range(8))) for _ in range(400)] + [row(1000 + i, " ".join([*start[:95], *(rng.choice(words) for _ in range(5))])) for i in range(400)]
+    found = {(r.doc_id, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).collect()}
+    assert found == {(5, 5), *((1000 + i, 1000) for i in range(400))}
+
+
+def test_cells_of_a_large_key_join_what_all_pairs_join(spark):
+    rng = np.random.default_rng(16)
+    rows, width = [], N.POSITIONS // 4
+    for g in range(12):
+        base = rng.integers(0, 1 << 62, width)
+        for i in range(8):
+            sig = base.copy()
+            sig[: rng.integers(0, 5)] ^= 1
+            rows.append((1, g * 8 + i, int(rng.integers(90, 110)), g * 8 + i // 3, [int(x) for x in sig]))
+    held = spark.createDataFrame([(k, rep, n) for k, rep, n, _, _ in rows], "key bigint, rep bigint, n bigint")
+    groups = spark.createDataFrame([(rep, c) for _, rep, _, c, _ in rows], "id bigint, component bigint")
+    sigs = spark.createDataFrame([(rep, sig) for _, rep, _, _, sig in rows], "rep bigint, sig array<bigint>")
+    whole, cells = ({(r.a, r.b) for r in N.across(held, groups, sigs, 3, 85, tile).collect()} for tile in (1000, 7))
+
+    def closed(pairs):
+        above = {rep: c for _, rep, _, c, _ in rows}
+        for _ in range(len(rows)):
+            for a, b in pairs:
+                low, high = sorted((above[a], above[b]))
+                above = {k: low if v == high else v for k, v in above.items()}
+        return above
+
+    assert whole and cells <= whole and closed(cells) == closed(whole)
+
+
 def test_odd(odd, empty):
     found = N.near_duplicates(odd, 3, 85).collect()
     assert len(found) == odd.count()
