@@ -2,7 +2,7 @@
 
 Targets: each source gets words in proportion to its weight, but no more than `most` times its size; what is cut off goes to the others by weight (the water level below). Slots: slot i of the schedule is the point (i G mod 2^31) / 2^31, G odd and near 2^31 divided by the golden ratio, and belongs to the source in whose stretch of the cumulative shares the point falls; slots of a source are ranked, and its rank r takes block r of the source. Blocks: the words of a source, its documents in seeded shuffled order, once for each pass and each pass in another order, are cut into blocks of equal words. After the slots that the shares ask for, a source that is still short of its target by some blocks gets them at the end, and the last block of a source is cut at its target, so taken words meet the rounded target.
 
-Cases: a null or empty text has no words and is never taken; a null source is a source of its own, the last; a table without words takes nothing; repeated rows are documents of their own; other columns of the input are ignored and may have any name.
+Cases: a null or empty text has no words and is never taken; a very long text is taken in as many blocks as it reaches into; a null source is a source of its own, the last; a table without words takes nothing; repeated rows are documents of their own; other columns of the input are ignored and may have any name.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
-    """Two tables. documents: row_id, doc_id, source_key, size, source_size, target, taken. pieces: row_id, pass, slot, start, words: the stretch of the document's words that the slot takes."""
+    """Two tables. documents: row_id, doc_id, source_key, size, source_size, target, taken, first_slot (the earliest slot that takes words of the document; null if none does). pieces: row_id, pass, slot, start, words: the stretch of the document's words that the slot takes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), source_key(F.col(source_col)).alias("source_key"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"))
     base = keep(base.withColumn("row_id", F.monotonically_increasing_id()), "mix-sizes")
@@ -76,18 +76,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     parts = parts.join(schedule(sources, block), ["source_key", "block"])
     low = F.greatest(F.col("start"), F.col("block") * block)
     pieces = parts.select("row_id", "pass", "slot", (low - F.col("start")).alias("start"), (F.least(F.col("end"), (F.col("block") + 1) * block) - low).alias("words"))
-    taken = pieces.groupBy("row_id").agg(F.sum("words").alias("taken"))
+    taken = pieces.groupBy("row_id").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     documents = base.join(sources.select("source_key", "source_size", "target"), "source_key").join(taken, "row_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     return documents, pieces
 
 
 def op4_golden_ratio_mix(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0].select("doc_id", "size", "source_size", "target", "taken")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0].select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def _pass_sql(n: int) -> str:
     h = shuffled_by_sql(str(SEED), str(n), "doc_id")
-    return f"""select r, source_size * {n} + sum(size) over (partition by k order by {h}, doc_id, size, r rows unbounded preceding) - size as start, size, take from sized"""
+    return f"""select r, k, source_size * {n} + sum(size) over (partition by k order by {h}, doc_id, size, r rows unbounded preceding) - size as start, size, take from sized"""
 
 
 ORACLE = {
@@ -100,6 +100,15 @@ levels as (select *, ({SHARE}::double * total::double - coalesce(sum({MOST} * so
 targets as (select k, source_size, least(({MOST} * source_size)::double, weight * (select level from levels where level <= ratio order by ratio, k limit 1)) as target from levels),
 sized as (select words.*, source_size, target, floor(target + 0.5)::bigint as take from words join targets using (k)),
 passes as ({" union all ".join(_pass_sql(n) for n in range(MOST))}),
-takes as (select r, sum(greatest(0, least(start + size, take) - start))::bigint as taken from passes group by r)
-select doc_id, size, source_size, target, taken from sized join takes using (r)""",
+takes as (select r, sum(greatest(0, least(start + size, take) - start))::bigint as taken from passes group by r),
+quotas as (select distinct k, (take + {BLOCK - 1}) // {BLOCK} as quota from sized),
+stretches as (select k, quota, sum(quota) over () as total, sum(quota) over (order by k) as high from quotas),
+shares as (select k, quota, total, floor((high - quota)::double / greatest(1, total)::double * {PERIOD}::double)::bigint as low, floor(high::double / greatest(1, total)::double * {PERIOD}::double)::bigint as high from stretches where quota > 0),
+points as (select i as slot, ((i + 1) % {PERIOD}) * {GOLDEN} % {PERIOD} as point from range((select coalesce(sum(quota), 0)::bigint from quotas)) t(i)),
+ranked as (select slot, k, quota, row_number() over (partition by k order by slot) - 1 as block from points join shares on point >= low and point < high),
+short as (select shares.k, total, shares.quota, count(slot) as have from shares left join ranked using (k) group by shares.k, total, shares.quota),
+slots as (select slot, k, block from ranked where block < quota union all select total::bigint + block, k, block from (select k, total, unnest(range(have, quota::bigint)) as block from short where have < quota)),
+parts as (select r, k, unnest(range(start::bigint // {BLOCK}, (least(start + size, take)::bigint - 1) // {BLOCK} + 1)) as block from passes where size > 0 and start < take),
+firsts as (select r, min(slot)::bigint as first_slot from parts join slots using (k, block) group by r)
+select doc_id, size, source_size, target, taken, first_slot from sized join takes using (r) left join firsts using (r)""",
 }

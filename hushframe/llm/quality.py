@@ -4,7 +4,7 @@ Each whole text becomes a few statistics (shares of byte classes, lengths of wor
 
 Learning reads the table of labels and the statistics only; identifier, language and source never enter. All labelled rows that are not held out are used.
 
-Cases: a null or empty text has statistics of its own and is scored like any other; an identifier that is labelled twice counts with its larger label, a null label not at all; without any training row every score is 0.5; other columns of the input stay as they are, but those that the result adds replace columns of the same names.
+Cases: a null or empty text has statistics of its own and is scored like any other; a very long text is one slice of its own; repeated rows are scored alike and each is learnt from; an identifier that is labelled twice counts with its larger label, a null label not at all; without any training row, as in an empty table, every score is 0.5; other columns of the input stay as they are, but those that the result adds replace columns of the same names.
 """
 
 from __future__ import annotations
@@ -113,16 +113,18 @@ class Model:
         return self.curve[self.bin(self.raw(x))]
 
 
-def statistics_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, x: one row for each row of docs."""
+def statistics_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+    """doc_id, x: one row for each row of docs. carry: a numeric column of docs that goes along as row_id."""
+    more = ["row_id"] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "__text"):
                 x = statistics(data, offsets)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(NAMES), pa.int32()), pa.array(x.ravel()))], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(NAMES), pa.int32()), pa.array(x.ravel())), *(part.column(c) for c in more)], ["doc_id", "x", *more])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("__text")).mapInArrow(run, "doc_id bigint, x array<double>")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("__text"), *([F.col(carry).cast("bigint").alias("row_id")] if carry else []))
+    return rows.mapInArrow(run, "doc_id bigint, x array<double>" + ", row_id bigint" * len(more))
 
 
 def matrix(batch: pa.RecordBatch, column: str = "x") -> np.ndarray:
@@ -195,14 +197,15 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text") -> Data
 
 
 def scored_statistics(stats: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, score, predicted from statistics_of."""
+    """doc_id, score, predicted (and row_id, if there) from statistics_of."""
+    more = [c for c in ("row_id",) if c in stats.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = model.score(matrix(batch)) if model and batch.num_rows else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= CUT).astype(np.int32))], ["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= CUT).astype(np.int32)), *(batch.column(c) for c in more)], ["doc_id", "score", "predicted", *more])
 
-    return stats.mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return stats.mapInArrow(run, "doc_id bigint, score double, predicted int" + ", row_id bigint" * len(more))
 
 
 def remainder(n: int) -> Column:

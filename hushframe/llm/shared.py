@@ -69,9 +69,9 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("z"))
 
 
-def buckets_for(rows: int, each: int = 20_000) -> int:
-    """Bits of a 60-bit hash that deal so many rows into buckets of about `each`."""
-    return max(4, math.ceil(math.log2(max(1, rows) / each))) if rows > each else 4
+def buckets_for(rows: int) -> int:
+    """Bits of a 60-bit hash that deal so many rows into about as many buckets as a bucket has rows, the square root of them: neither a bucket nor the list of all buckets is much for one task at any number of rows."""
+    return max(1, math.ceil(math.log2(max(2, rows)) / 2))
 
 
 def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[Column], weight: Column, out: str) -> DataFrame:
