@@ -1,8 +1,10 @@
 """The corpus pipeline: quality, exact copies, near copies, mixture, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; what it decides takes effect on the rows it returns. All but the last return the columns of documents. Stages are written as Parquet to the shared folder and read again between one another.
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; what it decides takes effect on the rows it returns. All but the last return the columns of documents. Stages are written as Parquet to the shared folder and read again between one another, and what the stage before last wrote is then deleted.
 
-Cases: each stage takes what its operator takes (null and empty texts, repeated rows, empty tables, further columns, which are carried along up to packing); a row without identifier can be scored and packed, and of several such rows with equal texts exact deduplication keeps one.
+Decisions are made on rows, not on identifiers: each stage numbers its rows by file and place (shared.numbered), and picks those that stay by a bitmap of these numbers (shared.picked), so rows that repeat an identifier are judged each by its own text, and texts that stay are not shuffled while the bitmap is small enough to broadcast.
+
+Cases: null and empty texts are scored, and of several one stays; very long texts are treated whole; rows without identifier or with one that others have are treated like others, so that of equal texts one row stays, whatever their identifiers; of rows that agree in text and identifier the first by number stays; an empty table gives no rows; further columns are carried along up to packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.llm import exact_dedup, mixing, near_dedup, packing, quality
-from hushframe.llm.shared import keep, table
+from hushframe.llm.shared import forget, free, keep, numbered, picked, table
 
 #: A document with a lower quality score goes.
 REJECT = 0.5
@@ -19,34 +21,42 @@ REJECT = 0.5
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. Labels are learnt from the rows that op8 learns from; a document goes if its calibrated score is below REJECT, that is if it is more likely bad than good."""
-    stats = keep(quality.statistics_of(docs), "pipeline-statistics")
+    row = free(docs, "__row")
+    rows = numbered(docs, row)
+    stats = keep(quality.statistics_of(rows, carry=row), "pipeline-statistics")
     model = quality.fit(stats, table(spark, sf_dir, "labels"), "quality", quality.remainder(4) != 2)
-    return quality.scored(docs, model).where(F.col("score") >= REJECT).select(*docs.columns)
+    good = quality.scored_statistics(stats, model).where(F.col("score") >= REJECT)
+    return picked(rows, row, good.select(F.col("row_id").alias(row))).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest identifier; of rows that also share it, one."""
-    def key(digest):
-        return F.concat_ws(":", digest, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-
-    kept = exact_dedup.groups(docs).where("kept").select(key(F.col("text_sha256")).alias("__key")).distinct()
-    rows = docs.withColumn("__key", key(exact_dedup.sha256_of(exact_dedup.lowered(F.col("text"))))).join(kept, "__key", "left_semi")
-    return rows.dropDuplicates(["__key"]).select(*docs.columns)
+    """Of documents with equal texts the one with the largest identifier; of rows that also share it, the first."""
+    row = free(docs, "__row")
+    rows = numbered(docs, row)
+    kept = exact_dedup.groups(rows.select("doc_id", "text", F.col(row).alias("row_id")), carry="row_id").where("kept")
+    first = kept.groupBy("text_sha256").agg(F.min("row_id").alias(row))
+    return picked(rows, row, first.select(row)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: runs of five words, similarity 0.8 or more."""
-    gone = near_dedup.near_duplicates(docs, n=5, percent=80).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies, the first row by number: runs of five words, similarity 0.8 or more."""
+    row = free(docs, "__row")
+    rows = numbered(docs, row)
+    kept = near_dedup.near_duplicates(rows, n=5, percent=80, id_col=row, row=row).where("kept")
+    return picked(rows, row, kept.select(F.col("row_id").alias(row))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: a document stands in it once for each pass in which its first word is taken, whole, so up to twice or not at all."""
-    numbered = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
-    documents, pieces = mixing.mix(numbered, id_col="__row")
-    times = pieces.where("start = 0").join(documents.select("row_id", "doc_id"), "row_id").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("__times"))
-    rows = numbered.join(times.withColumnRenamed("doc_id", "__row"), "__row")
-    return rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    """The mixture: a document stands in it once for each pass in which its first word is taken, whole, so up to twice or not at all. Documents are shuffled by their numbers."""
+    row = free(docs, "__row")
+    rows = numbered(docs, row)
+    documents, pieces = mixing.mix(rows, id_col=row)
+    taken = keep(pieces.where("start = 0").join(documents.select("row_id", F.col("doc_id").alias(row)), "row_id").select(row, "pass").distinct(), "pipeline-passes")
+    found = None
+    for number in range(mixing.MOST):
+        once = picked(rows, row, taken.where(F.col("pass") == number).select(row)).select(*docs.columns)
+        found = once if found is None else found.unionByName(once)
+    return found
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,11 +68,13 @@ STAGES = [("quality", classify), ("exact_dedup", drop_copies), ("near_dedup", dr
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Minhash links and trained scores are beyond SQL; tests hold the stages exact_dedup, near_dedup and mixing against plain versions, quality against planted labels and op2 against a plain search; of run() they only check that its documents passed the first stage.
+#: Minhash links and trained scores are beyond SQL; tests/llm hold each stage, and run() as a whole, against plain versions of them.
 ORACLE_SQL = None
