@@ -4,7 +4,7 @@ Three zstandard dictionaries are trained: one on ordinary text, and one on each
 
 Toxic documents consist mostly of ordinary words, so their dictionaries are trained again in ROUNDS: of a half's windows those stay that the other half's dictionary compresses better than the ordinary one does, by more than all but a small share (the round's) of the windows of ordinary documents. Nothing but compressed lengths chooses them. Documents that repeat others (over 30 % of their runs of three words) train once, and a window that stands in several toxic documents is a shared passage and trains nothing. Each setting of SETTINGS (words in a window, bytes of a toxic dictionary) is learnt, and the one stays that finds most toxic calibration documents at 1 % false alarms, and of equals the one that ranks best.
 
-Learning takes at most SAMPLE labelled rows of each label, whole, those first in a seeded hash order; it never reads identifier, language or source. Scoring reads every whole text. Distinct windows are compressed once for each batch of texts and remembered, up to a bound, from batch to batch.
+Learning takes at most SAMPLE labelled rows of each label, whole, those first in a seeded hash order; it never reads identifier, language or source. Scoring reads every whole text, a slice of texts at a time, and compresses each distinct window of a slice once.
 
 Cases: a null or empty text has no window and statistic 0; a text with fewer words than a window is one window; an identifier that is labelled twice counts with its larger label, a null label not at all; repeated rows are scored alike and train once; without labelled texts of both labels every score is 0; an empty table gives no rows; other columns of the input stay as they are, but those that the result adds replace columns of the same names.
 """
@@ -25,18 +25,20 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .quality import isotonic, remainder
 from .shared import first_by_hash, keep, shuffled_by, table
-from .textbytes import slices
+from .textbytes import hashes, slices, spans
 
 SAMPLE, SEED, CUT, TOP = 2000, 3, 0.7, 3
 #: Words in a window and bytes of each toxic dictionary.
 SETTINGS = ((2, 8_192), (3, 16_384))
 #: The share of ordinary windows that a round lets through, and the dictionary's bytes before the first.
 ROUNDS, FIRST_BYTES, ORDINARY_BYTES = (0.01, 0.01, 0.01, 0.005, 0.005, 0.003), 65_536, 1_000_000
-#: Windows that train the ordinary dictionary; ordinary documents whose windows set the deviations; windows that a scorer remembers.
-ORDINARY_WINDOWS, MEASURED, REMEMBERED = 400_000, 400, 200_000
+#: Windows that train the ordinary dictionary; ordinary documents whose windows set the deviations; windows that are compressed in one call.
+ORDINARY_WINDOWS, MEASURED, TOGETHER = 400_000, 400, 20_000
 #: A word stands between the first two marks; the third ends a window, since zstandard begins no match in the last eight bytes.
 OPEN, CLOSE, END = b"\x01", b"\x02", b"\x03" * 8
 LONGEST = 96  # bytes of a window, from which on all count as one length
+#: Logarithms of the match tables' sizes, for the ordinary and the toxic dictionaries: small tables stay in the processor's cache.
+PLAIN, SMALL = 18, 14
 _BLANK = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 32 or chr(c) in "\"#$%&()*+,./:;<=>?@[\\]^_`{|}~!" else c for c in range(256))
 
 
@@ -52,8 +54,31 @@ def windows(ws: list[bytes], k: int) -> list[bytes]:
     return list(dict.fromkeys(b"".join(marked[i : i + k]) + END for i in range(max(1, len(ws) - k + 1))))
 
 
+def together(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """windows() of all texts at once: the marked words end to end, and of each distinct window of each text its first byte, the byte after its last (END comes after) and its text."""
+    data = np.frombuffer(_BLANK, np.uint8)[data]
+    first, last, row = spans(data, offsets, np.arange(256) == 32)
+    size = last - first + 2
+    at = np.cumsum(size) - size
+    stream = np.full(int(size.sum()), CLOSE[0], np.uint8)
+    stream[at] = OPEN[0]
+    letters = data[data != 32]
+    stream[np.arange(len(letters)) + 2 * np.repeat(np.arange(len(size)), size - 2) + 1] = letters
+    count = np.bincount(row, minlength=len(offsets) - 1)
+    runs = np.where(count > 0, np.maximum(1, count - k + 1), 0)
+    text = np.repeat(np.arange(len(count)), runs)
+    head = np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs) + (np.cumsum(count) - count)[text]
+    tail = np.minimum(head + k, np.cumsum(count)[text]) - 1
+    start, end = at[head], at[tail] + size[tail]
+    value = hashes(stream, start, end)
+    order = np.lexsort((value, text))
+    new = np.append(True, (np.diff(value[order]) != 0) | (np.diff(text[order]) != 0))[: len(order)]
+    some = np.sort(order[new])
+    return stream, start[some], end[some], text[some]
+
+
 def compressor(content: bytes, log: int):
-    settings = zstandard.ZstdCompressionParameters(window_log=log, hash_log=log, chain_log=log, search_log=5, min_match=6, target_length=64, strategy=zstandard.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    settings = zstandard.ZstdCompressionParameters(window_log=log, hash_log=log, chain_log=log, search_log=4, min_match=6, target_length=64, strategy=zstandard.STRATEGY_DFAST, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content), compression_params=settings)
 
 
@@ -66,7 +91,9 @@ def dictionary(size: int, samples: list[bytes]) -> bytes:
 
 
 def lengths(by, ws: list[bytes]) -> np.ndarray:
-    return np.fromiter((len(by.compress(w)) for w in ws), np.int64, len(ws))
+    """Compressed lengths, a window each."""
+    found = [np.fromiter(map(len, by.multi_compress_to_buffer(ws[i : i + TOGETHER], threads=1)), np.int64) for i in range(0, len(ws), TOGETHER)]
+    return np.concatenate([np.zeros(0, np.int64), *found])
 
 
 def deviations(margin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,38 +122,36 @@ class Model:
 
 
 class Scorer:
-    """Statistics of texts. Margins of windows are remembered, up to REMEMBERED of them."""
+    """Statistics of texts."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.ordinary, (self.one, self.other) = compressor(model.ordinary, 20), (compressor(t, 17) for t in model.toxic)
-        self.known: dict[bytes, float] = {}
-
-    def margin(self, window: bytes) -> int:
-        """The other half is asked only where the first one gains."""
-        plain, one = len(self.ordinary.compress(window)), len(self.one.compress(window))
-        return plain - max(one, len(self.other.compress(window))) if one < plain else plain - one
+        self.ordinary, (self.one, self.other) = compressor(model.ordinary, PLAIN), (compressor(t, SMALL) for t in model.toxic)
 
     def margins(self, ws: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.margin, ws), np.int64, len(ws))
-
-    def look(self, window: bytes) -> float:
-        """In deviations; 0 where the ordinary dictionary is as good."""
-        m = self.margin(window)
-        n = min(len(window), LONGEST)
-        return max(0.0, (m - self.model.mean[n]) / self.model.sd[n]) if m > 0 else 0.0
+        """The other half is asked only where the first one gains."""
+        plain, one = lengths(self.ordinary, ws), lengths(self.one, ws)
+        some = np.flatnonzero(one < plain)
+        one[some] = np.maximum(one[some], lengths(self.other, [ws[i] for i in some.tolist()]))
+        return plain - one
 
     def statistic(self, texts: list[bytes]) -> np.ndarray:
-        found = np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            ws = windows(words(text), self.model.k)
-            if len(self.known) + len(ws) > REMEMBERED:
-                self.known.clear()
-            for w in ws:
-                if w not in self.known:
-                    self.known[w] = self.look(w)
-            found[i] = sum(sorted((self.known[w] for w in ws), reverse=True)[:TOP])
-        return found
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        return self.statistics(data, np.cumsum([0, *map(len, texts)]))
+
+    def statistics(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts end to end, with their offsets. A margin counts in deviations, and as 0 where the ordinary dictionary is as good."""
+        stream, start, end, text = together(data, offsets, self.model.k)
+        _, first, place = np.unique(hashes(stream, start, end), return_index=True, return_inverse=True)
+        raw = stream.tobytes()
+        margin = np.concatenate([np.zeros(0, np.int64), *(self.margins([raw[a:b] + END for a, b in zip(start[part].tolist(), end[part].tolist(), strict=True)]) for part in np.array_split(first, max(1, len(first) // TOGETHER)))])[place]
+        n = np.minimum(end - start + len(END), LONGEST)
+        far = np.where(margin > 0, np.maximum(0.0, (margin - self.model.mean[n]) / self.model.sd[n]), 0.0)
+        order = np.lexsort((-far, text))
+        count = np.bincount(text, minlength=len(offsets) - 1)
+        rank = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        best = order[rank < TOP]
+        return np.bincount(text[best], far[best], len(offsets) - 1)
 
 
 def uncopied(texts: list[list[bytes]]) -> list[list[bytes]]:
@@ -147,7 +172,7 @@ def learnt(toxic: list[list[bytes]], ordinary: list[list[bytes]], k: int, size:
     measured = [w for ws in ordinary[::4][:MEASURED] for w in windows(ws, k)] or [END]
     usual = [w for i, ws in enumerate(ordinary) if i % 4 or len(ordinary) < 4 for w in windows(ws, k)[::k]]
     plain = dictionary(ORDINARY_BYTES, rng.sample(usual, min(len(usual), ORDINARY_WINDOWS)))
-    by = compressor(plain, 20)
+    by = compressor(plain, PLAIN)
     parts = [[windows(ws, k) for ws in toxic[h::2]] for h in (0, 1)]
     met = Counter(w for half in parts for ws in half for w in ws)
     parts = [[[w for w in ws if met[w] == 1] for ws in half] for half in parts]
@@ -157,7 +182,7 @@ def learnt(toxic: list[list[bytes]], ordinary: list[list[bytes]], k: int, size:
     for number, share in enumerate(ROUNDS):
         found = [[], []]
         for h in (0, 1):
-            other = compressor(dictionary(size if number else FIRST_BYTES, chosen[1 - h]), 17)
+            other = compressor(dictionary(size if number else FIRST_BYTES, chosen[1 - h]), SMALL)
             ordinary_margin = usually - lengths(other, measured)
             mean, sd = deviations(ordinary_margin, size_of)
 
@@ -248,8 +273,7 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text", carry:
         scorer = Scorer(model) if model else None
         for batch in batches:
             for part, data, offsets in slices(batch, text_col):
-                raw = data.tobytes()
-                at = scorer.statistic([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]) if model else np.zeros(part.num_rows)
+                at = scorer.statistics(data, offsets) if model else np.zeros(part.num_rows)
                 score = model.score(at) if model else np.zeros(part.num_rows)
                 part = part.select(names)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= CUT).astype(np.int32)), pa.array(at)], [*names, "score", "predicted", "statistic"])
