@@ -119,8 +119,26 @@ def test_threshold_pairs(spark):
 
 def test_validation_order(spark):
     got = {r["name"]: (r["code"], r["message"]) for r in validate.checked(Q.witnesses(spark)).collect()}
-    assert got["valid"] == (0, "valid") and got["schema"] == (2, "schema commitment mismatch") and got["modulus"][0] == 7 and got["long"][0] == 9
-    assert {got[k][0] for k in ("severity", "zero_id", "not_ascii")} == {1}
+    assert got["valid"] == (0, validate.MESSAGES[0]) and got["schema"] == (2, validate.MESSAGES[2]) and got["modulus"][0] == 7 and got["long"][0] == 9
+    assert {got[k][0] for k in ("severity", "zero_id", "not_ascii", "early_and_schema", "all")} == {1}
+    assert got["schema_and_modulus"][0] == 2 and got["modulus_and_long"][0] == 7
+
+
+def test_record_bytes_against_struct(spark):
+    """Byte for byte, by an encoder of its own."""
+    import struct
+
+    def encoded(a):
+        out = struct.pack("<H", a.schema_version) + bytes(a.alert_id) + struct.pack("<QBB", a.timestamp, a.severity, a.category)
+        for c in ("user", "machine", "process", "ip", "file_path"):
+            out += struct.pack("<Q", len(a[c].encode())) + a[c].encode()
+        return out
+
+    for r in Q.witnesses(spark).withColumn("raw", validate.alert_bytes(lambda c: F.col("alert")[c])).collect():
+        assert bytes(r.raw) == encoded(r.alert)
+    key, cipher = bytes(range(33)), bytes(range(256))
+    raw = spark.range(1).select(validate.public_bytes(T.binary(cipher), F.lit("ab" * 32), T.binary(key), F.lit("cd" * 32), T.binary(b"c" * 16), F.lit(7), F.lit("ef" * 32))).first()[0]
+    assert bytes(raw) == struct.pack("<Q", 256) + cipher + b"\xab" * 32 + struct.pack("<Q", 33) + key + b"\xcd" * 32 + b"c" * 16 + struct.pack("<Q", 7) + b"\xef" * 32 and len(raw) == 425
 
 
 def test_validation_with_keys(spark):
@@ -133,11 +151,52 @@ def test_validation_with_keys(spark):
     assert len(message) == 143
     n = (1 << 2047) + 9
     seed, sig = bytes(range(32)), crypto.signed(message, secret, 777)
-    cipher = crypto.oaep(message, n, 65537, seed)
+    cipher = crypto.encrypted(message, n, 65537, seed)
+    assert cipher == crypto.oaep(message, n, 65537, prng.seeded_bytes(seed, 32))
     flip = lambda b: b[:-1] + bytes([b[-1] ^ 1])
-    cases = [(0, key, sig, cipher), (4, b"\x05" + key[1:], sig, cipher), (5, key, bytes(64), cipher), (6, key, flip(sig), cipher), (10, key, sig, flip(cipher))]
-    df = spark.createDataFrame([(want, 0, bytearray(message), bytearray(k), bytearray(s), bytearray(n.to_bytes(256, "big")), bytearray(b"\x01\x00\x01"), bytearray(seed), bytearray(c)) for want, k, s, c in cases], "want int, code int, message binary, sensor_public_key binary, sensor_signature binary, recipient_modulus binary, recipient_exponent binary, encryption_seed binary, expected_ciphertext binary")
+    cases = [(0, 0, key, sig, cipher), (4, 0, b"\x05" + key[1:], sig, cipher), (5, 0, key, bytes(64), cipher), (6, 0, key, flip(sig), cipher), (10, 0, key, sig, flip(cipher)), (4, 7, b"\x05" + key[1:], sig, cipher), (4, 9, b"\x05" + key[1:], sig, cipher), (6, 9, key, flip(sig), cipher), (7, 7, key, sig, flip(cipher)), (9, 9, key, sig, flip(cipher)), (1, 1, b"", b"", b""), (2, 2, b"", b"", b"")]
+    df = spark.createDataFrame([(want, code, bytearray(message), bytearray(k), bytearray(s), bytearray(n.to_bytes(256, "big")), bytearray(b"\x01\x00\x01"), bytearray(seed), bytearray(c)) for want, code, k, s, c in cases], "want int, code int, message binary, sensor_public_key binary, sensor_signature binary, recipient_modulus binary, recipient_exponent binary, encryption_seed binary, expected_ciphertext binary")
     assert all(r.want == r.code for r in crypto.completed(df, "message").collect())
+    assert crypto.completed(df.where("false"), "message").count() == 0
+    with pytest.raises(ValueError):
+        crypto.few(crypto.MOST_ROWS + 1)
+
+
+def test_seeded_bytes_are_chacha20():
+    """The published first block for a key of zeros."""
+    assert prng.seeded_bytes(bytes(32), 32).hex() == "76b8e0ada0f13d90405d6ae55386bd28bdd219b8a08ded1aa836efcc8b770dc7"
+
+
+def test_comparison_in_stages():
+    k = crypto.keygen(512, 128)
+    one, other = crypto.split(k.alpha)
+    table = crypto.lookup(k, 8)
+    assert [crypto.decrypt(k, c) for c in table] == list(range(9))
+    for x in range(9):
+        for y in (0, 3, 8):
+            a = crypto.asked(k, one, table[x], table[y], table[1])
+            answer = crypto.answered(k, other, a)
+            assert crypto.decrypt(k, answer) == int((x < y) != bool(a.swap))
+            assert crypto.decrypt(k, crypto.finished(k, a, answer)) == int(x < y)
+    assert crypto.unfixed(crypto.fixed(91, 384)) == 91
+
+
+def test_published_agreement(spark):
+    """Published figures."""
+    got = {r["mode"]: (r["n"], r.severity, r.actions, r.all_three) for r in Q.published_agreement(spark, "").collect()}
+    assert got == {"full": (30, 25, 14, 13), "hybrid": (30, 27, 15, 14)}
+
+
+def test_classes_of_the_corpus(spark):
+    """Values with a class, and none."""
+    rows = {(r.technique, r.id): r for r in pseudonymize.pseudonymized(tables.alerts(spark), "hybrid").collect()}
+    raw = {(r.technique, r.id): r for r in tables.alerts(spark).collect()}
+    for r in rows.values():
+        a = raw[r.technique, r.id]
+        assert r.process == f"semantic_process:{a.process}" or (a.process not in P.KNOWN_PROCESSES and r.process.startswith("semantic_process:other:tok_process_"))
+        assert r.src_ip.startswith("ip_class:RFC1918:tok_ip_" if a.src_ip.startswith("10.") else "ip_class:PUBLIC:tok_ip_")
+        assert r.file_path.startswith("semantic_path:" + a.file_path.rsplit("\\", 1)[1] + ":tok_file_path_")
+        assert r.user.startswith("account_class:SERVICE:" if a.user == P.SERVICE_ACCOUNT else "account_class:PERSON:")
 
 
 def test_secure_comparison(spark):
