@@ -1,10 +1,12 @@
 """Personal data: patterns with checks, and a character-level bidirectional LSTM with CRF transitions.
 
-Base spans come from four patterns with checks (mail address, IPv4 address, card number by Luhn, international phone number). The model then adds what has the look of such data but not the exact form, like phone numbers without a plus sign; its checks let in effect only phones and cards pass, since a mail or IP address in the exact form is a base span already and other forms of these are not added. It is written in numpy: characters become classes, two LSTMs read a window forwards and backwards, a linear layer gives a score for each tag, and a CRF with learnt transitions gives the best sequence and each character's probability. It is trained on labelled spans: of a bounded sample of the texts (SAMPLE texts with a digit or an @, of at most LONGEST characters, first in a seeded hash order; PER_TEXT windows of each, drawn by seed), labelled by the patterns, and of generated sentences with data in more forms than the patterns know.
+Base spans come from four patterns with checks (mail address, IPv4 address, card number by Luhn, international phone number). The model then adds what has the look of such data but not the exact form: phone numbers without a plus sign, mail addresses with a spelled or bracketed "at" and "dot", addresses and cards with other marks between their numbers, numbers that fail a check. It is written in numpy: characters become classes, two LSTMs read a window forwards and backwards, a linear layer gives a score for each tag, and a CRF has learnt transitions between tags.
 
-All kinds of data have a digit or an @, so windows are laid around these signs, over the whole text; elsewhere the tag is "none" by definition. Windows overlap by half; each character takes its tag from the window in whose middle it stands most, over the whole text, and spans are read from the tags so reconciled. An added span must keep clear of base spans, must be sure (SURE for each of its characters) and must pass its kind's check.
+Windows of WINDOW characters are laid over the whole text, whatever stands in it, each STEP after the one before, and a character takes its scores from the window in whose middle it stands most. These scores are one chain over the whole text, with "none" before and after, and the best tag sequence of that chain is found exactly: a stretch of other tags must gain more by its scores than its transitions cost at least, so what no such stretch can hold (two running sums tell) is "none" in the best sequence, the chain falls apart there, and only the short runs in between are decoded. An added span must keep clear of base spans, must be sure (SURE for each of its characters, as the CRF's probability within its stretch) and must pass its kind's loose check on a normal form.
 
-Cases: a null or empty text has no spans; a text without any digit or @ costs a search and no more; rows may repeat; an empty table gives no rows; other columns of the input are ignored and may have any name.
+The model is trained on labelled spans: of a bounded sample of the rows (SAMPLE rows with a digit or an @, whole texts, first in a seeded hash order), labelled by the look (the patterns without Luhn's and the range check), and of GENERATED sentences made of the sample's words and of data in more forms than the patterns know. Of very long samples WINDOWS windows train, drawn by seed from all of them.
+
+Cases: a null or empty text has no spans; a very long text is read whole, in slices of windows; rows may repeat, and train once; an empty table gives no rows; other columns of the input are ignored and may have any name.
 """
 
 from __future__ import annotations
@@ -21,11 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import first_by_hash, shuffled_by, table
+from .textbytes import slices
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STEP, HIDDEN, SAMPLE, EPOCHS, SURE, SEED = 64, 32, 12, 300, 6, 0.9, 7
-#: Of each text that trains, so many windows, drawn by seed from the whole text; longer texts do not train, to bound what reaches the driver.
-PER_TEXT, LONGEST = 10, 20_000
+WINDOW, STEP, HIDDEN, SAMPLE, GENERATED, WINDOWS, EPOCHS, SURE, SEED = 256, 224, 16, 150, 1200, 2_500, 7, 0.8, 7
 TRIGGER = re.compile(r"[0-9@]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -92,20 +93,13 @@ def classes(text: str) -> np.ndarray:
     return np.where(points < 128, CLASS[np.minimum(points, 127)], 0)
 
 
-def windows(text: str) -> list[int]:
-    """Starts of windows over all triggers, at multiples of STEP, each place near a trigger in two windows."""
-    starts = set()
-    last = -1
-    for m in TRIGGER.finditer(text):
-        k = m.start() // STEP
-        if k != last:
-            starts.update((max(0, k - 1) * STEP, k * STEP, max(0, (m.start() + 24) // STEP - 1) * STEP, (m.start() + 24) // STEP * STEP))
-            last = k
-    return sorted(s for s in starts if s < len(text))
+def windows(size: int) -> int:
+    """How many windows, STEP apart from the first character on, cover a text of so many characters."""
+    return 1 + max(0, -(-(size - WINDOW) // STEP)) if size else 0
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 @dataclass
@@ -126,9 +120,10 @@ class Net:
         p["t"] = np.zeros((TAGS, TAGS))
         return cls(p)
 
-    def lstm(self, d: str, x: np.ndarray) -> tuple[np.ndarray, list]:
-        h, c = np.zeros((len(x), HIDDEN)), np.zeros((len(x), HIDDEN))
-        out, kept = np.zeros((x.shape[1], len(x), HIDDEN)), []
+    def lstm(self, d: str, x: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
+        kind = self.p["o"].dtype
+        h, c = np.zeros((len(x), HIDDEN), kind), np.zeros((len(x), HIDDEN), kind)
+        out, kept = np.zeros((x.shape[1], len(x), HIDDEN), kind), []
         for t in range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1):
             z = self.p[f"{d}x"][x[:, t]] + h @ self.p[f"{d}h"]
             s = sigmoid(z[:, : 3 * HIDDEN])
@@ -136,7 +131,8 @@ class Net:
             g = np.tanh(z[:, 3 * HIDDEN :])
             new = f * c + i * g
             th = np.tanh(new)
-            kept.append((t, h, c, i, f, o, g, th))
+            if keep:
+                kept.append((t, h, c, i, f, o, g, th))
             h, c = o * th, new
             out[t] = h
         return out, kept
@@ -147,12 +143,12 @@ class Net:
             dh = dh + dout[t]
             dc = dc + dh * o * (1 - th * th)
             dz = np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-            grad[f"{d}x"] += np.eye(CLASSES)[x[:, t]].T @ dz
+            grad[f"{d}x"] += np.eye(CLASSES, dtype=dz.dtype)[x[:, t]].T @ dz
             grad[f"{d}h"] += h.T @ dz
             dh, dc = dz @ self.p[f"{d}h"].T, dc * f
 
-    def emissions(self, x: np.ndarray):
-        (hf, kf), (hb, kb) = self.lstm("f", x), self.lstm("b", x)
+    def emissions(self, x: np.ndarray, keep: bool = True):
+        (hf, kf), (hb, kb) = self.lstm("f", x, keep), self.lstm("b", x, keep)
         h = np.concatenate([hf, hb], axis=2)
         return h @ self.p["o"] + self.p["c"], h, kf, kb
 
@@ -184,30 +180,119 @@ class Net:
         self.lstm_back("b", x, kb, dh[:, :, HIDDEN:], grad)
         return {k: v / len(x) for k, v in grad.items()}
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best tag sequence of each window, and the probability of each of its tags."""
-        e = self.emissions(x)[0]
+    def decode(self, e: np.ndarray, alone: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The best tag sequence for scores e (places, sequences, tags), and the probability of each of its tags. alone: nothing stands before and after; else "none" does."""
+        if not alone:
+            e = e.copy()
+            e[0] += self.p["t"][0]
+            e[-1] += self.p["t"][:, 0]
         a, b, z = self.sums(e)
         best, back = e[0], []
         for k in range(1, len(e)):
             s = best[:, :, None] + self.p["t"]
             back.append(s.argmax(axis=1))
             best = e[k] + s.max(axis=1)
-        tags = np.zeros((len(x), len(e)), np.int64)
+        n = np.arange(e.shape[1])
+        tags = np.zeros((e.shape[1], len(e)), np.int64)
         tags[:, -1] = best.argmax(axis=1)
         for k in range(len(e) - 1, 0, -1):
-            tags[:, k - 1] = back[k - 1][np.arange(len(x)), tags[:, k]]
+            tags[:, k - 1] = back[k - 1][n, tags[:, k]]
         sure = np.exp(a + b - z[:, None]).transpose(1, 0, 2)
         return tags, np.take_along_axis(sure, tags[:, :, None], 2)[:, :, 0]
 
-
-def cut(text: str, tags: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """The windows of a text as classes, filled up with blanks, their tags and starts."""
-    starts = windows(text)
+    def read(self, x: np.ndarray) -> np.ndarray:
+        """emissions() of windows, (places, tags, windows), in single precision and with as little moved about in memory as can be: classes and the state before go through one product, and each place's scores are added up as its state is known."""
+        n, size = x.shape
+        e = np.empty((size, TAGS, n), np.float32)
+        e[:] = self.p["c"][:, None]
+        seen, kinds = np.ascontiguousarray(x.T), np.arange(CLASSES, dtype=x.dtype)[:, None]
+        for d, half in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, 2 * HIDDEN))):
+            w = np.concatenate([self.p[f"{d}h"], self.p[f"{d}x"]]).T.astype(np.float32)
+            w[: 3 * HIDDEN] *= np.float32(0.5)  # a sigmoid is a tanh of half
+            out = np.ascontiguousarray(self.p["o"][half].T, np.float32)
+            known, c = np.zeros((HIDDEN + CLASSES, n), np.float32), np.zeros((HIDDEN, n), np.float32)
+            z, g, score = np.empty((4 * HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32), np.empty((TAGS, n), np.float32)
+            for t in range(size) if d == "f" else range(size - 1, -1, -1):
+                np.equal(kinds, seen[t], out=known[HIDDEN:], casting="unsafe")
+                np.matmul(w, known, out=z)
+                np.tanh(z, out=z)
+                gates = z[: 3 * HIDDEN]
+                gates *= np.float32(0.5)
+                gates += np.float32(0.5)
+                c *= z[HIDDEN : 2 * HIDDEN]
+                np.multiply(z[:HIDDEN], z[3 * HIDDEN :], out=g)
+                c += g
+                np.tanh(c, out=g)
+                np.multiply(z[2 * HIDDEN : 3 * HIDDEN], g, out=known[:HIDDEN])
+                np.matmul(out, known[:HIDDEN], out=score)
+                e[t] += score
+        return e
+
+    def open_places(self, e: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Of places (scores e, texts end to end) those that a stretch of other tags than "none" can hold: the largest sum of gains of a stretch around them makes up for going there and back."""
+        t = self.p["t"].astype(float) - float(self.p["t"][0, 0])
+        gain = (e[:, 1:].max(axis=1) - e[:, 0]).astype(float) + t[1:, 1:].max()
+        total = np.cumsum(gain)
+        apart = (2 * np.abs(total).max() + 1) * np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))  # no stretch spans two texts
+        before = np.minimum.accumulate(total - gain - apart)
+        after = np.maximum.accumulate((total - apart)[::-1])[::-1]
+        return np.flatnonzero(after - before >= t[1:, 1:].max() - t[0, 1:].max() - t[1:, 0].max() - 1e-3)
+
+    def single(self) -> Net:
+        return Net({k: v.astype(np.float32) for k, v in self.p.items()})
+
+
+def cut(text: str, tags: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of a text as classes, filled up with blanks, and their tags."""
+    count = windows(len(text))
     c = np.append(classes(text), np.full(WINDOW, CLASS[32]))
     y = np.append(tags if tags is not None else np.zeros(len(text), np.int64), np.zeros(WINDOW, np.int64))
-    at = np.array(starts, np.int64)[:, None] + np.arange(WINDOW)
-    return c[at], y[at], starts
+    at = np.arange(count)[:, None] * STEP + np.arange(WINDOW)
+    return c[at], y[at]
+
+
+def scores(net: Net, points: np.ndarray, offsets: np.ndarray, most: int = 1024) -> np.ndarray:
+    """The scores of texts, laid end to end as classes with their offsets: of each place, from the window in whose middle it stands most."""
+    size = np.diff(offsets)
+    count = np.array([windows(n) for n in size.tolist()], np.int64)
+    text = np.repeat(np.arange(len(size)), count)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    start = offsets[text] + number * STEP
+    edge = (WINDOW - STEP) // 2
+    first = np.where(number == 0, start, start + edge)
+    last = np.where(number == count[text] - 1, offsets[text + 1], start + edge + STEP)
+    filled = np.append(points, np.full(WINDOW, CLASS[32], points.dtype))
+    found = np.empty((len(points), TAGS), np.float32)
+    for k in range(0, len(text), most):
+        part = slice(k, k + most)
+        at = start[part, None] + np.arange(WINDOW)
+        x = np.where(at < offsets[text[part] + 1][:, None], filled[np.minimum(at, len(filled) - 1)], CLASS[32]).astype(np.int8)
+        e = net.read(x)
+        window = np.repeat(np.arange(len(x)), last[part] - first[part])
+        place = np.arange(first[part][0], last[part][-1])
+        found[place] = e[place - start[part][window], :, window]
+    return found
+
+
+def places(net: Net, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, over texts laid end to end, whose tag in the best sequence is not "none", in order, with tag and probability. Runs of open places within a text are decoded, those of one length together."""
+    e = scores(net, points, offsets)
+    at = net.open_places(e, offsets) if len(e) else np.zeros(0, np.int64)
+    if not len(at):
+        return at, at, np.zeros(0)
+    e = e[at].astype(float)
+    heads = np.append(True, np.diff(at) > 1)
+    heads[np.searchsorted(at, offsets[(offsets > at[0]) & (offsets <= at[-1])])] = True  # a text's end is an end
+    heads = np.flatnonzero(heads)
+    size = np.diff(np.append(heads, len(at)))
+    tags, sure = np.zeros(len(at), np.int64), np.zeros(len(at))
+    for n in np.unique(size).tolist():
+        mine = heads[size == n]
+        for k in range(0, len(mine), max(1, 200_000 // n)):
+            rows = mine[k : k + max(1, 200_000 // n), None] + np.arange(n)
+            tags[rows], sure[rows] = net.decode(e[rows].transpose(1, 0, 2))
+    some = tags > 0
+    return at[some], tags[some], sure[some]
 
 
 def tagged(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
@@ -217,45 +302,66 @@ def tagged(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return y
 
 
-def generated(n: int, rng: random.Random) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Sentences with labelled data, in the patterns' forms and in others, and with numbers that are none."""
+#: How much of a generated sentence is data, or looks like it; rows of a training step.
+DENSITY, ROWS = 0.35, 16
+#: The base patterns before their checks: what data of each kind looks like.
+LOOK = (None, re.compile(r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9.])"), re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])"), PHONE)
+
+
+def looks(text: str) -> list[tuple[int, int, int]]:
+    """Spans with the look of data, clear of each other: base spans first."""
+    found = base(text)
+    for kind, pattern in enumerate(LOOK):
+        for m in pattern.finditer(text) if pattern else ():
+            if not any(a < m.end() and m.start() < b for _, a, b in found):
+                found.append((kind, *m.span()))
+    return found
+
+
+def generated(n: int, rng: random.Random, usual: list[str] = ()) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Sentences with labelled data, in the patterns' forms and in others, and with numbers and words that are none. usual: words to make them of, besides made-up ones."""
     def letters(low, high):
         return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(low, high)))
 
     def number(k):
         return "".join(rng.choice("0123456789") for _ in range(k))
 
+    def word():
+        return rng.choice(usual) if usual and rng.random() < 0.8 else letters(1, 9)
+
     def email():
-        return f"{letters(3, 12)}{rng.choice(['', '.', '_'])}{number(rng.randint(0, 2))}@{letters(3, 8)}{rng.choice(['', '.' + letters(3, 9)])}.{rng.choice(['com', 'org', 'net', 'example'])}"
+        at, dot = rng.choice([("@", "."), ("@", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", "."), (" (at) ", " (dot) "), (" @ ", " . ")])
+        local = f"{letters(2, 12)}{rng.choice(['', '.', '_']) if at == '@' else ''}{number(rng.randint(0, 2))}"
+        return local + at + dot.join([letters(3, 8), *[letters(3, 9)] * rng.randint(0, 1), rng.choice(["com", "org", "net", "example", "de"])])
 
     def ip():
-        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+        sep = rng.choice([".", ".", "[.]", " . ", "(.)", ","])
+        return sep.join(str(rng.randint(0, 255 if rng.random() < 0.8 else 999)) for _ in range(4))
 
     def card():
-        digits = number(15)
-        digits += next(d for d in "0123456789" if luhn(digits + d))
-        sep = rng.choice(["", "", " ", "-"])
+        sep = rng.choice(["", "", " ", "-", ".", "/", "  "])
+        digits = number(16)
         return sep.join(digits[i : i + 4] for i in range(0, 16, 4))
 
     def phone():
         area, a, b = number(3), number(3), number(4)
-        return rng.choice([f"+1 ({area}) {a}-{b}", f"+{rng.randint(1, 99)} {area} {a} {b}", f"({area}) {a}-{b}", f"{area}-{a}-{b}", f"+1{area}{a}{b}", f"00{rng.randint(1, 99)} {area} {a}{b}"])
+        return rng.choice([f"+1 ({area}) {a}-{b}", f"+{rng.randint(1, 99)} {area} {a} {b}", f"({area}) {a}-{b}", f"{area}-{a}-{b}", f"{area} {a} {b}", f"{area}.{a}.{b}", f"+1{area}{a}{b}", f"00{rng.randint(1, 99)} {area} {a}{b}", f"0{number(3)}/{number(7)}"])
 
     def none():
-        return rng.choice([number(rng.randint(1, 6)), f"{number(1)}.{number(2)}", f"20{number(2)}-{number(2)}-{number(2)}", f"v{number(1)}.{number(1)}.{number(1)}", number(rng.randint(17, 30)), f"{number(2)}:{number(2)}", f"#{number(4)}", "".join(rng.choice("0123456789abcdef") for _ in range(40))])
+        return rng.choice([number(rng.randint(1, 6)), f"{number(1)}.{number(2)}", f"20{number(2)}-{number(2)}-{number(2)}", f"v{number(1)}.{number(1)}.{number(1)}", number(rng.randint(21, 30)), f"{number(2)}:{number(2)}", f"#{number(4)}", "".join(rng.choice("0123456789abcdef") for _ in range(40)), f"{word()} at {word()}", f"{word()} dot {word()}", f"@{letters(3, 8)}", f"{number(3)}, {number(3)}, {number(3)}", f"{number(4)} {word()} {number(4)}", f"{number(2)}/{number(2)}/{number(4)}"])
 
     found = []
     for _ in range(n):
         text, spans = "", []
-        for _ in range(rng.randint(4, 14)):
-            if rng.random() < 0.25:
-                kind = rng.randrange(5)
-                item = (email, ip, card, phone, none)[kind]()
+        for _ in range(rng.randint(10, 44)):
+            if rng.random() < DENSITY:
+                kind = rng.randrange(6)
+                item = (email, ip, card, phone, none, none)[kind]()
                 if kind < 4:
                     spans.append((kind, len(text), len(text) + len(item)))
-                text += item + rng.choice([" ", ", ", ". ", "\n"])
+                text += item + rng.choice([" ", ", ", ". ", "\n", " | "])
             else:
-                text += letters(1, 9) + rng.choice([" ", " ", " ", ", ", ". ", " | "])
+                text += word() + rng.choice([" ", " ", " ", " ", ", ", ". ", " | "])
         found.append((text, spans))
     return found
 
@@ -263,71 +369,72 @@ def generated(n: int, rng: random.Random) -> list[tuple[str, list[tuple[int, int
 def train(texts: list[str]) -> Net:
     """On the labelled spans of these texts and of generated sentences; the same texts give the same net."""
     rng = random.Random(SEED)
-    rows = generated(500, rng) + [(t, base(t)) for t in texts]
-    xs, ys = [], []
-    for text, spans in rows:
-        x, y, _ = cut(text, tagged(text, spans))
-        some = sorted(rng.sample(range(len(x)), min(PER_TEXT, len(x))))
-        xs.append(x[some])
-        ys.append(y[some])
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    order = np.random.default_rng(SEED)
-    net = Net.fresh(order)
-    m, v, n = ({k: np.zeros_like(a) for k, a in net.p.items()} for _ in range(3))
-    t = 0
-    for epoch in range(EPOCHS):
-        for part in np.array_split(order.permutation(len(x)), max(1, len(x) // 48)):
+    usual = sorted({w for t in texts for w in t.split()[:2000]})
+    rows = [*generated(GENERATED, rng, usual), *((t, looks(t)) for t in texts if t)]
+    xs, ys = (np.concatenate(z) for z in zip(*(cut(text, tagged(text, spans)) for text, spans in rows), strict=True))
+    draw = np.random.default_rng(SEED)
+    some = np.sort(draw.choice(len(xs), min(WINDOWS, len(xs)), replace=False))
+    x, y = xs[some], ys[some]
+    net = Net.fresh(draw).single()
+    m, v = ({k: np.zeros_like(a) for k, a in net.p.items()} for _ in range(2))
+    t, steps = 0, EPOCHS * max(1, len(x) // ROWS)
+    for _ in range(EPOCHS):
+        for part in np.array_split(draw.permutation(len(x)), max(1, len(x) // ROWS)):
             grad = net.step(x[part], y[part])
             size = np.sqrt(sum((g * g).sum() for g in grad.values()))
             t += 1
+            rate = 0.02 * (1 - t / (steps + 1))
             for k, g in grad.items():
                 g = g * min(1, 20 / (size + 1e-9))
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
-                net.p[k] -= 0.03 * 0.6**epoch * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+                net.p[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
     return net
 
 
-#: A check for each kind of an added span.
-CHECKS = (lambda s: "@" in s[1:-1] and bool(DOMAIN.search(s)), lambda s: bool(IP.fullmatch(s)) and is_ip(s), is_card, lambda s: is_phone(s) and not is_card(s) and not re.search(r"[A-Za-z@]", s) and bool(re.search(r"[\x20().-]", s)) and not IP.search(s))
+_AT = re.compile(r"\s*(?:[\[({]\s*(?:at|@)\s*[\])}]|\bat\b|@)\s*", re.I)
+_DOT = re.compile(r"\s*(?:[\[({]\s*(?:dot|\.)\s*[\])}]|\bdot\b|\.)\s*", re.I)
+_MAIL = re.compile(r"[^\s@]+@[^\s@.]+(?:\.[^\s@.]+)+")
+_APART = re.compile(r"[0-9]{1,3}(?:[^0-9A-Za-z]{1,3}[0-9]{1,3}){3}")
+
+
+def mail_like(text: str) -> bool:
+    return bool(_MAIL.fullmatch(_DOT.sub(".", _AT.sub("@", text))))
+
+
+def card_like(text: str) -> bool:
+    return 13 <= len(DIGITS.sub("", text)) <= 19 and not re.search(r"[^0-9 ./-]", text)
+
+
+def phone_like(text: str) -> bool:
+    return 9 <= len(DIGITS.sub("", text)) <= 15 and not re.search(r"[^0-9 ().+/-]", text) and not _APART.fullmatch(text)
+
+
+#: A loose check for each kind of an added span.
+CHECKS = (mail_like, lambda s: bool(_APART.fullmatch(s)), card_like, phone_like)
 
 
 def added(texts: list[str], known: list[list[tuple[int, int, int]]], net: Net) -> list[list[tuple[int, int, int]]]:
     """The model's spans of each text, clear of the known ones."""
-    cuts = [cut(t) for t in texts]
-    xs = [x for x, _, starts in cuts if starts]
+    offsets = np.cumsum([0, *map(len, texts)])
+    points = classes("".join(texts)).astype(np.int8)
+    at, tags, sure = places(net, points, offsets)
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    if not xs:
+    if not len(at):
         return found
-    x = np.concatenate(xs)
-    tags, sure = (np.concatenate(z) for z in zip(*(net.decode(x[i : i + 2048]) for i in range(0, len(x), 2048)), strict=True))
-    first = 0
-    middle = np.minimum(np.arange(WINDOW), WINDOW - 1 - np.arange(WINDOW))
-    for k, (text, (_, _, starts)) in enumerate(zip(texts, cuts, strict=True)):
-        best: dict[int, tuple[int, int, float]] = {}
-        for j, s in enumerate(starts, first):
-            end = s + WINDOW >= len(text)
-            for i, (tag, p) in enumerate(zip(tags[j, : len(text) - s].tolist(), sure[j].tolist(), strict=False)):
-                rank = WINDOW if (s == 0 and i < STEP) or (end and i >= STEP) else int(middle[i])
-                if best.get(s + i, (-1,))[0] < rank:
-                    best[s + i] = (rank, tag, p)
-        first += len(starts)
-        places = sorted(p for p, (_, tag, _) in best.items() if tag)
-        a = 0
-        while a < len(places):
-            b = a
-            while b + 1 < len(places) and places[b + 1] == places[b] + 1 and best[places[b + 1]][1] == best[places[a]][1]:
-                b += 1
-            start, end, kind = places[a], places[b] + 1, best[places[a]][1] - 1
-            while start < end and text[start] in " ,.;:\n|":
-                start += 1
-            while end > start and text[end - 1] in " ,.;:\n|(-":
-                end -= 1
-            if end > start and min(best[p][2] for p in range(start, end)) >= SURE and CHECKS[kind](text[start:end]) and not any(s < end and start < e for _, s, e in known[k]):
-                alone = (start == 0 or not text[start - 1].isalnum()) and (end == len(text) or not text[end].isalnum())
-                if alone:
-                    found[k].append((kind, start, end))
-            a = b + 1
+    own = np.searchsorted(offsets, at, "right") - 1
+    heads = np.flatnonzero(np.append(True, (np.diff(at) > 1) | (np.diff(tags) != 0) | (np.diff(own) != 0)))
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(at)], strict=True):
+        k, kind = int(own[a]), int(tags[a]) - 1
+        text, first = texts[k], int(offsets[k])
+        start, end = int(at[a]) - first, int(at[b - 1]) + 1 - first
+        while start < end and text[start] in " ,.;:\n|":
+            start += 1
+        while end > start and text[end - 1] in " ,.;:\n|(-":
+            end -= 1
+        if end > start and sure[a:b].min() >= SURE and CHECKS[kind](text[start:end]) and not any(s < end and start < e for _, s, e in known[k]):
+            if (start == 0 or not text[start - 1].isalnum()) and (end == len(text) or not text[end].isalnum()):
+                found[k].append((kind, start, end))
     return found
 
 
@@ -336,26 +443,21 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def sample(docs: DataFrame, most: int = SAMPLE) -> list[str]:
-    """At most `most` texts with a digit or an @ and at most LONGEST characters, by a seeded hash of the identifier."""
-    some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= LONGEST))
-    return [r.text for r in first_by_hash(some, [shuffled_by(F.lit(SEED), F.col("doc_id")), F.col("text")], most).select("text").collect()]
+    """At most `most` different texts with a digit or an @, whole, by a seeded hash of the text."""
+    some = docs.where(F.col("text").rlike("[0-9@]")).select("text")
+    return [r.text for r in first_by_hash(some, [shuffled_by(F.lit(SEED), F.md5(F.col("text").cast("binary"))), F.col("text")], most, once=True).collect()]
 
 
 def found(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (of base spans), base_sha256, spans (base and added), n_added: one row for each row of docs."""
+    net = net.single()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part, _, _ in slices(batch, "__text"):
                 texts = [t or "" for t in part.column("__text").to_pylist()]
-                near = [i for i, t in enumerate(texts) if TRIGGER.search(t)]
-                spans: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-                more: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-                for i in near:
-                    spans[i] = base(texts[i])
-                for i, extra in zip(near, added([texts[i] for i in near], [spans[i] for i in near], net), strict=True):
-                    more[i] = extra
+                spans = [base(t) if TRIGGER.search(t) else [] for t in texts]
+                more = added(texts, spans, net)
                 counts = [pa.array([sum(k == kind for k, _, _ in s) for s in spans], pa.int64()) for kind in range(len(KINDS))]
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), *counts, pa.array([hashlib.sha256(written(s).encode()).hexdigest() for s in spans]), pa.array([written(s + m) for s, m in zip(spans, more, strict=True)]), pa.array([len(m) for m in more], pa.int64()),

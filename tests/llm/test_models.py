@@ -302,12 +302,22 @@ def small_model(k=2):
     return toxicity.Model(k, b"\x01plain\x02\x01words\x02\x01here\x02" * 8, (b"\x01grumblefud\x02\x01there\x02\x03\x03" * 8, b"\x01a\x02\x01grumblefud\x02" * 8))
 
 
-def test_margins_do_not_depend_on_what_is_remembered(monkeypatch):
-    texts = [b"plain words here", b"a grumblefud there grumblefud now", b"Grumblefud, GRUMBLEFUD!", b""]
+def test_statistics_do_not_depend_on_the_slice(monkeypatch):
+    texts = [b"plain words here", b"a grumblefud there grumblefud now", b"Grumblefud, GRUMBLEFUD!", b"", b" . "]
     whole = toxicity.Scorer(small_model()).statistic(texts).tolist()
-    monkeypatch.setattr(toxicity, "REMEMBERED", 1)
+    monkeypatch.setattr(toxicity, "TOGETHER", 1)
     scorer = toxicity.Scorer(small_model())
-    assert [scorer.statistic([t])[0] for t in texts] == whole and whole[1] > 2 and whole[0] == 0 == whole[3]
+    assert [scorer.statistic([t])[0] for t in texts] == whole and whole[1] > 2 and whole[0] == 0 == whole[3] == whole[4]
+    assert scorer.statistic([]).tolist() == []
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_windows_of_all_texts_at_once(k):
+    texts = ["a b a b a b c", "", "One, two!", "x", "é ü é ü", " \t\n", "b a"]
+    raw = [t.encode() for t in texts]
+    stream, start, end, text = toxicity.together(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), k)
+    got = [[bytes(stream[a:b]) + toxicity.END for a, b, t in zip(start, end, text, strict=True) if t == i] for i in range(len(texts))]
+    assert got == [toxicity.windows(toxicity.words(t), k) for t in raw]
 
 
 @pytest.mark.parametrize("k", [2, 3])
@@ -328,12 +338,12 @@ def test_statistic_against_plain_compression(k, words):
         found = []
         for run in runs:
             window = b"".join(b"\x01" + w.encode() + b"\x02" for w in run) + b"\x03" * 8
-            plain, one, other = (length(c, log, window) for c, log in ((model.ordinary, 20), (model.toxic[0], 17), (model.toxic[1], 17)))
+            plain, one, other = (length(c, log, window) for c, log in ((model.ordinary, toxicity.PLAIN), *((t, toxicity.SMALL) for t in model.toxic)))
             margin, n = plain - max(one, other), min(len(window), toxicity.LONGEST)
             found.append(max(0, (margin - model.mean[n]) / model.sd[n]) if margin > 0 else 0)
         want = sum(sorted(found, reverse=True)[:3])
         assert toxicity.Scorer(model).statistic([" ".join(ws).encode()])[0] == pytest.approx(want)
-    assert isinstance(toxicity.compressor(model.ordinary, 20), zstandard.ZstdCompressor)
+    assert isinstance(toxicity.compressor(model.ordinary, toxicity.PLAIN), zstandard.ZstdCompressor)
 
 
 def test_toxicity_odd_rows(spark, words):
@@ -472,10 +482,20 @@ def test_viterbi_against_all_sequences():
     net.p["t"] += rng.normal(0, 1, net.p["t"].shape)
     x = rng.integers(0, pii.CLASSES, (2, 5))
     e = net.emissions(x)[0]
-    tags, _ = net.decode(x)
-    for n in range(2):
-        best = max(itertools.product(range(pii.TAGS), repeat=5), key=lambda s: sum(e[k, n, s[k]] for k in range(5)) + sum(net.p["t"][a, b] for a, b in zip(s, s[1:], strict=False)))
-        assert tuple(tags[n]) == best
+    for alone in (True, False):
+        tags, sure = net.decode(e, alone)
+
+        def worth(n, s, alone=alone):
+            ends = 0 if alone else net.p["t"][0, s[0]] + net.p["t"][s[-1], 0]
+            return ends + sum(e[k, n, s[k]] for k in range(5)) + sum(net.p["t"][a, b] for a, b in zip(s, s[1:], strict=False))
+
+        for n in range(2):
+            every = {s: worth(n, s) for s in itertools.product(range(pii.TAGS), repeat=5)}
+            assert tuple(tags[n]) == max(every, key=every.get)
+            total = np.exp(list(every.values())).sum()
+            for k in range(5):
+                want = sum(np.exp(v) for s, v in every.items() if s[k] == tags[n, k]) / total
+                assert sure[n, k] == pytest.approx(want, rel=1e-6)
 
 
 @pytest.fixture(scope="module")
@@ -483,15 +503,64 @@ def net():
     return pii.train([])
 
 
+def test_reading_gives_the_scores_of_training(net):
+    x = np.random.default_rng(6).integers(0, pii.CLASSES, (5, pii.WINDOW)).astype(np.int8)
+    assert np.allclose(net.read(x).transpose(0, 2, 1), net.emissions(x)[0], atol=2e-3)
+
+
+def chain(net, text):
+    """The scores of each character from the window in whose middle it stands most, window by window."""
+    best = {}
+    for j in range(pii.windows(len(text))):
+        first = j * pii.STEP
+        part = text[first : first + pii.WINDOW]
+        e = net.emissions(pii.classes(part.ljust(pii.WINDOW))[None])[0][:, 0]
+        for i in range(len(part)):
+            left = i if j else pii.WINDOW
+            right = pii.WINDOW - 1 - i if first + pii.WINDOW < len(text) else pii.WINDOW
+            if best.get(first + i, (-1, None))[0] < min(left, right) or (best[first + i][0] == min(left, right) and i <= pii.WINDOW // 2):
+                best[first + i] = (min(left, right), e[i])
+    return np.array([best[i][1] for i in range(len(text))])
+
+
+def test_whole_texts_are_decoded_as_one_chain(net):
+    """Against one Viterbi pass over all characters of each text, with "none" before and after."""
+    rng = random.Random(21)
+    texts = ["".join(t for t, _ in pii.generated(n, rng)) for n in (1, 4, 9)] + ["", "x", "5" * 700, "word " * 300]
+    offsets = np.cumsum([0, *map(len, texts)])
+    at, tags, sure = pii.places(net, pii.classes("".join(texts)).astype(np.int8), offsets)
+    got = np.zeros(offsets[-1], np.int64)
+    got[at] = tags
+    for text, first in zip(texts, offsets[:-1].tolist(), strict=True):
+        if text:
+            want = net.decode(chain(net, text).astype(float)[:, None])[0][0]
+            assert got[first : first + len(text)].tolist() == want.tolist()
+    assert ((sure > 0) & (sure <= 1 + 1e-9)).all() and len(at) > 200
+
+
+def test_open_places_with_random_scores():
+    rng = np.random.default_rng(8)
+    net = pii.Net.fresh(rng)
+    for _ in range(30):
+        net.p["t"] = rng.normal(0, 2, net.p["t"].shape)
+        e = rng.normal(0, 2, (40, pii.TAGS))
+        e[:, 0] += 2
+        offsets = np.array([0, 0, 13, 40])
+        open_ = set(net.open_places(e, offsets).tolist())
+        for a, b in zip(offsets, offsets[1:], strict=False):
+            if b > a:
+                assert {a + i for i in np.flatnonzero(net.decode(e[a:b, None])[0][0])} <= open_
+
+
 def test_net_on_held_out_sentences(net):
-    rows = pii.generated(150, random.Random(77))
-    right = total = 0
-    for text, spans in rows:
-        x, y, _ = pii.cut(text, pii.tagged(text, spans))
-        if len(x):
-            tags, _ = net.decode(x)
-            right, total = right + (tags == y).sum(), total + y.size
-    assert right / total > 0.9
+    rows = pii.generated(200, random.Random(77))
+    base = [pii.base(t) for t, _ in rows]
+    more = pii.added([t for t, _ in rows], base, net)
+    want = [{s for s in spans if not any(s[1] < b and a < s[2] for _, a, b in known)} for (_, spans), known in zip(rows, base, strict=True)]
+    right = sum(len(w & set(m)) for w, m in zip(want, more, strict=True))
+    assert right / sum(map(len, more)) > 0.9 and right / sum(map(len, want)) > 0.6
+    plain = [" ".join("".join(random.Random(i * 50 + j).choices("abcdefgh", k=5)) for j in range(50)) for i in range(30)]
+    assert not any(pii.added(plain, [[]] * 30, net))
 
 
 def test_pii_rows(spark, odd, empty, net):
@@ -507,15 +576,17 @@ def test_pii_rows(spark, odd, empty, net):
         assert all(b <= x or y <= a for _, x, y in plain_base(text))
 
 
-def test_none_of_the_better_placed_window_stays():
-    class Fixed:
-        def decode(self, x):
-            tags = np.zeros(x.shape, np.int64)
-            tags[pii.windows(text).index(32), 1:15] = 4  # the edge of the second window; the first says none nearer its middle
-            return tags, np.ones(x.shape)
+def test_pii_of_long_and_repeated_texts(spark, net):
+    text = "word é " * 60_000 + "call (555) 123-4567 now " + "word " * 20_000
+    got = pii.found(spark.createDataFrame([row(1, text), row(1, text)], SCHEMA), net).collect()
+    at = text.index("(555)")
+    assert [r.spans for r in got] == [f"phone:{at}:{at + 14}"] * 2 and got[0].n_added == 1 and got[0].n_phone == 0
+
 
-    text = ("a " * 16 + " (555) 123-4567 ").ljust(300, "a")
-    assert text[33:47] == "(555) 123-4567" and pii.windows(text)[0] == 0 and pii.added([text], [[]], Fixed()) == [[]]
+def test_sample_of_texts(spark):
+    rows = spark.range(3000).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("mail 7 "), (F.col("id") % 400).cast("string")).alias("text"))
+    found = pii.sample(rows, 300)
+    assert 100 < len(found) == len(set(found)) and pii.sample(rows.where("false"), 300) == []
 
 
 def test_training_draws_windows_from_the_whole_text(monkeypatch):
@@ -525,10 +596,11 @@ def test_training_draws_windows_from_the_whole_text(monkeypatch):
         seen.append(y)
         return {k: np.zeros_like(v) for k, v in self.p.items()}
 
-    monkeypatch.setattr(pii, "generated", lambda n, rng: [])
+    monkeypatch.setattr(pii, "generated", lambda n, rng, usual: [])
     monkeypatch.setattr(pii.Net, "step", step)
-    pii.train(["7 word word " * 100 + "bob@mail.example " * 100])
-    assert len(seen[0]) == pii.PER_TEXT and seen[0].any() and not seen[0].all(axis=1).any()
+    monkeypatch.setattr(pii, "WINDOWS", 10)
+    pii.train(["7 word word " * 400 + "bob@mail.example " * 400])
+    assert len(seen[0]) == 10 and seen[0].any() and not seen[0].all(axis=1).any()
 
 
 # The pipeline
