@@ -687,3 +687,124 @@ def test_near_and_mixing_stages_against_plain_versions(spark, words):
     for r in cp.mix_sources(spark, docs, "").collect():
         times[r.doc_id] = times.get(r.doc_id, 0) + 1
     assert times == plain_mix([(r[0], r[1], r[3]) for r in rows]) and set(times.values()) == {1, 2}
+
+
+def oddly_named(spark, rows):
+    """Documents with further columns named as the pipeline's own."""
+    return spark.createDataFrame([(*r, f"k{i}", i, -i, 0.25, 7) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint, __key string, __row int, __pass int, score double, predicted int")
+
+
+def test_stages_keep_rows_that_share_identifiers(spark, words, tmp_path):
+    """Rows, not identifiers, are judged: of (7, A), (7, B), (3, B and more), (9, A and more) one of each text stays."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(17)
+    a, b, c = (" ".join(rng.choice(words) for _ in range(70)) for _ in range(3))
+    rows = [(7, a, "en", "x", 0), (7, b, "en", "x", 0), (3, b + " end", "en", "y", 0), (9, a + " tail", "en", None, 0), (None, c, "en", "y", 0), (None, c.upper(), None, "y", 0), (None, None, None, None, None), (5, "", "en", "x", 0), (7, a, "en", "x", 0)]
+    docs = oddly_named(spark, rows)
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    once = cp.drop_copies(spark, docs, "")
+    assert once.columns == docs.columns
+    kept = [((r.text or "").translate(low), r.doc_id, r["__key"]) for r in once.collect()]
+    assert sorted(t for t, _, _ in kept) == sorted({(r[1] or "").translate(low) for r in rows})
+    assert {t: d for t, d, _ in kept}[""] == 5 and {t: k for t, _, k in kept}[a] in ("k0", "k8")
+    near = cp.drop_near_copies(spark, once, "").collect()
+    assert sorted((r.text or "")[:20].lower() for r in near) == sorted(["", a[:20], b[:20], c[:20]])
+    mixed = cp.mix_sources(spark, docs, "")
+    assert mixed.columns == docs.columns and {r["__key"] for r in mixed.collect()} <= {f"k{i}" for i, r in enumerate(rows) if r[1]}
+    spark.createDataFrame([(7, 1)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    good = cp.classify(spark, docs, str(tmp_path))
+    assert good.columns == docs.columns and {r.score for r in good.collect()} <= {0.25}
+
+
+def test_pipeline_as_a_whole_against_plain_stages(spark, words, tmp_path):
+    """run(): what exact copies, near copies and the mixture leave, by plain versions of them over what the first stage keeps, packed whole."""
+    import corpus_pipeline as cp
+    from test_near import truth
+
+    rng = random.Random(18)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(20, 90))), "en", rng.choice(["a", "a", "b", None]), 0) for i in range(120)]
+    rows += [(1000 + i, rows[i][1].upper(), "en", "b", 0) for i in range(15)] + [(2000 + i, rows[30 + i][1] + " more", "en", "a", 0) for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(100)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.classify(spark, docs, str(tmp_path)).count() == len(rows)  # all labels are good
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    best = {}
+    for r in rows:
+        t = r[1].translate(low)
+        best[t] = max(best.get(t, -1), r[0])
+    left = [r for r in rows if best[r[1].translate(low)] == r[0]]
+    groups = truth([(i, r[1]) for i, r in enumerate(left)], 5, 80)
+    left = [r for i, r in enumerate(left) if groups[i][1] == i]
+    times = plain_mix([(r[0], r[1], r[3]) for r in left])
+    want = sorted((d, len(r[1].split()) + 1) for r in left for d, n in times.items() if d == r[0] for _ in range(n))
+    assert sorted((r.doc_id, r.n_tokens) for r in cp.run(spark, str(tmp_path)).where("piece = 0").collect()) == want
+
+
+# Models against plain computations
+
+
+def test_normal_equations_against_one_matrix(spark, words):
+    """The sums of the partitions, folds and all, against the equations of one matrix."""
+    rng = random.Random(19)
+    docs = spark.createDataFrame([row(i, " ".join(rng.choice(words) for _ in range(rng.randint(3, 40))) + "!" * (i % 3)) for i in range(300)], SCHEMA).repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id bigint, quality int")
+    stats = shared_keep(quality.statistics_of(docs))
+    model = quality.fit(stats, labels, "quality", F.lit(True))
+    found = sorted((r.doc_id, r.x) for r in stats.collect())
+    x, y = np.array([v for _, v in found]), np.array([float(d % 3 > 0) for d, _ in found])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.sd, np.maximum(1e-6, x.std(axis=0)))
+    phi = quality.fourier(x, model.mean, model.sd)
+    size = quality.FEATURES + 1
+    want = np.linalg.solve(phi.T @ phi + quality.RIDGE * len(x) * np.eye(size) / size, phi.T @ y)
+    assert np.allclose(phi @ model.weights, phi @ want, atol=1e-5)
+
+
+def shared_keep(df):
+    from hushframe.llm.shared import keep
+
+    return keep(df, "test")
+
+
+def test_quality_odd_rows(spark):
+    docs = spark.createDataFrame([row(1, None), row(2, ""), row(3, "x y " * 50_000), row(4, "a b"), row(4, "a b"), row(None, "c")], SCHEMA)
+    labels = spark.createDataFrame([(1, 1), (4, 0), (4, 1), (3, 0)], "doc_id bigint, quality int")
+    model = quality.fit(quality.statistics_of(docs), labels, "quality", F.lit(True))
+    got = [(r.doc_id, r.score) for r in quality.scored(docs, model).collect()]
+    assert len(got) == 6 and len({s for d, s in got if d == 4}) == 1 and all(0 <= s <= 1 for _, s in got)
+    assert quality.fit(quality.statistics_of(docs.where("false")), labels, "quality", F.lit(True)) is None
+
+
+def test_url_verdicts_against_a_plain_model(spark):
+    """Threshold and verdicts by dictionaries: four of five URLs of each label train, the fifth sets the threshold."""
+    good = [f"good{i % 4}.org/fr/p{chr(97 + i % 7)}" for i in range(20)]
+    bad = [f"win{i % 3}.net/cash{chr(104 + i % 5)}" for i in range(20)]
+    rows = [("http://" + u, v) for us, v in ((good, "allow"), (bad, "block")) for u in us]
+    judge = urls.fit([(u.encode(), v) for u, v in rows])
+
+    def score(u):
+        train = [[x.encode() for i, x in enumerate(us) if i % 5] for us in (good, bad)]
+        return (plain_log_likelihood(train[1], u, urls.ORDER) - plain_log_likelihood(train[0], u, urls.ORDER)) / (len(u) + 1)
+
+    held = sorted((score(x.encode()), side) for us, side in ((good[::5], 1), (bad[::5], -1)) for x in us)
+    gains = np.cumsum([side for _, side in held])
+    k = int(np.argmax(gains))
+    assert judge.threshold == pytest.approx((held[k][0] + held[k + 1][0]) / 2)
+    test = [b"good9.org/fr/x", b"win8.net/cash", b"", b"other.example/path"]
+    data, offsets = np.frombuffer(b"".join(test), np.uint8), np.cumsum([0, *map(len, test)])
+    assert judge.score(data, offsets).tolist() == pytest.approx([score(t) for t in test])
+
+
+def test_null_pages(spark):
+    df = spark.createDataFrame([(None, None), (None, "http://a.net/x"), (1, None), (1, "http://b.org/fr/" + "y" * 200_000)], "page_id bigint, url string")
+    got = urls.judged(df).collect()
+    assert sorted((r.page_id or 0, r.verdict, r.rule) for r in got if r.rule) == [(0, "block", "net/"), (1, "allow", "org/fr/")]
+    assert len(got) == 4 and len({(r.verdict, r.score) for r in got if not r.rule}) == 1 and {(r.host, r.path) for r in got if not r.rule} == {("", "")}
+
+
+def test_media_of_long_and_repeated_texts(spark):
+    long = "é—" * 40_000
+    got = media.described(media.stored(spark.createDataFrame([row(1, long), row(1, long), row(1, None), row(None, "")], SCHEMA))).collect()
+    full = long.encode().ljust(-(-len(long.encode()) // 192) * 192)
+    assert sorted(r.payload_sha256 for r in got) == sorted([hashlib.sha256(full).hexdigest()] * 2 + [hashlib.sha256(b" " * 192).hexdigest()] * 2)
