@@ -20,6 +20,7 @@ def compared(original: DataFrame, other: DataFrame, truth: DataFrame, key: str =
         same_set(F.col("actions_a"), F.col("actions_b")).alias("same_actions"), F.round(jaccard(F.col("actions_a"), F.col("actions_b")), 6).alias("jaccard"),
         (F.size("relationships_b") < F.size("relationships_a")).alias("fewer"), (right_a & ~right_b).alias("hallucination"),
     )
+    # The four notes: fixed values.
     note = F.when(~F.col("right_a"), "A misses ground truth").when(F.col("hallucination"), "B diverges from ground truth")
     return both.withColumn("note", note.when(~F.col("same_severity") | ~F.col("same_actions") | F.col("fewer"), "reasoning detail changed").otherwise("—"))
 

@@ -36,16 +36,16 @@ def recovery(events: DataFrame, entities: int = 6, top: int = 3) -> DataFrame:
     return run.select("trial", "event", first.alias("top1"), reduce(lambda a, b: a & b, [*falling, F.col(f"c{top - 1}") > rest(top)]).alias("top3"))
 
 
-def stable(by_event: DataFrame, need: int, n_events: int) -> DataFrame:
-    """For rows (event, successes) the earliest event, from 1, from which successes stay at `need` or more to the end; n_events if there is none. by_event has one row an event, so a single task holds no more than these."""
-    w = Window.orderBy("event").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ok = by_event.withColumn("holds", F.min((F.col("successes") >= need).cast("int")).over(w))
-    return ok.agg(F.coalesce(F.min(F.when(F.col("holds") == 1, F.col("event") + 1)), F.lit(n_events)).cast("bigint").alias("stable_from"))
+def stable(by_event: DataFrame, need: int, n_events: int, kinds: tuple[str, ...] = ("successes",)) -> DataFrame:
+    """For rows (event, a column of successes for each of `kinds`) the earliest event, from 1, from which successes stay at `need` or more to the end; n_events if there is none. One row: kind, stable_from for each kind. It is the event after the last that falls short, so one aggregate tells all kinds."""
+    last = [F.coalesce(F.max(F.when(F.col(k) < need, F.col("event"))) + 1, F.lit(0)).cast("bigint").alias(k) for k in kinds]
+    found = by_event.agg(*last, F.coalesce(F.max("event") + 1, F.lit(0)).cast("bigint").alias("__end"))
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.when(F.col(k) >= F.col("__end"), F.lit(n_events)).otherwise(F.col(k) + 1).cast("bigint").alias("stable_from")) for k in kinds])
+    return found.select(F.explode(each).alias("s")).select("s.*")
 
 
 def rank_recovery(events: DataFrame, trials: int, n_events: int, confidence: float = 0.95) -> DataFrame:
     """kind (top1, top3), stable_from: observations after which the share of trials that recover the order stays at the confidence."""
     need = -(-int(confidence * 1000) * trials // 1000)
     each = recovery(events).groupBy("event").agg(F.count_if("top1").alias("top1"), F.count_if("top3").alias("top3"))
-    found = [stable(each.select("event", F.col(k).alias("successes")), need, n_events).select(F.lit(k).alias("kind"), "stable_from") for k in ("top1", "top3")]
-    return found[0].unionByName(found[1])
+    return stable(each, need, n_events, ("top1", "top3"))

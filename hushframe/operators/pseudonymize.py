@@ -54,8 +54,14 @@ def reverse_map(alerts: DataFrame, mode: str = "full", key: Key = TEST_KEY) -> D
     return found.select(F.col("e.k").alias("token"), F.col("e.v").alias("raw")).distinct()
 
 
+#: A reverse map of at most so many tokens (of about 150 bytes) is broadcast.
+SMALL_MAP = 100_000
+
+
 def restored(df: DataFrame, column: str, reverse: DataFrame, key_columns: list[str]) -> DataFrame:
-    """df with the tokens in a text column replaced by their raw values. The map may be of any size: the tokens of a text are looked up by an equi-join. key_columns identify a row."""
+    """df with the tokens in a text column replaced by their raw values. key_columns identify a row. A map of up to SMALL_MAP tokens is counted and broadcast, so that a token that most rows hold is no task's burden; a larger one is met by an equi-join, whose skewed partitions adaptive execution splits."""
+    if reverse.limit(SMALL_MAP + 1).count() <= SMALL_MAP:
+        reverse = F.broadcast(reverse)
     met = df.select(*key_columns, F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(TOKEN), F.lit(0)))).alias("token"))
     pairs = met.join(reverse, "token").groupBy(*key_columns).agg(F.collect_list(pair(F.col("token"), F.col("raw"))).alias("__pairs"))
     out = df.join(pairs, key_columns, "left")

@@ -32,6 +32,11 @@ def summary(value: Column, digits: int = 6) -> list[Column]:
     return [F.count(value).alias("n"), F.round(F.avg(value), digits).alias("mean"), F.round(F.stddev_pop(value), digits).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most")]
 
 
+def largest(value: Column) -> Column:
+    """The largest value, from 0 on: 0 where all are below it or there is none."""
+    return F.greatest(F.coalesce(F.max(value), F.lit(0)), F.lit(0))
+
+
 def batches(df: DataFrame, number: str, size: int) -> DataFrame:
     """df with batch: rows numbered from 0 in groups of `size`, the last one short."""
     positive(size=size)
@@ -50,8 +55,8 @@ def line(df: DataFrame, y: str, x: str, by: list[str] = (), digits: int = 6) ->
 
 
 def scaling(df: DataFrame, workers: str, value: str, digits: int = 6) -> DataFrame:
-    """Speed and efficiency against the row with one worker."""
-    one = df.where(F.col(workers) == 1).select(F.col(value).alias("__one"))
+    """Speed and efficiency against one worker, for whom the mean of all its rows stands."""
+    one = df.where(F.col(workers) == 1).agg(F.avg(value).alias("__one")).where("__one is not null")
     return df.crossJoin(one).select(workers, value, F.round(F.col("__one") / F.col(value), digits).alias("speedup"), F.round(100 * F.col("__one") / F.col(value) / F.col(workers), digits).alias("efficiency"))
 
 

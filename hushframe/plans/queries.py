@@ -39,7 +39,9 @@ def user_name():
 
 @query(f"select {T.token_sql('user', 'user_id::varchar')} as token, count(*) as n from events group by 1")
 def token_user_counts(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy(T.token("user", F.col("user_id")).alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    """Counted by the raw value first, so that a token is made once for each user."""
+    per = read(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.select(T.token("user", F.col("user_id")).alias("token"), "n")
 
 
 @query(f"select count(distinct user_id) as n_raw, count(distinct {T.token_sql('user', 'user_id::varchar')}) as n_tokens from events")
@@ -156,10 +158,10 @@ _NULLIFIER = f"sha256(encode('{T.NULLIFIER_DOMAIN}') || unhex(sha256(encode(user
 
 @query(f"with n as (select event_type, {_NULLIFIER} as nullifier from events) select event_type, count(*) as n, count(distinct nullifier) as n_distinct, count(*) - count(distinct nullifier) as n_replayed, min(nullifier) as least from n group by 1")
 def nullifier_daily(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    day = F.expr("unix_date(to_date(ts))")
-    made = T.nullifier(F.unhex(F.sha2(F.encode(F.col("user_id").cast("string"), "utf-8"), 256)), F.unhex(F.md5(F.encode("event_type", "utf-8"))), day)
-    per = e.groupBy("event_type", made.alias("nullifier")).agg(F.count(F.lit(1)).alias("c"))
+    """Counted by what a nullifier is made of, so that it is made once for each user, type and day."""
+    day = F.expr("unix_date(to_date(ts))").alias("day")
+    made = T.nullifier(F.unhex(F.sha2(F.encode(F.col("user_id").cast("string"), "utf-8"), 256)), F.unhex(F.md5(F.encode("event_type", "utf-8"))), F.col("day"))
+    per = read(spark, sf_dir, "events").groupBy("event_type", "user_id", day).agg(F.count(F.lit(1)).alias("c")).withColumn("nullifier", made)
     return per.groupBy("event_type").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_distinct"), (F.sum("c") - F.count(F.lit(1))).alias("n_replayed"), F.min("nullifier").alias("least"))
 
 
@@ -253,9 +255,10 @@ KS = (5, 10, 20, 50, 100, 200, 500)
 @query(f"""with p as (select k, ((31 * a + 7 * ((17 * a + 13 * n) % 50)) % 101) as v, ((19 * n + 23) % 101) as t from range(1000) x(a), unnest({list(KS)}) y(k), range(500) z(n) where n < k)
 select k::int as k, count(*) as n_rows, count(*) filter (v < t) as hits, count(*) filter (v = t) as ties from p group by 1""")
 def threshold_pairs_hits(spark, sf_dir):
-    pairs = threshold_pairs(spark, 1000, max(KS))
-    ks = F.broadcast(spark.createDataFrame([(k,) for k in KS], "k int"))
-    return scoring.hits(pairs.join(ks, F.col("node") < F.col("k")), ["k"])
+    """Summed for each node first, then for each k over the nodes below it."""
+    nodes = scoring.hits(threshold_pairs(spark, 1000, max(KS)), ["node"])
+    each = nodes.withColumn("k", F.explode(F.filter(F.array(*[F.lit(k) for k in KS]), lambda k: F.col("node") < k)))
+    return each.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n_rows", "hits", "ties")])
 
 
 @query("""with e as (select vec_id, unnest(embedding[1:50]) as v, unnest(range(50)) as n from embeddings)

@@ -34,7 +34,7 @@ def drawn(seed: int = SEED) -> list[tuple]:
 
 
 def alerts(spark: SparkSession) -> DataFrame:
-    """The generated corpus: six techniques in five variants each."""
+    """The generated corpus: six techniques in five variants each. Its accounts, machines, addresses, paths, domains, hashes and the templates of its command lines and relationships are fixed values."""
     t, v = F.col("t"), F.col("v")
     odd = v % 2 == 1
     users = F.concat(F.lit("C:\\Users\\analyst"), v.cast("string"), F.lit("\\Downloads\\"))

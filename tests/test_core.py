@@ -219,7 +219,7 @@ def test_rank_recovery_of_ties(spark):
     got = {r.event: (r.top1, r.top3) for r in leakage.recovery(spark.createDataFrame(rows, "trial int, event int, entity int")).collect()}
     assert got[0] == (False, False) and got[1][0] is False and got[2][0] is True and got[3][0] is False and got[9] == (True, True)
     by_event = spark.createDataFrame([(i, s) for i, s in enumerate([5, 1, 5, 5])], "event int, successes int")
-    assert leakage.stable(by_event, 5, 4).first()[0] == 3 and leakage.stable(by_event, 6, 4).first()[0] == 4
+    assert leakage.stable(by_event, 5, 4).first().stable_from == 3 and leakage.stable(by_event, 6, 4).first().stable_from == 4
 
 
 def test_comparison_notes(spark):
@@ -256,6 +256,48 @@ def test_report(spark):
         scoring.positive(size=0)
 
 
+def test_stable_by_plain_search(spark):
+    import random
+
+    rng = random.Random(3)
+    for _ in range(6):
+        rows = [(i, rng.randint(0, 3), rng.randint(1, 3)) for i in range(12)]
+        found = {r.kind: r.stable_from for r in leakage.stable(spark.createDataFrame(rows, "event int, a int, b int"), 2, 12, ("a", "b")).collect()}
+        for k, name in ((1, "a"), (2, "b")):
+            want = next((i + 1 for i in range(12) if all(r[k] >= 2 for r in rows[i:])), 12)
+            assert found[name] == want
+
+
+def test_counted_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "a" if i % 3 else "b", f"2024-01-01 0{i % 4}:10:00") for i in range(40)], "id int, kind string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    q = streaming.counted(stream, [F.col("kind")]).writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.kind, r.window.start.hour): r.n for r in spark.table("counted").collect()}
+    want = {(r.kind, r.h): r["count"] for r in rows.groupBy("kind", F.hour("ts").alias("h")).count().collect()}
+    assert sorted(got.values()) == sorted(want.values()) and len(got) == len(want)
+
+
+def test_throughput(spark):
+    rows = spark.createDataFrame([(10, 2.0), (30, 3.0)], "rows bigint, seconds double")
+    assert rows.agg(scoring.throughput(F.col("rows"), F.col("seconds"))).first()[0] == 8.0
+
+
+def test_maximum_from_zero(spark):
+    rows = spark.createDataFrame([(-3.0,), (-1.0,)], "v double")
+    assert rows.agg(scoring.largest(F.col("v"))).first()[0] == 0.0 and rows.where("false").agg(scoring.largest(F.col("v"))).first()[0] == 0.0
+
+
+def test_restored_with_a_map_of_any_size(spark, monkeypatch):
+    e = spark.createDataFrame([(i, f"u{i % 4}") for i in range(60)], "event_id bigint, user string")
+    out = pseudonymize.pseudonymized(e, "full").withColumn("said", F.concat(F.lit("by "), F.col("user")))
+    for size in (100, 1):
+        monkeypatch.setattr(pseudonymize, "SMALL_MAP", size)
+        back = pseudonymize.restored(out, "said", pseudonymize.reverse_map(e), ["event_id"])
+        assert {(r.event_id, r.said) for r in back.collect()} == {(i, f"by u{i % 4}") for i in range(60)}
+
+
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([(1, "u1", "2024-01-01 00:00:00"), (2, "u1", "2024-01-01 01:00:00"), (3, "u2", "2024-01-01 02:00:00")], "id int, user string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     rows.write.parquet(f"{tmp_path}/in")
