@@ -9,12 +9,10 @@ Cases: null counts as empty text, and all empty texts are equal; a very long tex
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, forget, joined_to_few, keep, lowered, shared_dir, sieve
+from .shared import LOWER, UPPER, joined_to_few, keep, lowered, new_path, owned, remove, scratch, sieve, stay
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -54,34 +52,38 @@ def known(spark: SparkSession, out: str) -> DataFrame:
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_of, carry: str | None = None) -> DataFrame:
     """doc_id, text_sha256, keep_id, group_size, kept: one row for each row of docs. carry: a numeric column of docs that goes with them."""
-    spark, home = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/dedup-{uuid.uuid4().hex}"
-    more = [carry] if carry else []
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), lowered(F.col(text_col)).alias("norm"), *more)
-    own = [] if digest is sha256_of else [sha256_of(F.col("norm")).alias("text_sha256")]
-    full = texts.withColumn("digest", digest(F.col("norm")))
-    full.select("doc_id", "digest", *own, *more).write.parquet(f"{home}/arrivals")
-    arrived = spark.read.parquet(f"{home}/arrivals")
-    if digest is sha256_of:
-        arrived = arrived.withColumn("text_sha256", F.col("digest"))
-    absorb(spark, f"{home}/arrivals", f"{home}/state", f"{home}/changes")
-    state = keep(known(spark, f"{home}/changes"), "dedup-known")
-    total = arrived.count()
-
-    # Hits alone bring their texts, one for each distinct text and task.
-    met = sieve(full.select("doc_id", "norm", "digest"), "digest", state.where("arrivals > 1").select("digest"))
-    met = met.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    kinds = keep(met.groupBy("digest").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "dedup-collided")
-    whole = arrived.select("doc_id", "digest", "text_sha256", *more)
-    if kinds.isEmpty():
-        forget(kinds)
-        found = joined_to_few(whole, ["digest"], state, "arrivals", total)
-        found = found.select("doc_id", "text_sha256", F.col("locator").alias("keep_id"), F.col("arrivals").alias("group_size"), *more)
-    else:  # texts themselves decide within such digests
-        apart = full.join(kinds.select("digest"), "digest").select("doc_id", "digest", "norm", *more)
-        each = keep(apart.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "dedup-texts")
-        apart = apart.join(each, ["digest", "norm"]).select("doc_id", sha256_of(F.col("norm")).alias("text_sha256"), "keep_id", "group_size", *more)
-        single = joined_to_few(whole.join(kinds.select("digest"), "digest", "left_anti"), ["digest"], state, "arrivals", total)
-        found = single.select("doc_id", "text_sha256", F.col("locator").alias("keep_id"), F.col("arrivals").alias("group_size"), *more).unionByName(apart)
+    spark = docs.sparkSession
+    home = new_path(spark, "dedup")
+    with scratch():
+        more = [carry] if carry else []
+        texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), lowered(F.col(text_col)).alias("norm"), *more)
+        own = [] if digest is sha256_of else [sha256_of(F.col("norm")).alias("text_sha256")]
+        full = texts.withColumn("digest", digest(F.col("norm")))
+        full.select("doc_id", "digest", *own, *more).write.parquet(f"{home}/arrivals")
+        arrived = stay(owned(spark.read.parquet(f"{home}/arrivals"), home))
+        if digest is sha256_of:
+            arrived = arrived.withColumn("text_sha256", F.col("digest"))
+        absorb(spark, f"{home}/arrivals", f"{home}/state", f"{home}/changes")
+        state = stay(keep(known(spark, f"{home}/changes"), "dedup-known", largest="arrivals"))
+        for folder in ("state", "changes"):
+            remove(spark, f"{home}/{folder}")
+        total = arrived.count()
+
+        # Hits alone bring their texts, one for each distinct text and task.
+        met = sieve(full.select("doc_id", "norm", "digest"), "digest", state.where("arrivals > 1").select("digest"))
+        met = met.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        kinds = keep(met.groupBy("digest").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "dedup-collided")
+        whole = arrived.select("doc_id", "digest", "text_sha256", *more)
+        if not kinds.rows:
+            found = joined_to_few(whole, ["digest"], state, "arrivals", total)
+            found = found.select("doc_id", "text_sha256", F.col("locator").alias("keep_id"), F.col("arrivals").alias("group_size"), *more)
+        else:  # texts themselves decide within such digests
+            stay(kinds)
+            apart = full.join(kinds.select("digest"), "digest").select("doc_id", "digest", "norm", *more)
+            each = stay(keep(apart.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "dedup-texts"))
+            apart = apart.join(each, ["digest", "norm"]).select("doc_id", sha256_of(F.col("norm")).alias("text_sha256"), "keep_id", "group_size", *more)
+            single = joined_to_few(whole.join(kinds.select("digest"), "digest", "left_anti"), ["digest"], state, "arrivals", total)
+            found = single.select("doc_id", "text_sha256", F.col("locator").alias("keep_id"), F.col("arrivals").alias("group_size"), *more).unionByName(apart)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 

@@ -66,7 +66,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     base = docs.select(F.col(id_col).alias("doc_id"), source_key(F.col(source_col)).alias("source_key"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"))
     base = keep(base.withColumn("row_id", F.monotonically_increasing_id()), "mix-sizes")
     sources = keep(targets(base, weights, share, most), "mix-targets")
-    bits = buckets_for(base.count())
+    bits = buckets_for(base.rows)
     runs = base.where("size > 0").join(sources.select("source_key", "source_size", "take"), "source_key")
     runs = runs.withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(most)]))).withColumn("h", shuffled_by(F.lit(seed), F.col("pass"), F.col("doc_id")))
     runs = runs.withColumn("hb", F.col("pass").cast("bigint") * (1 << bits) + F.shiftright("h", 60 - bits))

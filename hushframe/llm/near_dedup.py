@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import forget, free, joined_to_few, keep, numbered, sieve, table
+from .shared import count_of, free, joined_to_few, keep, numbered, scratch, sieve, stay, table
 from .textbytes import LOWER, SLICE, distinct, hashes, mix, shingles, slices, spans
 
 POSITIONS, MISS, SEED, TILE, SALT = 64, 1e-4, 5, 400, 64
@@ -139,9 +140,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     """Of the pairs (a, b), distinct and written, those that are similar enough, tested on the full sets of their texts (rep, text). A partner a of many is salted: its text goes to one place for every SALT pairs."""
     wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "near-wanted")
     texts = sieve(texts, "rep", wanted).join(wanted, "rep")
-    often = keep(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")), "near-often")
+    often = keep(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")), "near-often", largest="c")
     salts = F.expr(f"c div {SALT}")
-    spread = joined_to_few(pairs, ["a"], often, "c", pairs.count()).withColumn("salt", F.pmod(F.xxhash64("b"), salts + 1)).drop("c")
+    spread = joined_to_few(pairs, ["a"], often, "c", count_of(pairs)).withColumn("salt", F.pmod(F.xxhash64("b"), salts + 1)).drop("c")
     ta = texts.withColumnsRenamed({"rep": "a", "text": "ta"}).join(often, "a").select("a", "ta", F.explode(F.sequence(F.lit(0).cast("bigint"), salts)).alias("salt"))
     both = spread.join(ta, ["a", "salt"]).join(texts.withColumnsRenamed({"rep": "b", "text": "tb"}), "b")
 
@@ -265,15 +266,18 @@ def met(cells: DataFrame, most: int, percent: int) -> DataFrame:
 
 def across(held: DataFrame, groups: DataFrame, sigs: DataFrame, most: int, percent: int, tile: int = TILE) -> DataFrame:
     """Pairs (a, b) with a common key and signatures within the distance, but in different groups: all of them for keys of up to `tile` representatives, of others as many as join the same groups."""
+    total = count_of(held)
     placed = held.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("holders")).where("low <> high")
-    mixed = keep(mixed.select("key", "holders"), "near-mixed-keys")
-    placed = keep(joined_to_few(placed, ["key"], mixed, "holders", held.count()).join(sigs, "rep"), "near-mixed")
+    mixed = keep(mixed.select("key", "holders"), "near-mixed-keys", largest="holders")
+    if not mixed.rows:
+        return mixed.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    placed = keep(joined_to_few(placed, ["key"], mixed, "holders", total).join(sigs, "rep"), "near-mixed")
     few, many = placed.where(F.col("holders") <= tile), placed.where(F.col("holders") > tile)
     a, b = (few.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "c", "sig")]) for x in "ab")
     both = a.join(b, "key").where((F.col("rep_a") < F.col("rep_b")) & (F.col("c_a") != F.col("c_b")) & alike("n_a", "n_b", percent) & (differing("sig_a", "sig_b") <= most))
     both = both.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    if mixed.where(F.col("holders") > tile).isEmpty():
+    if mixed.largest <= tile:
         return both
     slices_ = F.expr(f"(holders + {tile - 1}) div {tile}")
     cells = many.select("key", "rep", "n", "c", "sig", F.explode(tiled(slices_, F.pmod(F.xxhash64("rep"), slices_))).alias("cell"))
@@ -284,8 +288,8 @@ def left_over(placed: DataFrame, tile: int = TILE) -> DataFrame:
     """cluster, cell, rep, component: the cells of each cluster with several components. Those outside the largest one are dealt into slices, all members into others, and cell (i, j) holds slice i of the former and slice j of the latter. A cluster of two has been tested already."""
     parts_ = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"))
     clusters = parts_.groupBy("cluster").agg(F.max_by("component", F.struct("c", (-F.col("component")).alias("o"))).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1 and size > 2")
-    clusters = keep(clusters.select("cluster", "main", "size", F.expr(f"(size - most + {tile - 1}) div {tile}").alias("down"), F.expr(f"(size + {tile - 1}) div {tile}").alias("over")), "near-clusters")
-    rows = joined_to_few(placed, ["cluster"], clusters, "size", placed.count())
+    clusters = keep(clusters.select("cluster", "main", "size", F.expr(f"(size - most + {tile - 1}) div {tile}").alias("down"), F.expr(f"(size + {tile - 1}) div {tile}").alias("over")), "near-clusters", largest="size")
+    rows = joined_to_few(placed, ["cluster"], clusters, "size", count_of(placed))
     i, j = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("down")), F.pmod(F.xxhash64("rep", F.lit(2)), F.col("over"))
     as_member = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("down") - 1), lambda x: x * F.col("over") + j)
     as_left = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("over") - 1), lambda x: i * F.col("over") + x)
@@ -298,12 +302,12 @@ CLASS = ["n_shingles", "k1", "k2"]
 
 def same_document(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame | None:
     """Pairs (a, b) of representatives whose classes hold rows of one identifier; None where no identifier is repeated."""
-    often = keep(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "near-repeated")
-    if often.isEmpty():
+    often = keep(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "near-repeated", largest="times")
+    if not often.rows:
         return None
     mine = joined_to_few(rows.select("doc_id", *CLASS), ["doc_id"], often, "times", total).groupBy("doc_id", *CLASS).agg(F.count(F.lit(1)).alias("copies"))
     mine = keep(mine.join(classes.select(*CLASS, "rep"), CLASS).select("doc_id", "rep"), "near-owned")
-    first = keep(mine.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("kinds")), "near-first")
+    first = keep(mine.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("kinds")), "near-first", largest="kinds")
     return joined_to_few(mine, ["doc_id"], first, "kinds", total).where("a <> rep").select("a", F.col("rep").alias("b"))
 
 
@@ -314,44 +318,50 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         row = free(docs, "__row")
         docs = numbered(docs, row)
     texts = docs.select(F.col(row).alias("rep"), F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = keep(signed(texts, n), "near-signed")
-    texts = texts.select("rep", "text")
-    in_class = rows.where("doc_id is not null and n_shingles > 0")
-    classes = in_class.groupBy(*CLASS).agg(F.min("rep").alias("rep"), F.first("sig").alias("sig"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members"))
-    classes = keep(classes.withColumn("n", F.col("n_shingles")), "near-classes")
-    total = rows.count()
-    keys = keyed(classes, layout(most))
-    shared = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("p.rep").alias("p"), F.col("p.n").alias("pn"))
-    held = keep(keys.join(shared, "key"), "near-held")
-    sigs = classes.select("rep", "sig")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose signatures are within the distance."""
-        pairs = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-        return pairs.where(differing("sa", "sb") <= most).select("a", "b").distinct()
-
-    stars = keep(near(held.where("rep <> p").where(alike("n", "pn", percent)).select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct()), "near-stars")
-    groups = keep(components(stars), "near-groups")
-    rest = keep(across(held.select("key", "rep", "n"), groups, sigs, most, percent, TILE), "near-rest")
-    if not rest.isEmpty():
-        groups = keep(components(stars.unionByName(rest)), "near-groups")
-    forget(held)
-
-    tested = keep(stars.groupBy("b").agg(F.min("a").alias("a")).unionByName(rest.groupBy("b").agg(F.min("a").alias("a"))).select("a", "b").distinct(), "near-tested")
-    links = keep(confirmed(tested, texts, n, percent), "near-links")
-    placed = groups.withColumnRenamed("component", "cluster").join(components(links), "id", "left").select("cluster", F.col("id").alias("rep"), F.coalesce("component", "id").alias("component"))
-    cells = keep(left_over(keep(placed, "near-placed"), TILE), "near-cells")
-    wanted = keep(cells.select("rep").distinct(), "near-wanted")
-    cells = cells.join(sieve(texts, "rep", wanted).join(wanted, "rep"), "rep")
-    links = links.unionByName(keep(joined(cells, n, percent), "near-joined"))
-    same = same_document(in_class, classes, total)
-    found = keep(components(links.unionByName(same) if same is not None else links).withColumnRenamed("id", "rep").join(classes.select("rep", "least"), "rep"), "near-found")
-
-    # The least identifier of each component, then of each class, then of each row.
-    least = keep(found.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("kinds")), "near-least")
-    linked = joined_to_few(found.select("rep", "component"), ["component"], least, "kinds", total).select("rep", "component_id")
-    by_class = classes.select(*CLASS, "rep", "least", "members").join(linked, "rep", "left")
-    by_class = keep(by_class.select(*CLASS, "members", F.coalesce("component_id", "least").alias("component_id")), "near-by-class")
+    with scratch():
+        rows = stay(keep(signed(texts, n), "near-signed"))
+        texts = texts.select("rep", "text")
+        in_class = rows.where("doc_id is not null and n_shingles > 0")
+        classes = in_class.groupBy(*CLASS).agg(F.min("rep").alias("rep"), F.first("sig").alias("sig"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members"))
+        classes = keep(classes.withColumn("n", F.col("n_shingles")), "near-classes", largest="members")
+        total = rows.rows
+        keys = keyed(classes, layout(most))
+        shared = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("p.rep").alias("p"), F.col("p.n").alias("pn"))
+        held = keep(keys.join(shared, "key"), "near-held")
+        sigs = classes.select("rep", "sig")
+
+        def near(pairs: DataFrame) -> DataFrame:
+            """Pairs (a, b) whose signatures are within the distance."""
+            pairs = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+            return pairs.where(differing("sa", "sb") <= most).select("a", "b").distinct()
+
+        stars = keep(near(held.where("rep <> p").where(alike("n", "pn", percent)).select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct()), "near-stars")
+        groups = keep(components(stars), "near-groups")
+        rest = keep(across(held, groups, sigs, most, percent, TILE), "near-rest")
+        if rest.rows:
+            groups = keep(components(stars.unionByName(rest)), "near-groups")
+
+        tested = keep(stars.groupBy("b").agg(F.min("a").alias("a")).unionByName(rest.groupBy("b").agg(F.min("a").alias("a"))).select("a", "b").distinct(), "near-tested")
+        links = keep(confirmed(tested, texts, n, percent), "near-links")
+        linked_to = keep(components(links), "near-linked")
+        placed = groups.withColumnRenamed("component", "cluster").join(linked_to, "id", "left").select("cluster", F.col("id").alias("rep"), F.coalesce("component", "id").alias("component"))
+        cells = keep(left_over(keep(placed, "near-placed"), TILE), "near-cells")
+        more = []
+        if cells.rows:
+            wanted = keep(cells.select("rep").distinct(), "near-wanted")
+            cells = cells.join(sieve(texts, "rep", wanted).join(wanted, "rep"), "rep")
+            more.append(keep(joined(cells, n, percent), "near-joined"))
+        same = same_document(in_class, classes, total)
+        if same is not None:
+            more.append(same)
+        found = components(reduce(DataFrame.unionByName, more, links)) if more else linked_to
+        found = keep(found.withColumnRenamed("id", "rep").join(classes.select("rep", "least"), "rep"), "near-found")
+
+        # The least identifier of each component, then of each class, then of each row.
+        least = keep(found.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("kinds")), "near-least", largest="kinds")
+        linked = joined_to_few(found.select("rep", "component"), ["component"], least, "kinds", total).select("rep", "component_id")
+        by_class = classes.select(*CLASS, "rep", "least", "members").join(linked, "rep", "left")
+        by_class = stay(keep(by_class.select(*CLASS, "members", F.coalesce("component_id", "least").alias("component_id")), "near-by-class", largest="members"))
     out = joined_to_few(in_class.select("doc_id", "rep", *CLASS), CLASS, by_class, "members", total).select("doc_id", "n_shingles", "component_id", F.col("rep").alias("row_id"))
     alone = rows.where("not (doc_id is not null and n_shingles > 0)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("rep").alias("row_id"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words, as the contracts of the operators define it.
@@ -26,20 +30,68 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: it is computed once, and a lost executor costs no more than the tasks that read it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    found = df.sparkSession.read.schema(df.schema).parquet(path)
-    found.kept_at = path
+def keep(df: DataFrame, name: str, largest: str | None = None) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: it is computed once, and a lost executor costs no more than the tasks that read it. The result knows how many `rows` it has and, for the column `largest`, the largest value (0 without rows), counted while it was written."""
+    path, seen = new_path(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.max(F.col(largest) if largest else F.lit(None).cast("bigint")).alias("largest")).write.parquet(path)
+    found = owned(df.sparkSession.read.schema(df.schema).parquet(path), path)
+    found.rows = seen.get["rows"]
+    found.largest = (seen.get["largest"] or 0) if largest else None
     return found
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def owned(df: DataFrame, path: str) -> DataFrame:
+    """df, read from `path`, which the scratch() around, if there is one, then answers for."""
+    df.kept_at, df.stays = path, False
+    own = _OWN.get()
+    if own is not None:
+        own.append(df)
+    return df
+
+
+#: What keep() wrote within the innermost scratch().
+_OWN: ContextVar[list[DataFrame] | None] = ContextVar("own", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Within it, what keep() writes is forgotten at the end, but for what has been told to stay(), which an outer scratch() then owns."""
+    own: list[DataFrame] = []
+    before = _OWN.set(own)
+    try:
+        yield
+    finally:
+        _OWN.reset(before)
+        outer, gone = _OWN.get(), [df for df in own if not df.stays]
+        for df in own:
+            if df.stays and outer is not None:
+                df.stays = False  # the outer one decides anew
+                outer.append(df)
+        forget(*gone)
+
+
+def stay(df: DataFrame) -> DataFrame:
+    """df, which is still read after the scratch() it was written in."""
+    df.stays = True
+    return df
+
+
 def forget(*kept: DataFrame) -> None:
-    """Deletes what keep() wrote. Only for tables that no frame still to be read depends on."""
+    """Deletes what keep() wrote, only for tables that no frame still to be read depends on, and lets the driver collect what it held of their plans and broadcasts, which Spark's cleaner only releases when Java collects its garbage."""
     for df in kept:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df.kept_at)
+    if kept:
+        gc.collect()
+        kept[0].sparkSession._jvm.java.lang.System.gc()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,12 +154,18 @@ def set_in(bits: str = "__bits", at: str = "__at") -> Column:
     return F.expr(f"shiftright({byte}, cast({at} & 7 as int)) & 1 = 1")
 
 
+def count_of(df: DataFrame) -> int:
+    """How many rows there are; keep() has counted them already."""
+    known = df.__dict__.get("rows")
+    return df.count() if known is None else known
+
+
 def sieve(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows whose key is among those of `wanted`, and about one in sixteen others, before anything is shuffled; an exact join must follow.
 
     The keys wanted are counted and hashed into a bitmap of 16 to 32 bits a key, which is built by an aggregation and broadcast. It has at most 2^MOST_BITS bits (32 MB, a proven bound); of more keys, each range of hashes gets a bitmap and a pass over the rows of its own, so that as few others pass at any number of keys.
     """
-    bits = max(20, math.ceil(math.log2(16 * max(1, wanted.count()))))
+    bits = max(20, math.ceil(math.log2(16 * max(1, count_of(wanted)))))
     ranges = 1 << max(0, bits - MOST_BITS)
     bits = min(bits, MOST_BITS)
     names, found = rows.columns, None
@@ -144,7 +202,7 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     files = [f.rsplit("/", 1)[-1] for f in df.inputFiles()] if plan.getClass().getSimpleName() == "LogicalRelation" else []
     found = [re.match(_PART, f) for f in files]
     if not found or not all(found) or len({(int(m[1]), int(m[2] or 0)) for m in found}) < len(found):
-        df = keep(df, "numbered")
+        df = stay(keep(df, "numbered"))
     meta = df.metadataColumn("_metadata")
     part, more = (F.coalesce(F.regexp_extract(meta["file_name"], _PART, i).try_cast("bigint"), F.lit(0)) for i in (1, 2))
     return df.withColumn(name, part * F.lit(1 << 42) + more * F.lit(1 << 32) + meta["row_index"])
@@ -153,8 +211,8 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 def picked(rows: DataFrame, number: str, wanted: DataFrame) -> DataFrame:
     """The rows of a numbered() table whose number is among those of `wanted` (one column, `number`). Numbers are dense in each file, so an exact bitmap has about a bit a row; up to 2^MOST_BITS of them (32 MB) are broadcast and the rows stay where they are, more are joined by a shuffle."""
     at = wanted.select(F.col(number).alias("__at"))
-    bits = keep(bitmap(at), "picked")
-    if bits.count() << CHUNK_BITS <= 1 << MOST_BITS:
+    bits = stay(keep(bitmap(at), "picked"))
+    if bits.rows << CHUNK_BITS <= 1 << MOST_BITS:
         bits = F.broadcast(bits)
         placed = rows.withColumns({"__at": F.col(number), "__chunk": F.shiftright(F.col(number), CHUNK_BITS)})
         return placed.join(bits, "__chunk").where(set_in()).select(*rows.columns)
@@ -166,8 +224,11 @@ HOT_KEYS, HOT_ROWS = 20_000, 64
 
 
 def joined_to_few(rows: DataFrame, keys: list[str], side: DataFrame, size: str, total: int) -> DataFrame:
-    """rows joined to `side`, which has one row for each key and in column `size` the number of rows with the key, of `total` in all. Keys with more than total / HOT_KEYS rows are broadcast (fewer than HOT_KEYS), so no task gets all rows of a hot key; the others are joined by a shuffle. side should be kept, as it is read twice; its key columns are not null."""
+    """rows joined to `side`, which has one row for each key and in column `size` the number of rows with the key, of `total` in all. Keys with more than total / HOT_KEYS rows are broadcast (fewer than HOT_KEYS), so no task gets all rows of a hot key; the others are joined by a shuffle. side should be kept, as it is read twice; where keep() has seen that no key is hot, nothing is broadcast. Key columns are not null."""
     bound = max(HOT_ROWS, total // HOT_KEYS)
+    most = side.__dict__.get("largest")
+    if most is not None and most <= bound:
+        return rows.join(side, keys).select(*rows.columns, *[c for c in side.columns if c not in keys])
     more = [c for c in side.columns if c not in keys]
     few = side.where(F.col(size) > bound).withColumnRenamed(size, "__hot").select(*keys, F.lit(True).alias("__is"), *[F.col("__hot" if c == size else c).alias(f"__{c}") for c in more])
     looked = rows.join(F.broadcast(few), keys, "left")
@@ -185,7 +246,7 @@ def first_by_hash(rows: DataFrame, order: list[Column], most: int, once: bool =
     while True:
         some = rows.where(order[0] < bound)
         found = keep((some.distinct() if once else some).orderBy(*order).limit(most), "first")
-        if bound >= 1 << 60 or found.count() >= min(most, total):
+        if bound >= 1 << 60 or found.rows >= min(most, total):
             return found
         forget(found)
         bound = min(1 << 60, bound * 16)
