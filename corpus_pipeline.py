@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.llm import exact_dedup, mixing, near_dedup, packing, quality
-from hushframe.llm.shared import forget, free, keep, numbered, picked, table
+from hushframe.llm.shared import forget, free, keep, numbered, picked, scratch, table
 
 #: A document with a lower quality score goes.
 REJECT = 0.5
@@ -23,39 +23,43 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. Labels are learnt from the rows that op8 learns from; a document goes if its calibrated score is below REJECT, that is if it is more likely bad than good."""
     row = free(docs, "__row")
     rows = numbered(docs, row)
-    stats = keep(quality.statistics_of(rows, carry=row), "pipeline-statistics")
-    model = quality.fit(stats, table(spark, sf_dir, "labels"), "quality", quality.remainder(4) != 2)
-    good = quality.scored_statistics(stats, model).where(F.col("score") >= REJECT)
-    return picked(rows, row, good.select(F.col("row_id").alias(row))).select(*docs.columns)
+    with scratch():
+        stats = keep(quality.statistics_of(rows, carry=row), "pipeline-statistics")
+        model = quality.fit(stats, table(spark, sf_dir, "labels"), "quality", quality.remainder(4) != 2)
+        good = quality.scored_statistics(stats, model).where(F.col("score") >= REJECT)
+        return picked(rows, row, good.select(F.col("row_id").alias(row))).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the largest identifier; of rows that also share it, the first."""
     row = free(docs, "__row")
     rows = numbered(docs, row)
-    kept = exact_dedup.groups(rows.select("doc_id", "text", F.col(row).alias("row_id")), carry="row_id").where("kept")
-    first = kept.groupBy("text_sha256").agg(F.min("row_id").alias(row))
-    return picked(rows, row, first.select(row)).select(*docs.columns)
+    with scratch():
+        kept = exact_dedup.groups(rows.select("doc_id", "text", F.col(row).alias("row_id")), carry="row_id").where("kept")
+        first = kept.groupBy("text_sha256").agg(F.min("row_id").alias(row))
+        return picked(rows, row, first.select(row)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the first row by number: runs of five words, similarity 0.8 or more."""
     row = free(docs, "__row")
     rows = numbered(docs, row)
-    kept = near_dedup.near_duplicates(rows, n=5, percent=80, id_col=row, row=row).where("kept")
-    return picked(rows, row, kept.select(F.col("row_id").alias(row))).select(*docs.columns)
+    with scratch():
+        kept = near_dedup.near_duplicates(rows, n=5, percent=80, id_col=row, row=row).where("kept")
+        return picked(rows, row, kept.select(F.col("row_id").alias(row))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: a document stands in it once for each pass in which its first word is taken, whole, so up to twice or not at all. Documents are shuffled by their numbers."""
     row = free(docs, "__row")
     rows = numbered(docs, row)
-    documents, pieces = mixing.mix(rows, id_col=row)
-    taken = keep(pieces.where("start = 0").join(documents.select("row_id", F.col("doc_id").alias(row)), "row_id").select(row, "pass").distinct(), "pipeline-passes")
-    found = None
-    for number in range(mixing.MOST):
-        once = picked(rows, row, taken.where(F.col("pass") == number).select(row)).select(*docs.columns)
-        found = once if found is None else found.unionByName(once)
+    with scratch():
+        documents, pieces = mixing.mix(rows, id_col=row)
+        taken = keep(pieces.where("start = 0").join(documents.select("row_id", F.col("doc_id").alias(row)), "row_id").select(row, "pass").distinct(), "pipeline-passes")
+        found = None
+        for number in range(mixing.MOST):
+            once = picked(rows, row, taken.where(F.col("pass") == number).select(row)).select(*docs.columns)
+            found = once if found is None else found.unionByName(once)
     return found
 
 
