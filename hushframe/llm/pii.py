@@ -16,13 +16,14 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import first_by_hash, shuffled_by, table
+from .shared import first_by_hash, table
 from .textbytes import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -180,25 +181,37 @@ class Net:
         self.lstm_back("b", x, kb, dh[:, :, HIDDEN:], grad)
         return {k: v / len(x) for k, v in grad.items()}
 
-    def decode(self, e: np.ndarray, alone: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """The best tag sequence for scores e (places, sequences, tags), and the probability of each of its tags. alone: nothing stands before and after; else "none" does."""
-        if not alone:
-            e = e.copy()
-            e[0] += self.p["t"][0]
-            e[-1] += self.p["t"][:, 0]
-        a, b, z = self.sums(e)
-        best, back = e[0], []
+    def edged(self, e: np.ndarray) -> np.ndarray:
+        """Scores (places, sequences, tags) with the transitions from and to "none" at both ends."""
+        e = e.copy()
+        e[0] += self.p["t"][0]
+        e[-1] += self.p["t"][:, 0]
+        return e
+
+    def best(self, e: np.ndarray) -> np.ndarray:
+        """The best tag sequence for each sequence of scores."""
+        total, back = e[0], []
         for k in range(1, len(e)):
-            s = best[:, :, None] + self.p["t"]
+            s = total[:, :, None] + self.p["t"]
             back.append(s.argmax(axis=1))
-            best = e[k] + s.max(axis=1)
+            total = e[k] + s.max(axis=1)
         n = np.arange(e.shape[1])
         tags = np.zeros((e.shape[1], len(e)), np.int64)
-        tags[:, -1] = best.argmax(axis=1)
+        tags[:, -1] = total.argmax(axis=1)
         for k in range(len(e) - 1, 0, -1):
             tags[:, k - 1] = back[k - 1][n, tags[:, k]]
-        sure = np.exp(a + b - z[:, None]).transpose(1, 0, 2)
-        return tags, np.take_along_axis(sure, tags[:, :, None], 2)[:, :, 0]
+        return tags
+
+    def certainty(self, e: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        """The probability of each of these tags."""
+        a, b, z = self.sums(e)
+        return np.take_along_axis(np.exp(a + b - z[:, None]).transpose(1, 0, 2), tags[:, :, None], 2)[:, :, 0]
+
+    def decode(self, e: np.ndarray, alone: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The best tag sequence for scores e, and the probability of each of its tags. alone: nothing stands before and after; else "none" does."""
+        e = e if alone else self.edged(e)
+        tags = self.best(e)
+        return tags, self.certainty(e, tags)
 
     def read(self, x: np.ndarray) -> np.ndarray:
         """emissions() of windows, (places, tags, windows), in single precision and with as little moved about in memory as can be: classes and the state before go through one product, and each place's scores are added up as its state is known."""
@@ -231,7 +244,7 @@ class Net:
     def open_places(self, e: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Of places (scores e, texts end to end) those that a stretch of other tags than "none" can hold: the largest sum of gains of a stretch around them makes up for going there and back."""
         t = self.p["t"].astype(float) - float(self.p["t"][0, 0])
-        gain = (e[:, 1:].max(axis=1) - e[:, 0]).astype(float) + t[1:, 1:].max()
+        gain = reduce(np.maximum, [e[:, k] for k in range(1, TAGS)]).astype(float) - e[:, 0] + t[1:, 1:].max()
         total = np.cumsum(gain)
         apart = (2 * np.abs(total).max() + 1) * np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))  # no stretch spans two texts
         before = np.minimum.accumulate(total - gain - apart)
@@ -251,26 +264,25 @@ def cut(text: str, tags: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarr
     return c[at], y[at]
 
 
-def scores(net: Net, points: np.ndarray, offsets: np.ndarray, most: int = 1024) -> np.ndarray:
+def scores(net: Net, points: np.ndarray, offsets: np.ndarray, most: int = 512) -> np.ndarray:
     """The scores of texts, laid end to end as classes with their offsets: of each place, from the window in whose middle it stands most."""
-    size = np.diff(offsets)
-    count = np.array([windows(n) for n in size.tolist()], np.int64)
-    text = np.repeat(np.arange(len(size)), count)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    start = offsets[text] + number * STEP
     edge = (WINDOW - STEP) // 2
-    first = np.where(number == 0, start, start + edge)
-    last = np.where(number == count[text] - 1, offsets[text + 1], start + edge + STEP)
-    filled = np.append(points, np.full(WINDOW, CLASS[32], points.dtype))
     found = np.empty((len(points), TAGS), np.float32)
-    for k in range(0, len(text), most):
-        part = slice(k, k + most)
-        at = start[part, None] + np.arange(WINDOW)
-        x = np.where(at < offsets[text[part] + 1][:, None], filled[np.minimum(at, len(filled) - 1)], CLASS[32]).astype(np.int8)
-        e = net.read(x)
-        window = np.repeat(np.arange(len(x)), last[part] - first[part])
-        place = np.arange(first[part][0], last[part][-1])
-        found[place] = e[place - start[part][window], :, window]
+    laid = []  # first character, the character after the text, first and last character that takes its scores from here
+    for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
+        count = windows(b - a)
+        for k in range(count):
+            start = a + k * STEP
+            laid.append((start, b, start + edge if k else a, start + edge + STEP if k < count - 1 else b))
+    for k in range(0, len(laid), most):
+        part = laid[k : k + most]
+        x = np.full((len(part), WINDOW), CLASS[32], np.int8)
+        for i, (start, end, _, _) in enumerate(part):
+            some = points[start : min(end, start + WINDOW)]
+            x[i, : len(some)] = some
+        e = net.read(x).transpose(2, 0, 1).copy()
+        for i, (start, _, first, last) in enumerate(part):
+            found[first:last] = e[i, first - start : last - start]
     return found
 
 
@@ -290,7 +302,11 @@ def places(net: Net, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
         mine = heads[size == n]
         for k in range(0, len(mine), max(1, 200_000 // n)):
             rows = mine[k : k + max(1, 200_000 // n), None] + np.arange(n)
-            tags[rows], sure[rows] = net.decode(e[rows].transpose(1, 0, 2))
+            chains = net.edged(e[rows].transpose(1, 0, 2))
+            best = net.best(chains)
+            some = np.flatnonzero(best.any(axis=1))  # the others are "none" throughout
+            if len(some):
+                tags[rows[some]], sure[rows[some]] = best[some], net.certainty(chains[:, some], best[some])
     some = tags > 0
     return at[some], tags[some], sure[some]
 
@@ -443,9 +459,9 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def sample(docs: DataFrame, most: int = SAMPLE) -> list[str]:
-    """At most `most` different texts with a digit or an @, whole, by a seeded hash of the text."""
-    some = docs.where(F.col("text").rlike("[0-9@]")).select("text")
-    return [r.text for r in first_by_hash(some, [shuffled_by(F.lit(SEED), F.md5(F.col("text").cast("binary"))), F.col("text")], most, once=True).collect()]
+    """At most `most` different texts with a digit or an @, whole, by a seeded hash of the text. Only texts whose hash passes the bound are searched for these signs."""
+    order = [F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("text")), 4), F.col("text")]
+    return [r.text for r in first_by_hash(docs.select("text"), order, most, once=True, where=F.col("text").rlike("[0-9@]")).collect()]
 
 
 def found(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -237,14 +237,15 @@ def joined_to_few(rows: DataFrame, keys: list[str], side: DataFrame, size: str,
     return hot.unionByName(cold.select(*rows.columns, *more))
 
 
-def first_by_hash(rows: DataFrame, order: list[Column], most: int, once: bool = False) -> DataFrame:
-    """The first `most` rows in the order of a 60-bit hash (the first of `order`; the others break ties). Rows are counted, and only hashes below a bound, which lets about twice as many pass as wanted, are sorted; where equal hashes leave too few, the bound is widened. The result is written, so the driver gets no more than `most` rows, however many partitions there are. once: of equal rows one."""
+def first_by_hash(rows: DataFrame, order: list[Column], most: int, once: bool = False, where: Column | None = None) -> DataFrame:
+    """The first `most` rows in the order of a 60-bit hash (the first of `order`; the others break ties). Rows are counted, and only hashes below a bound, which lets about twice as many pass as wanted, are sorted; where equal hashes leave too few, the bound is widened. The result is written, so the driver gets no more than `most` rows, however many partitions there are. once: of equal rows one. where: a condition on rows, looked at only below the bound."""
     total, spark = rows.count(), rows.sparkSession
     if not total:
         return spark.createDataFrame([], rows.schema)
     bound = min(1 << 60, (1 << 60) * (2 * most + 1000) // total)
     while True:
         some = rows.where(order[0] < bound)
+        some = some if where is None else some.where(where)
         found = keep((some.distinct() if once else some).orderBy(*order).limit(most), "first")
         if bound >= 1 << 60 or found.rows >= min(most, total):
             return found
