@@ -51,7 +51,7 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     point = f"(((id + 1) % {PERIOD}) * {GOLDEN}) % {PERIOD}"
     slots = spark.range(total).selectExpr("id as slot", f"{point} as point").withColumn("bin", F.expr(f"point div {width}"))
     slots = slots.join(bins, "bin").where("point >= low and point < high").select("slot", "source_key", "quota")
-    slots = slots.withColumn("chunk", F.shiftright("slot", 14))
+    slots = slots.withColumn("chunk", F.shiftright("slot", buckets_for(total)))
     ranked = prefix_sums(slots, ["source_key"], "chunk", [F.col("slot")], F.lit(1), "block")
     drawn = ranked.where("block < quota").select("slot", "source_key", "block")
     have = ranked.groupBy("source_key").agg(F.count(F.lit(1)).alias("have"))
