@@ -34,3 +34,14 @@ def agreement(rows: DataFrame, by: list[str] = ()) -> DataFrame:
 def accuracy(answers: DataFrame, truth: DataFrame, key: str, by: str) -> DataFrame:
     """Of each group the answers and the right ones."""
     return answers.join(truth, key).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("answer") == F.col("truth")).alias("right"))
+
+
+#: Lines of the report, with the columns of agreement() that they show.
+MEASURES = (("Same technique", "technique"), ("Same severity", "severity"), ("Same set of actions", "actions"), ("Action overlap of one half or more", "jaccard_half"), ("Technique, severity and actions", "all_three"), ("Fewer relationships", "fewer"), ("Technique lost by pseudonymisation", "hallucination"))
+
+
+def report(rows: DataFrame, by: str) -> DataFrame:
+    """agreement() of each value of `by`, a line a measure, as shares of the rows: by, line, measure, share. Small enough to be written as a table (sources.tables.as_markdown)."""
+    counts = agreement(rows, [by])
+    lines = F.array(*[F.struct(F.lit(i).alias("line"), F.lit(name).alias("measure"), F.format_string("%d/%d", F.col(c), F.col("n")).alias("share")) for i, (name, c) in enumerate(MEASURES)])
+    return counts.select(by, F.explode(lines).alias("l")).select(by, "l.*")

@@ -89,3 +89,13 @@ def missing(wanted: DataFrame, cache: DataFrame, keys: list[str], error: str = "
     """What has no record without an error in the cache."""
     good = cache.where(F.col(error).isNull()) if error in cache.columns else cache
     return wanted.join(good, keys, "left_anti")
+
+
+def numbered_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "pos") -> DataFrame:
+    """df with each row's place in its batch, from 0, by an order that must be total."""
+    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint"))
+
+
+def zipped(asked: DataFrame, replies: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
+    """What was asked with the reply of the same batch and place, joined on both, never by the order of rows; what has no reply is left out. Other columns must differ in name."""
+    return asked.join(replies, [*keys, pos])

@@ -50,6 +50,15 @@ def token_distinct(spark, sf_dir):
     return users.agg(F.count("user_id").alias("n_raw"), F.countDistinct(T.token("user", F.col("user_id"))).alias("n_tokens"))
 
 
+@query(f"select event_type, count(*) as n, count(distinct t) as n_tokens, count(distinct user_id) as n_users, bool_and(t = again) as all_equal from (select *, {T.token_sql('user', 'user_id::varchar')} as t, {T.token_sql('user', 'cast(user_id as varchar)')} as again from events) group by 1")
+def token_repeats(spark, sf_dir):
+    """The same value evaluated twice, once for each event and once for each user apart, has the same token."""
+    e = read(spark, sf_dir, "events").select("event_type", "user_id")
+    apart = e.select("user_id").distinct().select("user_id", T.token("user", F.col("user_id")).alias("again"))
+    both = e.withColumn("t", T.token("user", F.col("user_id"))).join(apart, "user_id")
+    return both.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("t").alias("n_tokens"), F.countDistinct("user_id").alias("n_users"), F.bool_and(F.col("t") == F.col("again")).alias("all_equal"))
+
+
 @query("select count(*) as n_common from (select distinct user_id from events where event_id % 2 = 0) a join (select distinct user_id from events where event_id % 2 = 1) b using (user_id)")
 def token_cross_party(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "user_id")
@@ -280,6 +289,27 @@ def stats_by_type(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type").agg(*scoring.summary(F.col("value")))
 
 
+@query("select event_type, greatest(coalesce(max(200 - value), 0), 0) as most_left, greatest(coalesce(max(-value), 0), 0) as most_below from events group by 1")
+def largest_from_zero(spark, sf_dir):
+    """Maxima that start at 0, as they are taken of times; of negative values nothing is left."""
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(scoring.largest(200 - F.col("value")).alias("most_left"), scoring.largest(-F.col("value")).alias("most_below"))
+
+
+@query("with b as (select event_type, event_id // 300 as batch, count(*) as n, sum(value) / 1000 as seconds from events group by 1, 2) select event_type, round(sum(n) / sum(seconds), 6) as per_second, count(*) as n_batches from b group by 1")
+def throughput_by_type(spark, sf_dir):
+    per = scoring.batches(read(spark, sf_dir, "events"), "event_id", 300).groupBy("event_type", "batch").agg(F.count(F.lit(1)).alias("n"), (F.sum("value") / 1000).alias("seconds"))
+    return per.groupBy("event_type").agg(F.round(scoring.throughput(F.col("n"), F.col("seconds")), 6).alias("per_second"), F.count(F.lit(1)).alias("n_batches"))
+
+
+@query("""with q as (select conv_id, row_number() over (partition by conv_id order by turn, text) - 1 as pos, text as asked from conversations where role = 'user'),
+r as (select conv_id, row_number() over (partition by conv_id order by turn, text) - 1 as pos, text as replied from conversations where role = 'assistant') select conv_id, pos, asked, replied from q join r using (conv_id, pos)""")
+def zipped_turns(spark, sf_dir):
+    """The first thing asked with the first reply of a conversation, the second with the second, and so on."""
+    c = read(spark, sf_dir, "conversations")
+    asked, replied = (scoring.numbered_within(c.where(F.col("role") == role).select("conv_id", "turn", "text"), ["conv_id"], [F.col("turn"), F.col("text")]).select("conv_id", "pos", F.col("text").alias(name)) for role, name in (("user", "asked"), ("assistant", "replied")))
+    return scoring.zipped(asked, replied, ["conv_id"])
+
+
 @query("select user_id, greatest(max(value) filter (event_id % 2 = 0), max(value) filter (event_id % 2 = 1)) as slower, (sum(event_id) // count(*))::bigint as mean_id from events group by 1")
 def party_times(spark, sf_dir):
     by = [F.max(F.when(F.col("event_id") % 2 == k, F.col("value"))) for k in (0, 1)]

@@ -233,6 +233,23 @@ def test_comparison_notes(spark):
     assert (t.n, t.technique, t.actions, t.all_three, t.hallucination, t.jaccard_half) == (4, 3, 3, 2, 1, 4)
 
 
+def test_comparison_report(spark):
+    s = "alert_id int, technique string, severity string, actions array<string>, relationships array<string>"
+    a = spark.createDataFrame([(i, "x", "high", ["a", "b"], ["r"]) for i in range(4)], s)
+    b = spark.createDataFrame([(i, "x" if i else "y", "high", ["a"], ["r"]) for i in range(4)], s)
+    rows = compare.compared(a, b, spark.createDataFrame([(i, "x") for i in range(4)], "alert_id int, technique string")).withColumn("mode", F.lit("full"))
+    text = tables.as_markdown(compare.report(rows, "mode").orderBy("line").select("measure", "share"))
+    assert text.splitlines()[:4] == ["| measure | share |", "| --- | --- |", "| Same technique | 3/4 |", "| Same severity | 4/4 |"] and len(text.splitlines()) == 2 + len(compare.MEASURES)
+
+
+def test_drawn_numbers():
+    seed = bytes(range(32))
+    assert crypto.exact_bits(300, seed) == crypto.exact_bits(300, seed) and crypto.exact_bits(300, seed).bit_length() == 300
+    assert {crypto.exact_bits(5).bit_length() for _ in range(50)} == {5} and {crypto.below(3) for _ in range(60)} == {1, 2}
+    with pytest.raises(ValueError):
+        crypto.below(1)
+
+
 def test_cache(spark, tmp_path):
     from pyspark.sql.types import StringType, StructField, StructType
 
