@@ -4,7 +4,7 @@ Three zstandard dictionaries are trained: one on ordinary text, and one on each
 
 Toxic documents consist mostly of ordinary words, so their dictionaries are trained again in ROUNDS: of a half's windows those stay that the other half's dictionary compresses better than the ordinary one does, by more than all but a small share (the round's) of the windows of ordinary documents. Nothing but compressed lengths chooses them. Documents that repeat others (over 30 % of their runs of three words) train once, and a window that stands in several toxic documents is a shared passage and trains nothing. Each setting of SETTINGS (words in a window, bytes of a toxic dictionary) is learnt, and the one stays that finds most toxic calibration documents at 1 % false alarms, and of equals the one that ranks best.
 
-Learning takes at most SAMPLE labelled rows of each label, whole, those first in a seeded hash order; it never reads identifier, language or source. Scoring reads every whole text, a slice of texts at a time, and compresses each distinct window of a slice once.
+Learning takes at most SAMPLE labelled rows of each label, whole, those first in a seeded hash order; of their ordinary windows at most ORDINARY_WINDOWS, drawn by seed, train the ordinary dictionary, and those of at most MEASURED ordinary documents that do not train it set the deviations and the rounds' bounds. Identifier, language and source are never read. Scoring reads every whole text, a slice of texts at a time, and compresses each distinct window of a slice once.
 
 Cases: a null or empty text has no window and statistic 0; a text with fewer words than a window is one window; an identifier that is labelled twice counts with its larger label, a null label not at all; repeated rows are scored alike and train once; without labelled texts of both labels every score is 0; an empty table gives no rows; other columns of the input stay as they are, but those that the result adds replace columns of the same names.
 """
