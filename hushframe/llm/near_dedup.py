@@ -227,6 +227,12 @@ def joined(cells: DataFrame, n: int, percent: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """id, component (the least id reachable) for the nodes of edges (a, b): large stars and small stars in turn until each component is one star, its least id in the middle. Each round is written to the shared folder; the driver sees one number a round."""
+    with scratch():
+        return stay(keep(stars_of(edges), "components"))
+
+
+def stars_of(edges: DataFrame) -> DataFrame:
+    """components(), still to be written."""
     edges = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "star")
     while True:
         ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
@@ -336,14 +342,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
             return pairs.where(differing("sa", "sb") <= most).select("a", "b").distinct()
 
         stars = keep(near(held.where("rep <> p").where(alike("n", "pn", percent)).select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct()), "near-stars")
-        groups = keep(components(stars), "near-groups")
+        groups = components(stars)
         rest = keep(across(held, groups, sigs, most, percent, TILE), "near-rest")
         if rest.rows:
-            groups = keep(components(stars.unionByName(rest)), "near-groups")
+            groups = components(stars.unionByName(rest))
 
         tested = keep(stars.groupBy("b").agg(F.min("a").alias("a")).unionByName(rest.groupBy("b").agg(F.min("a").alias("a"))).select("a", "b").distinct(), "near-tested")
         links = keep(confirmed(tested, texts, n, percent), "near-links")
-        linked_to = keep(components(links), "near-linked")
+        linked_to = components(links)
         placed = groups.withColumnRenamed("component", "cluster").join(linked_to, "id", "left").select("cluster", F.col("id").alias("rep"), F.coalesce("component", "id").alias("component"))
         cells = keep(left_over(keep(placed, "near-placed"), TILE), "near-cells")
         more = []
