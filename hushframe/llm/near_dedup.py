@@ -120,14 +120,13 @@ def keyed(classes: DataFrame, chunks: list[tuple[int, int, int]]) -> DataFrame:
 
 
 def differing(a: str, b: str) -> Column:
-    """The number of positions in which two signatures differ."""
-    total = None
+    """The number of positions in which two signatures differ: of each four in a number, the lower three carry into their top bits where they are not zero, the highest one into the bit above it."""
+    total, low, tops = None, F.lit(0x00007FFF7FFF7FFF), F.lit(0x0000800080008000)
     for i in range(POSITIONS // 4):
         x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        for shift in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        one = F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
-        total = one if total is None else total + one
+        three = F.bit_count((x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(tops))
+        one = F.shiftright(F.shiftrightunsigned(x, 48) + 65535, 16)
+        total = three + one if total is None else total + three + one
     return total
 
 

@@ -194,6 +194,16 @@ def test_cells_hold_all_pairs_with_the_left_over(spark):
                 assert x == y or (a, b) in together
 
 
+def test_differing_positions(spark):
+    rng = np.random.default_rng(22)
+    a = rng.integers(0, 1 << 16, (60, N.POSITIONS)).astype(np.uint16)
+    b = np.where(rng.random(a.shape) < rng.random((60, 1)), a, rng.choice([0, 1, 0x7FFF, 0x8000, 0xFFFF], a.shape).astype(np.uint16))
+    packed = [[[int(x) for x in sig.view(np.int64)] for sig in side] for side in (a, b)]
+    rows = spark.createDataFrame(list(zip(range(60), *packed, strict=True)), "i int, sa array<bigint>, sb array<bigint>")
+    got = {r.i: r.d for r in rows.select("i", N.differing("sa", "sb").alias("d")).collect()}
+    assert got == {i: int((a[i] != b[i]).sum()) for i in range(60)}
+
+
 def test_hashes_follow_the_words(spark):
     import pyarrow as pa
 
