@@ -16,7 +16,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ from .textbytes import slices
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STEP, HIDDEN, SAMPLE, GENERATED, WINDOWS, EPOCHS, SURE, SEED = 256, 224, 16, 150, 1200, 2_500, 7, 0.8, 7
+#: Places at both ends of a window that another window stands nearer the middle of.
+EDGE = (WINDOW - STEP) // 2
 TRIGGER = re.compile(r"[0-9@]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -202,43 +204,113 @@ class Net:
             tags[:, k - 1] = back[k - 1][n, tags[:, k]]
         return tags
 
+    def worthy(self, e: np.ndarray, heads: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Of chains that begin at `heads` of the places e and have so many, the numbers of those whose best sequence is not "none" throughout, longest first. All chains take a step at once, and nothing is kept of the steps."""
+        order = np.argsort(-size, kind="stable")
+        heads, size, t = heads[order], size[order], self.p["t"].astype(float)
+        live = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0))
+        scores = np.ascontiguousarray(e.T)
+        total = scores[:, heads] + t[0][:, None]
+        none = total[0].copy()
+        for k, m in enumerate(live[1:].tolist(), 1):
+            more = scores[:, heads[:m] + k]
+            total[:, :m] = more + (total[:, None, :m] + t[:, :, None]).max(axis=0)
+            none[:m] = more[0] + (none[:m] + t[0, 0])
+        return order[(total + t[:, :1]).max(axis=0) > none + t[0, 0]]
+
     def certainty(self, e: np.ndarray, tags: np.ndarray) -> np.ndarray:
         """The probability of each of these tags."""
         a, b, z = self.sums(e)
         return np.take_along_axis(np.exp(a + b - z[:, None]).transpose(1, 0, 2), tags[:, :, None], 2)[:, :, 0]
 
     def decode(self, e: np.ndarray, alone: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """The best tag sequence for scores e, and the probability of each of its tags. alone: nothing stands before and after; else "none" does."""
+        """The best tag sequence for scores e, and the probability of each of its tags; chains() does the same for many of different lengths. alone: nothing stands before and after; else "none" does."""
         e = e if alone else self.edged(e)
         tags = self.best(e)
         return tags, self.certainty(e, tags)
 
-    def read(self, x: np.ndarray) -> np.ndarray:
-        """emissions() of windows, (places, tags, windows), in single precision and with as little moved about in memory as can be: classes and the state before go through one product, and each place's scores are added up as its state is known."""
+    @cached_property
+    def blanks(self) -> tuple[np.ndarray, np.ndarray]:
+        """The backward LSTM's states (outputs doubled) after so many blanks, from none to a window of them. Only of a net that is trained no further."""
+        _, kept = self.lstm("b", np.full((1, WINDOW + 1), CLASS[32]))
+        return 2 * np.stack([h[0] for _, h, *_ in kept], 1), np.stack([c[0] for _, _, c, *_ in kept], 1)
+
+    def chains(self, e: np.ndarray, heads: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """decode() of chains that begin at `heads` of the places e and have so many, longest first, all taking a step at once: the places in them, tags and probabilities."""
+        t = self.p["t"].astype(float)
+        live = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0)).tolist()
+        steps = [np.ascontiguousarray(e[heads[:m] + k].T) for k, m in enumerate(live)]
+        sums, total, back = [steps[0] + t[0][:, None]], steps[0] + t[0][:, None], []
+        for now in steps[1:]:
+            m = now.shape[1]
+            ways = total[:, None, :m] + t[:, :, None]
+            back.append(ways.argmax(axis=0))
+            total[:, :m] = now + ways.max(axis=0)
+            sums.append(now + np.logaddexp.reduce(sums[-1][:, None, :m] + t[:, :, None], axis=0))
+        tag = (total + t[:, :1]).argmax(axis=0)
+        after, every = np.repeat(t[:, :1], len(size), axis=1), np.empty(len(size))
+        at, tags, sure = [], [], []
+        for k in range(len(steps) - 1, -1, -1):
+            m, on, n = live[k], live[k + 1] if k + 1 < len(live) else 0, np.arange(live[k])
+            if on:
+                tag[:on] = back[k][tag[:on], n[:on]]
+                after[:, :on] = np.logaddexp.reduce(t[:, :, None] + (steps[k + 1] + after[:, :on])[None], axis=1)
+            every[on:m] = np.logaddexp.reduce(sums[k][:, on:] + after[:, on:m], axis=0)  # these end here
+            at.append(heads[:m] + k)
+            tags.append(tag[:m].copy())
+            sure.append(np.exp(sums[k][tag[:m], n] + after[tag[:m], n] - every[:m]))
+        return np.concatenate(at), np.concatenate(tags), np.concatenate(sure)
+
+    def read(self, x: np.ndarray, sizes: np.ndarray | None = None, begins: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
+        """emissions() of windows, (places, tags, windows), in single precision and with as little moved about in memory as can be: classes and the state before go through one product, and each place's scores are added up as its state is known.
+
+        sizes: how many characters of each window are its own, falling; blanks fill it up, of which the backward LSTM's states are known. begins, ends: the windows that begin and end a text; in others the first and last EDGE places are not asked for. What is beyond a size or not asked for is undefined."""
         n, size = x.shape
+        sizes = np.full(n, size) if sizes is None else sizes
         e = np.empty((size, TAGS, n), np.float32)
         e[:] = self.p["c"][:, None]
-        seen, kinds = np.ascontiguousarray(x.T), np.arange(CLASSES, dtype=x.dtype)[:, None]
-        for d, half in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, 2 * HIDDEN))):
-            w = np.concatenate([self.p[f"{d}h"], self.p[f"{d}x"]]).T.astype(np.float32)
-            w[: 3 * HIDDEN] *= np.float32(0.5)  # a sigmoid is a tanh of half
-            out = np.ascontiguousarray(self.p["o"][half].T, np.float32)
-            known, c = np.zeros((HIDDEN + CLASSES, n), np.float32), np.zeros((HIDDEN, n), np.float32)
-            z, g, score = np.empty((4 * HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32), np.empty((TAGS, n), np.float32)
+        kinds = np.arange(CLASSES, dtype=x.dtype)[:, None]
+        one, half = np.float32(1), np.float32(0.5)
+        for d, rows in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, 2 * HIDDEN))):
+            # A sigmoid is half of one more than the tanh of half; outputs are kept doubled, so halves are in the weights.
+            w = np.concatenate([self.p[f"{d}h"] * 0.5, self.p[f"{d}x"]]).T.astype(np.float32)
+            w[: 3 * HIDDEN] *= half
+            out = np.ascontiguousarray(self.p["o"][rows].T * 0.5, np.float32)
+            known, state = np.zeros((HIDDEN + CLASSES, n), np.float32), np.zeros((HIDDEN, n), np.float32)
+            if d == "b":
+                known[:HIDDEN], state[:] = (blank[:, size - sizes] for blank in self.blanks)
+            all_z, all_g, all_score = np.empty((4 * HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32), np.empty((TAGS, n), np.float32)
+            seen, at, before = np.ascontiguousarray(x.T), None, -1
+            live = np.searchsorted(-sizes, -np.arange(size))  # windows with a character of their own at each place
+            some, turn = (ends, size - EDGE) if d == "f" else (begins, EDGE - 1)
             for t in range(size) if d == "f" else range(size - 1, -1, -1):
-                np.equal(kinds, seen[t], out=known[HIDDEN:], casting="unsafe")
-                np.matmul(w, known, out=z)
+                if t == turn and some is not None:  # only these windows are asked for further places
+                    at = np.flatnonzero(some)
+                    known, state, seen, before = known[:, at], state[:, at], seen[:, at], -1
+                    live = np.searchsorted(-sizes[at], -np.arange(size))
+                m = int(live[t])
+                if not m:
+                    continue
+                if m != before:
+                    before = m
+                    both, h, kind, c = known[:, :m], known[:HIDDEN, :m], known[HIDDEN:, :m], state[:, :m]
+                    z, g, score = all_z[:, :m], all_g[:, :m], all_score[:, :m]
+                    gates, i, f, o, new = (z[a * HIDDEN : b * HIDDEN] for a, b in ((0, 3), (0, 1), (1, 2), (2, 3), (3, 4)))
+                np.equal(kinds, seen[t, :m], out=kind, casting="unsafe")
+                np.matmul(w, both, out=z)
                 np.tanh(z, out=z)
-                gates = z[: 3 * HIDDEN]
-                gates *= np.float32(0.5)
-                gates += np.float32(0.5)
-                c *= z[HIDDEN : 2 * HIDDEN]
-                np.multiply(z[:HIDDEN], z[3 * HIDDEN :], out=g)
+                gates += one
+                c *= f
+                np.multiply(i, new, out=g)
                 c += g
+                c *= half
                 np.tanh(c, out=g)
-                np.multiply(z[2 * HIDDEN : 3 * HIDDEN], g, out=known[:HIDDEN])
-                np.matmul(out, known[:HIDDEN], out=score)
-                e[t] += score
+                np.multiply(o, g, out=h)
+                np.matmul(out, h, out=score)
+                if at is None:
+                    e[t, :, :m] += score
+                else:
+                    e[t][:, at[:m]] += score
         return e
 
     def open_places(self, e: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -264,30 +336,26 @@ def cut(text: str, tags: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarr
     return c[at], y[at]
 
 
-def scores(net: Net, points: np.ndarray, offsets: np.ndarray, most: int = 512) -> np.ndarray:
-    """The scores of texts, laid end to end as classes with their offsets: of each place, from the window in whose middle it stands most."""
-    edge = (WINDOW - STEP) // 2
-    found = np.empty((len(points), TAGS), np.float32)
-    laid = []  # first character, the character after the text, first and last character that takes its scores from here
-    for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
-        count = windows(b - a)
-        for k in range(count):
-            start = a + k * STEP
-            laid.append((start, b, start + edge if k else a, start + edge + STEP if k < count - 1 else b))
-    for k in range(0, len(laid), most):
-        part = laid[k : k + most]
-        x = np.full((len(part), WINDOW), CLASS[32], np.int8)
-        for i, (start, end, _, _) in enumerate(part):
-            some = points[start : min(end, start + WINDOW)]
-            x[i, : len(some)] = some
-        e = net.read(x).transpose(2, 0, 1).copy()
-        for i, (start, _, first, last) in enumerate(part):
-            found[first:last] = e[i, first - start : last - start]
+def scores(net: Net, points: np.ndarray, offsets: np.ndarray, most: int = 448) -> np.ndarray:
+    """The scores of texts, laid end to end as classes with their offsets: of each place, from the window in whose middle it stands most. Windows of one size are read together, and no place that no score is taken from, but for those that lead up to the others."""
+    count = np.array([windows(n) for n in np.diff(offsets).tolist()], np.int64)
+    own = np.repeat(np.arange(len(count)), count)
+    k = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+    start, end, begins, ends = offsets[own] + k * STEP, offsets[own + 1], k == 0, k == count[own] - 1
+    sizes = np.minimum(end - start, WINDOW)
+    first, last = np.where(begins, 0, EDGE), np.where(ends, sizes, EDGE + STEP)  # places that take their scores from here
+    found = np.empty((TAGS, len(points)), np.float32).T
+    laid = np.lib.stride_tricks.sliding_window_view(np.append(points, np.full(WINDOW, CLASS[32], points.dtype)), WINDOW)
+    order = np.argsort(-sizes, kind="stable")
+    for part in (order[k : k + most] for k in range(0, len(order), most)):
+        e = net.read(laid[start[part]], sizes[part], begins[part], ends[part]).transpose(2, 1, 0).copy().transpose(0, 2, 1)
+        for i, (at, a, b) in enumerate(zip(start[part].tolist(), first[part].tolist(), last[part].tolist(), strict=True)):
+            found[at + a : at + b] = e[i, a:b]
     return found
 
 
 def places(net: Net, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, over texts laid end to end, whose tag in the best sequence is not "none", in order, with tag and probability. Runs of open places within a text are decoded, those of one length together."""
+    """Places, over texts laid end to end, whose tag in the best sequence is not "none", in order, with tag and probability. Of the runs of open places within a text, those whose best sequence is more than "none" are decoded."""
     e = scores(net, points, offsets)
     at = net.open_places(e, offsets) if len(e) else np.zeros(0, np.int64)
     if not len(at):
@@ -298,15 +366,10 @@ def places(net: Net, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     heads = np.flatnonzero(heads)
     size = np.diff(np.append(heads, len(at)))
     tags, sure = np.zeros(len(at), np.int64), np.zeros(len(at))
-    for n in np.unique(size).tolist():
-        mine = heads[size == n]
-        for k in range(0, len(mine), max(1, 200_000 // n)):
-            rows = mine[k : k + max(1, 200_000 // n), None] + np.arange(n)
-            chains = net.edged(e[rows].transpose(1, 0, 2))
-            best = net.best(chains)
-            some = np.flatnonzero(best.any(axis=1))  # the others are "none" throughout
-            if len(some):
-                tags[rows[some]], sure[rows[some]] = best[some], net.certainty(chains[:, some], best[some])
+    some = net.worthy(e, heads, size)
+    if len(some):
+        rows, best, likely = net.chains(e, heads[some], size[some])
+        tags[rows], sure[rows] = best, likely
     some = tags > 0
     return at[some], tags[some], sure[some]
 

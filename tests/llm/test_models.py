@@ -583,6 +583,46 @@ def test_open_places_with_random_scores():
                 assert {a + i for i in np.flatnonzero(net.decode(e[a:b, None])[0][0])} <= open_
 
 
+def test_scores_read_no_more_places_than_needed(monkeypatch):
+    """Scores of texts around a window's size are those of whole windows, and the net's steps are few more than characters."""
+    net = pii.Net.fresh(np.random.default_rng(9)).single()
+    rng, steps = random.Random(9), []
+    texts = ["".join(rng.choices("ab 7@.-X", k=n)) for n in (1, 2, 15, 16, 17, 0, 224, 239, 240, 241, 255, 256, 257, 479, 480, 481, 900, *[20] * 200)]
+    offsets = np.cumsum([0, *map(len, texts)])
+    points = pii.classes("".join(texts)).astype(np.int8)
+    tanh = np.tanh
+    for most in (7, 448):
+        got = pii.scores(net, points, offsets, most)
+        for text, first in zip(texts, offsets.tolist(), strict=False):
+            assert not text or np.allclose(got[first : first + len(text)], chain(net, text), atol=2e-4)
+    monkeypatch.setattr(np, "tanh", lambda x, **to: (steps.append(x.shape[1] if x.ndim > 1 and len(x) == 4 * pii.HIDDEN else 0), tanh(x, **to))[1])
+    pii.scores(net, points, offsets)
+    assert len(points) * 2 <= sum(steps) < len(points) * 2.4
+
+
+def test_chains_of_all_lengths_take_their_steps_together(monkeypatch):
+    rng = np.random.default_rng(10)
+    net = pii.Net.fresh(rng)
+    net.p["t"] = rng.normal(0, 1, net.p["t"].shape)
+    size = np.sort(rng.integers(1, 40, 60))[::-1]
+    heads = np.cumsum(size) - size
+    e = rng.normal(0, 1, (size.sum(), pii.TAGS))
+    e[:, 0] += 2
+    want = [net.decode(e[a : a + n, None]) for a, n in zip(heads, size, strict=True)]
+    plain = np.array([not t.any() for t, _ in want])
+    assert plain.any() and not plain.all() and set(net.worthy(e, heads, size).tolist()) == set(np.flatnonzero(~plain).tolist())
+    at, tags, sure = net.chains(e, heads, size)
+    order = np.argsort(at)
+    assert at[order].tolist() == list(range(size.sum()))
+    assert tags[order].tolist() == np.concatenate([t[0] for t, _ in want]).tolist() and np.allclose(sure[order], np.concatenate([s[0] for _, s in want]))
+
+    calls = []
+    monkeypatch.setattr(pii.Net, "best", lambda *a: calls.append(1))
+    texts = ["call 0%d5 55%d-1234 " % (i % 10, i % 7) * i for i in range(1, 30)]
+    at, tags, sure = pii.places(net.single(), pii.classes("".join(texts)).astype(np.int8), np.cumsum([0, *map(len, texts)]))
+    assert len(at) and not calls and len(at) == len(tags) == len(sure)
+
+
 def test_net_on_held_out_sentences(net):
     rows = pii.generated(200, random.Random(77))
     base = [pii.base(t) for t, _ in rows]
