@@ -54,8 +54,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = free(docs, "__row")
     rows = numbered(docs, row)
     with scratch():
-        documents, pieces = mixing.mix(rows, id_col=row)
-        taken = keep(pieces.where("start = 0").join(documents.select("row_id", F.col("doc_id").alias(row)), "row_id").select(row, "pass").distinct(), "pipeline-passes")
+        pieces = mixing.mix(rows, id_col=row)[1]
+        taken = keep(pieces.where("start = 0").select(F.col("doc_id").alias(row), "pass").distinct(), "pipeline-passes")
         found = None
         for number in range(mixing.MOST):
             once = picked(rows, row, taken.where(F.col("pass") == number).select(row)).select(*docs.columns)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, buckets_for, keep, prefix_sums, shuffled_by, shuffled_by_sql, source_key
+from .shared import WORD, buckets_for, keep, prefix_sums, shuffled_by, shuffled_by_sql, source_key, tidy
 
 WEIGHTS, SHARE, MOST, BLOCK, SEED = (5, 2, 1), 1.5, 2, 2048, 4
 #: 2^31 divided by the golden ratio, made odd, so that i -> i G mod 2^31 meets each of the 2^31 points once.
@@ -61,7 +61,7 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
-    """Two tables. documents: row_id, doc_id, source_key, size, source_size, target, taken, first_slot (the earliest slot that takes words of the document; null if none does). pieces: row_id, pass, slot, start, words: the stretch of the document's words that the slot takes."""
+    """Two tables. documents: row_id, doc_id, source_key, size, source_size, target, taken, first_slot (the earliest slot that takes words of the document; null if none does). pieces: row_id, doc_id, pass, slot, start, words: the stretch of the document's words that the slot takes. The stretches of the passes and the schedule are written on the way, so the driver never plans all of it at once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), source_key(F.col(source_col)).alias("source_key"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"))
     base = keep(base.withColumn("row_id", F.monotonically_increasing_id()), "mix-sizes")
@@ -71,11 +71,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     runs = runs.withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(most)]))).withColumn("h", shuffled_by(F.lit(seed), F.col("pass"), F.col("doc_id")))
     runs = runs.withColumn("hb", F.col("pass").cast("bigint") * (1 << bits) + F.shiftright("h", 60 - bits))
     runs = prefix_sums(runs, ["source_key"], "hb", [F.col("h"), F.col("doc_id"), F.col("size"), F.col("row_id")], F.col("size"), "start").where("start < take")
-    runs = runs.withColumn("end", F.least(F.col("start") + F.col("size"), F.col("take")))
+    runs = keep(runs.select("row_id", "doc_id", "source_key", "pass", "start", F.least(F.col("start") + F.col("size"), F.col("take")).alias("end")), "mix-runs")
+    slots = keep(schedule(sources, block), "mix-slots")
+    tidy(docs.sparkSession)
     parts = runs.withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(end - 1) div {block}"))))
-    parts = parts.join(schedule(sources, block), ["source_key", "block"])
+    parts = parts.join(slots, ["source_key", "block"])
     low = F.greatest(F.col("start"), F.col("block") * block)
-    pieces = parts.select("row_id", "pass", "slot", (low - F.col("start")).alias("start"), (F.least(F.col("end"), (F.col("block") + 1) * block) - low).alias("words"))
+    pieces = parts.select("row_id", "doc_id", "pass", "slot", (low - F.col("start")).alias("start"), (F.least(F.col("end"), (F.col("block") + 1) * block) - low).alias("words"))
     taken = pieces.groupBy("row_id").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     documents = base.join(sources.select("source_key", "source_size", "target"), "source_key").join(taken, "row_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     return documents, pieces

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,12 +82,28 @@ def stay(df: DataFrame) -> DataFrame:
 
 
 def forget(*kept: DataFrame) -> None:
-    """Deletes what keep() wrote, only for tables that no frame still to be read depends on, and lets the driver collect what it held of their plans and broadcasts, which Spark's cleaner only releases when Java collects its garbage."""
+    """Deletes what keep() wrote, only for tables that no frame still to be read depends on, and lets the driver collect what it held of their plans and broadcasts."""
     for df in kept:
         remove(df.sparkSession, df.kept_at)
     if kept:
-        gc.collect()
-        kept[0].sparkSession._jvm.java.lang.System.gc()
+        tidy(kept[0].sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage, since Spark's cleaner only releases plans and broadcasts when Java does, and hand what Java's own parts have freed back to the system, where it can (HotSpot on Linux): compilers and hundreds of short-lived threads leave the C library with some 200 MB that it would keep."""
+    gc.collect()
+    jvm = spark._jvm
+    jvm.java.lang.System.gc()
+    command = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+    command[0], command[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), TRIM
+    try:  # an expression, as the server's class is closed to calls from outside
+        jvm.java.beans.Expression(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), "invoke", command).getValue()
+    except (Py4JError, TypeError):  # another Java or system has no such command
+        pass
+
+
+#: Java's command that returns freed native memory.
+TRIM = "systemTrimNativeHeap"
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -125,6 +125,15 @@ def test_mixing_is_the_same_again(odd):
     assert one == two
 
 
+def test_mixing_is_planned_in_steps(odd):
+    """The driver plans passes and schedule apart: what is left to read holds no window, and pieces name their documents without another join."""
+    documents, pieces = mixing.mix(odd.withColumn("doc_id", F.monotonically_increasing_id()), block=64)
+    assert not any("Window" in df._jdf.queryExecution().optimizedPlan().toString() for df in (documents, pieces))
+    of = dict(rows_of(documents.select("row_id", "doc_id")))
+    found = pieces.collect()
+    assert found and all(of[p.row_id] == p.doc_id for p in found)
+
+
 def test_schedule_is_of_low_discrepancy(spark):
     sources = spark.createDataFrame([("a", 7000), ("b", 2000), ("c", 1000)], "source_key string, take bigint")
     slots = [r.source_key for r in mixing.schedule(sources, 10).orderBy("slot").collect()]
