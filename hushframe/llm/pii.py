@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import first_by_hash, table
-from .textbytes import slices
+from .textbytes import SLICE, slices
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STEP, HIDDEN, SAMPLE, GENERATED, WINDOWS, EPOCHS, SURE, SEED = 256, 224, 16, 150, 1200, 2_500, 7, 0.8, 7
 #: Places at both ends of a window that another window stands nearer the middle of.
 EDGE = (WINDOW - STEP) // 2
+#: Slices of text, read one by one, that are decoded together, but for when so many open places wait; characters that are searched for these at once.
+TOGETHER, OPEN, CACHED = 16, 1 << 18, 1 << 14
 TRIGGER = re.compile(r"[0-9@]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -89,9 +91,14 @@ CLASS[48:58], CLASS[97:123], CLASS[65:91] = 1, 2, 3
 for _i, _c in enumerate("@.+-() :/_,;="):
     CLASS[ord(_c)] = 4 + _i
 CLASSES, TAGS = 17, 1 + len(KINDS)
+#: Classes by how frequent they are in prose (lower, blank, other, upper, dot, comma, digit, the rest), and each one's place there, for bytes.translate.
+FREQUENT = np.array([2, 10, 0, 3, 5, 14, 1, 7, 8, 9, 11, 12, 4, 6, 13, 15, 16])
+RANKS = bytes(np.argsort(FREQUENT).tolist() + [0] * (256 - CLASSES))
 
 
 def classes(text: str) -> np.ndarray:
+    if text.isascii():
+        return CLASS[np.frombuffer(text.encode(), np.uint8)]
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.where(points < 128, CLASS[np.minimum(points, 127)], 0)
 
@@ -261,67 +268,109 @@ class Net:
             sure.append(np.exp(sums[k][tag[:m], n] + after[tag[:m], n] - every[:m]))
         return np.concatenate(at), np.concatenate(tags), np.concatenate(sure)
 
+    def paths(self, e: np.ndarray, heads: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places and tags of chains(), without probabilities."""
+        t = self.p["t"].astype(float)
+        live = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0)).tolist()
+        scores = np.ascontiguousarray(e.T)
+        total, back, turned = scores[:, heads] + t[0][:, None], [], t[:, :, None]
+        for k, m in enumerate(live[1:], 1):
+            ways = total[:, None, :m] + turned
+            back.append(ways.argmax(axis=0))
+            np.add(scores[:, heads[:m] + k], ways.max(axis=0), out=total[:, :m])
+        tag = (total + t[:, :1]).argmax(axis=0)
+        at, tags, n, on = [], [], np.arange(len(size)), 0
+        for k in range(len(live) - 1, -1, -1):
+            if on:
+                tag[:on] = back[k][tag[:on], n[:on]]
+            on = live[k]
+            at.append(heads[:on] + k)
+            tags.append(tag[:on].copy())
+        return np.concatenate(at), np.concatenate(tags)
+
     def read(self, x: np.ndarray, sizes: np.ndarray | None = None, begins: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
-        """emissions() of windows, (places, tags, windows), in single precision and with as little moved about in memory as can be: classes and the state before go through one product, and each place's scores are added up as its state is known.
+        """emissions() of windows, (places, tags, windows), in single precision and with as little moved about in memory as can be: both LSTMs take their steps side by side, classes and the state before go through one product, and each place's scores are added up as its state is known.
 
         sizes: how many characters of each window are its own, falling; blanks fill it up, of which the backward LSTM's states are known. begins, ends: the windows that begin and end a text; in others the first and last EDGE places are not asked for. What is beyond a size or not asked for is undefined."""
         n, size = x.shape
         sizes = np.full(n, size) if sizes is None else sizes
         e = np.empty((size, TAGS, n), np.float32)
         e[:] = self.p["c"][:, None]
-        kinds = np.arange(CLASSES, dtype=x.dtype)[:, None]
-        one, half = np.float32(1), np.float32(0.5)
-        for d, rows in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, 2 * HIDDEN))):
-            # A sigmoid is half of one more than the tanh of half; outputs are kept doubled, so halves are in the weights.
-            w = np.concatenate([self.p[f"{d}h"] * 0.5, self.p[f"{d}x"]]).T.astype(np.float32)
-            w[: 3 * HIDDEN] *= half
-            out = np.ascontiguousarray(self.p["o"][rows].T * 0.5, np.float32)
-            known, state = np.zeros((HIDDEN + CLASSES, n), np.float32), np.zeros((HIDDEN, n), np.float32)
-            if d == "b":
-                known[:HIDDEN], state[:] = (blank[:, size - sizes] for blank in self.blanks)
-            all_z, all_g, all_score = np.empty((4 * HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32), np.empty((TAGS, n), np.float32)
-            seen, at, before = np.ascontiguousarray(x.T), None, -1
-            live = np.searchsorted(-sizes, -np.arange(size))  # windows with a character of their own at each place
-            some, turn = (ends, size - EDGE) if d == "f" else (begins, EDGE - 1)
-            for t in range(size) if d == "f" else range(size - 1, -1, -1):
-                if t == turn and some is not None:  # only these windows are asked for further places
-                    at = np.flatnonzero(some)
-                    known, state, seen, before = known[:, at], state[:, at], seen[:, at], -1
-                    live = np.searchsorted(-sizes[at], -np.arange(size))
-                m = int(live[t])
-                if not m:
-                    continue
-                if m != before:
-                    before = m
-                    both, h, kind, c = known[:, :m], known[:HIDDEN, :m], known[HIDDEN:, :m], state[:, :m]
-                    z, g, score = all_z[:, :m], all_g[:, :m], all_score[:, :m]
-                    gates, i, f, o, new = (z[a * HIDDEN : b * HIDDEN] for a, b in ((0, 3), (0, 1), (1, 2), (2, 3), (3, 4)))
-                np.equal(kinds, seen[t, :m], out=kind, casting="unsafe")
-                np.matmul(w, both, out=z)
-                np.tanh(z, out=z)
-                gates += one
-                c *= f
-                np.multiply(i, new, out=g)
-                c += g
-                c *= half
-                np.tanh(c, out=g)
-                np.multiply(o, g, out=h)
-                np.matmul(out, h, out=score)
-                if at is None:
-                    e[t, :, :m] += score
-                else:
-                    e[t][:, at[:m]] += score
+        # Frequent classes come first, so that a step's product leaves out those from which on none stands in its places.
+        x = np.frombuffer(x.astype(np.int8, copy=False).tobytes().translate(RANKS), np.int8).reshape(n, size)
+        # A sigmoid is half of one more than the tanh of half; outputs are kept doubled, so halves are in the weights.
+        one, half, ws = np.float32(1), np.float32(0.5), []
+        for d in "fb":
+            ws.append(np.concatenate([self.p[f"{d}h"] * 0.5, self.p[f"{d}x"][FREQUENT]]).T.astype(np.float32))
+            ws[-1][: 3 * HIDDEN] *= half
+        outs = np.ascontiguousarray(self.p["o"].T * 0.5, np.float32)
+        out_f, out_b = np.ascontiguousarray(outs[:, :HIDDEN]), np.ascontiguousarray(outs[:, HIDDEN:])
+        # Forward windows stand before `mid` with the longest last, backward ones behind it: those at work are always next to each other.
+        turn = slice(None, None, -1) if n and sizes[0] != sizes[-1] else slice(None)
+        mid, known, state = n, np.zeros((HIDDEN + CLASSES, 2 * n), np.float32), np.zeros((HIDDEN, 2 * n), np.float32)
+        known[:HIDDEN, n:], state[:, n:] = (blank[:, size - sizes] for blank in self.blanks)
+        all_z, all_g, all_score = np.empty((4 * HIDDEN, 2 * n), np.float32), np.empty((HIDDEN, 2 * n), np.float32), np.empty((TAGS, 2 * n), np.float32)
+        seen = np.concatenate([x[turn].T, x[:, ::-1].T], axis=1)
+        most = (seen.max(axis=1) + 1).tolist()  # classes in each step's product
+        kinds = np.arange(CLASSES, dtype=np.int8)[:, None]
+        live_f = live_b = np.searchsorted(-sizes, -np.arange(size)).tolist()  # windows with a character of their own at each place
+        at_f, at_b, before, views, same, same_at = slice(None), slice(None), None, {}, None, -size
+        for t, back in enumerate(range(size - 1, -1, -1)):
+            if t == size - EDGE and begins is not None:  # only these windows are asked for further places
+                at_f, at_b = np.flatnonzero(ends), np.flatnonzero(begins)
+                columns = np.append(np.arange(n)[turn][at_f[turn]], n + at_b)
+                mid, before, same_at = len(at_f), None, -size
+                known, state, seen = (np.take(rows, columns, axis=1) for rows in (known, state, seen))
+                live_f, live_b = (np.searchsorted(-sizes[at], -np.arange(size)).tolist() for at in (at_f, at_b))
+            first, last = mid - live_f[t], mid + live_b[back]
+            if first == last:
+                continue
+            if (first, last) != before:
+                before, views = (first, last), {}
+                h, c = known[:HIDDEN, first:last], state[:, first:last]
+                z, g = all_z[:, first:last], all_g[:, first:last]
+                gates, i, f, o, new = (z[a * HIDDEN : b * HIDDEN] for a, b in ((0, 3), (0, 1), (1, 2), (2, 3), (3, 4)))
+                parts = [(w, slice(a, b), all_z[:, a:b]) for w, a, b in zip(ws, (first, mid), (mid, last), strict=True)]
+                h_f, h_b, score_f, score_b = known[:HIDDEN, first:mid], known[:HIDDEN, mid:last], all_score[:, first:mid], all_score[:, mid:last]
+                on_f, on_b = (slice(m) if isinstance(at, slice) else at[:m] for at, m in ((at_f, mid - first), (at_b, last - mid)))
+            k = most[t]
+            if k not in views:
+                views[k] = known[HIDDEN : HIDDEN + k, first:last], [(w[:, : HIDDEN + k], known[: HIDDEN + k, cols], to) for w, cols, to in parts]
+            kind, products = views[k]
+            if t - same_at >= 16:  # which class stands where, for some steps at once
+                same_at, same = t, np.equal(kinds[: max(most[t : t + 16])], seen[t : t + 16, None])
+            np.copyto(kind, same[t - same_at, :k, first:last])
+            for w, both, to in products:
+                np.matmul(w, both, out=to)
+            np.tanh(z, out=z)
+            gates += one
+            c *= f
+            np.multiply(i, new, out=g)
+            c += g
+            c *= half
+            np.tanh(c, out=g)
+            np.multiply(o, g, out=h)
+            np.matmul(out_f, h_f, out=score_f)
+            np.matmul(out_b, h_b, out=score_b)
+            e[t][:, on_f] += score_f[:, turn]
+            e[back][:, on_b] += score_b
         return e
 
     def open_places(self, e: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Of places (scores e, texts end to end) those that a stretch of other tags than "none" can hold: the largest sum of gains of a stretch around them makes up for going there and back."""
         t = self.p["t"].astype(float) - float(self.p["t"][0, 0])
-        gain = reduce(np.maximum, [e[:, k] for k in range(1, TAGS)]).astype(float) - e[:, 0] + t[1:, 1:].max()
+        gain = reduce(np.maximum, [e[:, k] for k in range(1, TAGS)]).astype(float)
+        gain -= e[:, 0]
+        gain += t[1:, 1:].max()
         total = np.cumsum(gain)
-        apart = (2 * np.abs(total).max() + 1) * np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))  # no stretch spans two texts
-        before = np.minimum.accumulate(total - gain - apart)
-        after = np.maximum.accumulate((total - apart)[::-1])[::-1]
-        return np.flatnonzero(after - before >= t[1:, 1:].max() - t[0, 1:].max() - t[1:, 0].max() - 1e-3)
+        before = np.subtract(total, gain, out=gain)
+        if len(offsets) > 2:  # no stretch spans two texts
+            apart = np.repeat((2 * max(total.max(), -total.min()) + 1) * np.arange(len(offsets) - 1), np.diff(offsets))
+            before -= apart
+            total -= apart
+        np.minimum.accumulate(before, out=before)
+        after = np.maximum.accumulate(total[::-1])[::-1]
+        return np.flatnonzero(np.subtract(after, before, out=before) >= t[1:, 1:].max() - t[0, 1:].max() - t[1:, 0].max() - 1e-3)
 
     def single(self) -> Net:
         return Net({k: v.astype(np.float32) for k, v in self.p.items()})
@@ -347,31 +396,76 @@ def scores(net: Net, points: np.ndarray, offsets: np.ndarray, most: int = 448) -
     found = np.empty((TAGS, len(points)), np.float32).T
     laid = np.lib.stride_tricks.sliding_window_view(np.append(points, np.full(WINDOW, CLASS[32], points.dtype)), WINDOW)
     order = np.argsort(-sizes, kind="stable")
-    for part in (order[k : k + most] for k in range(0, len(order), most)):
-        e = net.read(laid[start[part]], sizes[part], begins[part], ends[part]).transpose(2, 1, 0).copy().transpose(0, 2, 1)
+    for part in np.split(order, range(most, len(order), most)) if len(order) else ():
+        read = net.read(laid[start[part]], sizes[part], begins[part], ends[part])
+        e = np.empty((len(part), TAGS, WINDOW), np.float32)
+        for k in range(0, WINDOW, 64):  # no more places at once than a cache holds
+            e[:, :, k : k + 64] = read[k : k + 64].transpose(2, 1, 0)
+        e = e.transpose(0, 2, 1)
         for i, (at, a, b) in enumerate(zip(start[part].tolist(), first[part].tolist(), last[part].tolist(), strict=True)):
             found[at + a : at + b] = e[i, a:b]
     return found
 
 
-def places(net: Net, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, over texts laid end to end, whose tag in the best sequence is not "none", in order, with tag and probability. Of the runs of open places within a text, those whose best sequence is more than "none" are decoded."""
-    e = scores(net, points, offsets)
-    at = net.open_places(e, offsets) if len(e) else np.zeros(0, np.int64)
+def stretches(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """First and last (exclusive) of as many texts as have at most so many characters together; a longer one stands alone."""
+    first = 0
+    while first < len(offsets) - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
+        yield first, last
+        first = last
+
+
+#: Tells of places and their tags whose probability is asked for.
+Wanted = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def decoded(net: Net, at: np.ndarray, e: np.ndarray, offsets: np.ndarray, wanted: Wanted | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of open places with their scores, those that get another tag than "none", with tag and probability. Of the runs of open places within a text, those whose best sequence is more than "none" are decoded, and those that hold wanted places (all, if None) get probabilities; others' are not a number."""
     if not len(at):
         return at, at, np.zeros(0)
-    e = e[at].astype(float)
     heads = np.append(True, np.diff(at) > 1)
     heads[np.searchsorted(at, offsets[(offsets > at[0]) & (offsets <= at[-1])])] = True  # a text's end is an end
     heads = np.flatnonzero(heads)
     size = np.diff(np.append(heads, len(at)))
-    tags, sure = np.zeros(len(at), np.int64), np.zeros(len(at))
+    tags, sure = np.zeros(len(at), np.int64), np.full(len(at), np.nan)
     some = net.worthy(e, heads, size)
     if len(some):
-        rows, best, likely = net.chains(e, heads[some], size[some])
-        tags[rows], sure[rows] = best, likely
-    some = tags > 0
-    return at[some], tags[some], sure[some]
+        rows, best = net.paths(e, heads[some], size[some])
+        tags[rows] = best
+    tagged_ = np.flatnonzero(tags)
+    if wanted and len(some):
+        asked = np.zeros(len(heads), bool)
+        asked[np.searchsorted(heads, tagged_[wanted(at[tagged_], tags[tagged_])], "right") - 1] = True
+        some = some[asked[some]]
+    if len(some):
+        rows, _, likely = net.chains(e, heads[some], size[some])
+        sure[rows] = likely
+    return at[tagged_], tags[tagged_], sure[tagged_]
+
+
+def places(net: Net, points: np.ndarray, offsets: np.ndarray, wanted: Wanted | None = None, most: int = SLICE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, over texts laid end to end, whose tag in the best sequence is not "none", in order, with tag and probability (see decoded() on wanted ones). Texts are read `most` characters at a time, searched for open places in stretches that caches hold, and decoded when OPEN places have come together: the steps of decoding are as many as the longest run has, however many runs take them."""
+    done, waiting, count = [], [], 0
+
+    def decode() -> None:
+        done.append(decoded(net, np.concatenate([np.zeros(0, np.int64), *(w[0] for w in waiting)]), np.concatenate([np.zeros((0, TAGS)), *(w[1] for w in waiting)]), offsets, wanted))
+
+    for first, last in stretches(offsets, most):
+        begin = offsets[first]
+        part = offsets[first : last + 1] - begin
+        e = scores(net, points[begin : offsets[last]], part)
+        for a, b in stretches(part, CACHED):
+            own = e[part[a] : part[b]]
+            open_ = net.open_places(own, part[a : b + 1] - part[a]) if len(own) else np.zeros(0, np.int64)
+            waiting.append((open_ + (begin + part[a]), own[open_].astype(float)))
+            count += len(open_)
+        if count >= OPEN:
+            decode()
+            waiting, count = [], 0
+    decode()
+    at, tags, sure = (np.concatenate(x) for x in zip(*done, strict=True))
+    return at, tags, sure
 
 
 def tagged(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
@@ -496,24 +590,37 @@ CHECKS = (mail_like, lambda s: bool(_APART.fullmatch(s)), card_like, phone_like)
 def added(texts: list[str], known: list[list[tuple[int, int, int]]], net: Net) -> list[list[tuple[int, int, int]]]:
     """The model's spans of each text, clear of the known ones."""
     offsets = np.cumsum([0, *map(len, texts)])
-    points = classes("".join(texts)).astype(np.int8)
-    at, tags, sure = places(net, points, offsets)
+    points = np.concatenate([np.zeros(0, np.int8), *(classes(t).astype(np.int8) for t in texts)])
+
+    def fitting(at: np.ndarray, tags: np.ndarray) -> Iterator[tuple[int, int, int, tuple[int, int, int]]]:
+        """Runs of tagged places that may be added if they are sure: first and last (exclusive), text's number, span."""
+        own = np.searchsorted(offsets, at, "right") - 1
+        heads = np.flatnonzero(np.append(True, (np.diff(at) > 1) | (np.diff(tags) != 0) | (np.diff(own) != 0))) if len(at) else at
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(at)][: len(heads)], strict=True):
+            k, kind = int(own[a]), int(tags[a]) - 1
+            text, first = texts[k], int(offsets[k])
+            start, end = int(at[a]) - first, int(at[b - 1]) + 1 - first
+            while start < end and text[start] in " ,.;:\n|":
+                start += 1
+            while end > start and text[end - 1] in " ,.;:\n|(-":
+                end -= 1
+            if end > start and CHECKS[kind](text[start:end]) and not any(s < end and start < e for _, s, e in known[k]):
+                if (start == 0 or not text[start - 1].isalnum()) and (end == len(text) or not text[end].isalnum()):
+                    yield a, b, k, (kind, start, end)
+
+    def wanted(at: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        asked = np.zeros(len(at), bool)
+        for a, b, *_ in fitting(at, tags):
+            asked[a:b] = True
+        return asked
+
+    at, tags, sure = places(net, points, offsets, wanted)
+    some = ~np.isnan(sure)
+    at, tags, sure = at[some], tags[some], sure[some]
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    if not len(at):
-        return found
-    own = np.searchsorted(offsets, at, "right") - 1
-    heads = np.flatnonzero(np.append(True, (np.diff(at) > 1) | (np.diff(tags) != 0) | (np.diff(own) != 0)))
-    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(at)], strict=True):
-        k, kind = int(own[a]), int(tags[a]) - 1
-        text, first = texts[k], int(offsets[k])
-        start, end = int(at[a]) - first, int(at[b - 1]) + 1 - first
-        while start < end and text[start] in " ,.;:\n|":
-            start += 1
-        while end > start and text[end - 1] in " ,.;:\n|(-":
-            end -= 1
-        if end > start and sure[a:b].min() >= SURE and CHECKS[kind](text[start:end]) and not any(s < end and start < e for _, s, e in known[k]):
-            if (start == 0 or not text[start - 1].isalnum()) and (end == len(text) or not text[end].isalnum()):
-                found[k].append((kind, start, end))
+    for a, b, k, span in fitting(at, tags):
+        if sure[a:b].min() >= SURE:
+            found[k].append(span)
     return found
 
 
@@ -533,7 +640,7 @@ def found(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, _, _ in slices(batch, "__text"):
+            for part, _, _ in slices(batch, "__text", TOGETHER * SLICE):
                 texts = [t or "" for t in part.column("__text").to_pylist()]
                 spans = [base(t) if TRIGGER.search(t) else [] for t in texts]
                 more = added(texts, spans, net)

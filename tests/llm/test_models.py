@@ -623,6 +623,39 @@ def test_chains_of_all_lengths_take_their_steps_together(monkeypatch):
     assert len(at) and not calls and len(at) == len(tags) == len(sure)
 
 
+def test_both_directions_take_a_step_together_with_the_classes_there(monkeypatch):
+    net = pii.Net.fresh(np.random.default_rng(11)).single()
+    points = pii.classes("word Word " * 400).astype(np.int8)
+    want = pii.scores(net, points, np.array([0, 4000]))
+    assert np.allclose(want, chain(net, "word Word " * 400), atol=2e-4)
+    steps, inner, tanh, matmul = [], [], np.tanh, np.matmul
+    monkeypatch.setattr(np, "tanh", lambda x, **to: (steps.append(1) if len(x) == 4 * pii.HIDDEN else 0, tanh(x, **to))[1])
+    monkeypatch.setattr(np, "matmul", lambda a, b, **to: (inner.append(len(b)), matmul(a, b, **to))[1])
+    assert (pii.scores(net, points, np.array([0, 4000])) == want).all()
+    assert len(steps) == pii.WINDOW and max(inner) <= pii.HIDDEN + 4
+
+
+def test_probabilities_only_of_spans_that_may_be_added(monkeypatch, net):
+    """Slices are decoded together, to the same tags, and known spans need no probability."""
+    rng, asked, chains = random.Random(31), [], pii.Net.chains
+    texts = ["".join(t for t, _ in pii.generated(n, rng)) for n in (1, 0, 3, 7, 2)]
+    base = [pii.base(t) for t in texts]
+    offsets = np.cumsum([0, *map(len, texts)])
+    points = pii.classes("".join(texts)).astype(np.int8)
+    whole, more = pii.places(net, points, offsets), pii.added(texts, base, net)
+    assert any(more) and not np.isnan(whole[2]).any()
+    for most, waiting in ((1, 1), (1, 1 << 18), (1 << 20, 1)):
+        monkeypatch.setattr(pii, "OPEN", waiting)
+        got = pii.places(net, points, offsets, most=most)
+        assert (got[0] == whole[0]).all() and (got[1] == whole[1]).all() and np.allclose(got[2], whole[2])
+    monkeypatch.setattr(pii.Net, "chains", lambda self, e, heads, size: (asked.append(len(heads)), chains(self, e, heads, size))[1])
+    assert pii.added(texts, base, net) == more and asked
+    asked.clear()
+    mails = ["write to bob.miller@mail.example.com now " * 20]
+    assert pii.base(mails[0]) and pii.added(mails, [pii.base(mails[0])], net) == [[]] and not asked
+    assert len(pii.places(net, pii.classes(mails[0]).astype(np.int8), np.array([0, len(mails[0])]))[0])
+
+
 def test_net_on_held_out_sentences(net):
     rows = pii.generated(200, random.Random(77))
     base = [pii.base(t) for t, _ in rows]
